@@ -137,14 +137,18 @@ def features(samples: bytes, config: AudioConfig) -> tuple[np.ndarray, list[tupl
     """
     x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
     tables, levels = [], []
-    step = config.chunk - config.chunk % (config.down * config.hop)
-    over = -(-config.frame * config.down // config.up)
+    period = config.down * config.hop
+    step = config.chunk - config.chunk % period
+    over = -(-config.frame * config.down // config.up) + 2 * config.taps
     for i in range(0, max(1, len(x)), step):
-        y = resample(x[i : i + step + over], config.up, config.down, config.taps)
+        # A period of what is before and some of what is behind, so that filters see across the cuts.
+        before = period if i else 0
+        y = resample(x[i - before : i + step + over], config.up, config.down, config.taps)
         frames, level = log_mel(y, config)
-        n = step * config.up // config.down // config.hop if i + step < len(x) else len(frames)
-        tables.append(frames[:n])
-        levels.append(level[:n])
+        first = before * config.up // config.down // config.hop
+        n = first + step * config.up // config.down // config.hop if i + step < len(x) else len(frames)
+        tables.append(frames[first:n])
+        levels.append(level[first:n])
     table, level = np.concatenate(tables), np.concatenate(levels)
     cuts = np.linspace(0, len(table), config.steps + 1).astype(int)
     tensor = np.stack([table[min(a, len(table) - 1) : max(b, a + 1)].mean(axis=0) if a < len(table) else table[-1] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])

@@ -39,16 +39,16 @@ IDENTITY_TERMS = (
 class ToxicityConfig:
     """sample: most labelled documents that training sees (taken in the order of a hash of their ids).
 
-    words: most words in the model; least_docs: documents of the sample that hold a word, at least.
+    words: most words in the model; least_z: z-score of a word's log odds ratio between the classes, at least.
     ridge and fairness weigh the squared weights and the squared counterfactual score changes.
     """
 
     sample: int = 16_000
     words: int = 20_000
-    least_docs: int = 4
-    ridge: float = 2e-5
+    least_z: float = 2.5
+    ridge: float = 1e-6
     fairness: float = 1.0
-    steps: int = 300
+    steps: int = 500
     rate: float = 0.1
     threshold: float = 0.3
     modulus: int = 4
@@ -155,10 +155,10 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
     counts = seen.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     totals = seen.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
     bad, good = (totals["bad"] or 0) + 1, (totals["good"] or 0) + 1
-    pull = F.abs(F.log((F.col("bad") + 0.5) / bad) - F.log((F.col("good") + 0.5) / good)) * F.sqrt(F.col("bad") + F.col("good"))
-    # With few labels, words of fewer documents count too.
-    least = int(np.clip((bad + good) // 200, 1, config.least_docs))
-    known = counts.filter(F.col("bad") + F.col("good") >= least).orderBy(pull.desc(), "word").limit(config.words)
+    ratio = F.log((F.col("bad") + 0.5) / bad) - F.log((F.col("good") + 0.5) / good)
+    # The ratio's z-score, by the variance of its counts: words that only chance divides stay out.
+    pull = F.abs(ratio) / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
+    known = counts.filter(pull >= config.least_z).orderBy(pull.desc(), "word").limit(config.words)
     number = {row["word"]: i for i, row in enumerate(known.select("word").collect())}
     rows, marks, twins = [], [], []
     numbers = lambda words: sorted(number[w] for w in words if w in number)
