@@ -6,11 +6,14 @@ of bins meets first (optimal densification), so the values of two documents agre
 probability close to their Jaccard similarity. ``rows`` values make a band's bucket.
 
 Copies (equal word sequences) are folded to their smallest id first. Within a bucket only
-stars are compared: a hub against the other members, never all pairs. The first round tries
-for each document only its smallest hub. After each round components are taken; buckets whose
-members lie in several components get further hubs (1, 2, 4, ... at a time) until every pair
-from two components that shares a bucket has been compared or joined: no candidate link is
-lost, and the work follows the number of unlike members, not the square of a group of copies.
+stars are compared: a hub against the other members, never all pairs. The hub is the member whose
+buckets are the fullest, the one most central to a group of near copies. The first round tries
+for each document only the most central of its hubs. After each round components are taken; buckets
+whose members lie in several components get a further hub, ``hub_rounds`` times. What is left in such
+buckets is settled exactly by prefix filtering: of two sets that are similar enough, the parts of
+``n - ceil(t n) + 1`` shingles that are rarest among these documents share one. Documents with a
+frequent passage in common have rare shingles of their own there, so such groups don't meet again,
+and no candidate link is lost. Pairs whose set sizes alone rule out the similarity are not compared.
 Links are confirmed on the full shingle sets.
 """
 
@@ -36,6 +39,7 @@ class NearDupConfig:
     percent: int = 80
     bands: int = 36
     rows: int = 6
+    hub_rounds: int = 3
 
 
 _DRAWS: dict[tuple[int, int], np.ndarray] = {}
@@ -116,9 +120,11 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) ->
     nodes = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     copies = nodes.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     firsts = nodes.join(copies, (nodes.digest == copies.digest) & (nodes.doc_id == copies.first_id), "left_semi")
-    entries = firsts.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("most")).filter("hub < most").select("bucket", "hub")
-    members = materialise(entries.join(shared, "bucket").select("bucket", "doc_id", "hub"), "members")
+    entries = firsts.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
+    shared = entries.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("size")).filter("least < most").select("bucket", "size")
+    members = materialise(entries.join(shared, "bucket"), "entries")
+    central = members.groupBy("doc_id").agg(F.sum("size").alias("central"))
+    members = materialise(members.join(central, "doc_id").select("bucket", "doc_id", "n_shingles", "central"), "members")
     labels = _linked(docs, members, config)
     result = signed.join(copies, "digest", "left").select("doc_id", "n_shingles", F.coalesce("first_id", "doc_id").alias("first_id"))
     # Two texts under one id join their groups, so an id that has a label keeps it.
@@ -138,27 +144,57 @@ def _linked(docs: DataFrame, members: DataFrame, config: NearDupConfig) -> DataF
         found = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
         return materialise(found.mapInArrow(_confirm(config), "a long, b long, linked boolean").filter("linked").select("a", "b"), "links")
 
-    first = members.filter("doc_id > hub").groupBy(F.col("doc_id").alias("b")).agg(F.min("hub").alias("a"))
+    alike = 100 * F.least("n_shingles", "n_hub") >= config.percent * F.greatest("n_shingles", "n_hub")
+    hub = F.max(F.struct("central", (-F.col("doc_id")).alias("minus"), "n_shingles"))
+    stars = members.groupBy("bucket").agg(hub.alias("hub")).select("bucket", F.col("hub.central").alias("of"), (-F.col("hub.minus")).alias("a"), F.col("hub.n_shingles").alias("n_hub"))
+    first = members.join(stars, "bucket").filter((F.col("doc_id") != F.col("a")) & alike)
+    first = first.groupBy(F.col("doc_id").alias("b")).agg(F.max(F.struct("of", (-F.col("a")).alias("minus"))).alias("best")).select((-F.col("best.minus")).alias("a"), "b")
     labels = materialise(components(confirmed(first), "a", "b"), "labels")
-    rest, hubs = members.select("bucket", "doc_id"), 1
-    while True:
+    rest = members
+    for turn in range(config.hub_rounds + 1):
         known = labels.select(F.col("node").alias("doc_id"), "label")
-        rest = rest.join(known, "doc_id", "left").select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+        rest = rest.drop("label").join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
         mixed = rest.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("bucket")
         rest = materialise(rest.join(mixed, "bucket", "left_semi"), "rest")
         if rest.isEmpty():
             return labels
+        if turn == config.hub_rounds:
+            break
         # A filter on row_number runs as a group limit before the shuffle: a large bucket isn't gathered.
-        order = Window.partitionBy("bucket").orderBy("doc_id")
-        chosen = rest.dropDuplicates(["bucket", "doc_id"]).withColumn("at", F.row_number().over(order)).filter(F.col("at") <= hubs)
-        chosen = materialise(chosen.select("bucket", F.col("doc_id").alias("a"), F.col("label").alias("label_a")), "hubs")
-        pairs = rest.join(chosen, "bucket").filter("doc_id > a AND label <> label_a").select("a", F.col("doc_id").alias("b")).distinct()
-        links = confirmed(pairs)
+        order = Window.partitionBy("bucket").orderBy(F.col("central").desc(), "doc_id")
+        chosen = rest.dropDuplicates(["bucket", "doc_id"]).withColumn("at", F.row_number().over(order)).filter("at = 1")
+        chosen = materialise(chosen.select("bucket", F.col("doc_id").alias("a"), F.col("label").alias("label_a"), F.col("n_shingles").alias("n_hub")), "hubs")
+        pairs = rest.join(chosen, "bucket").filter((F.col("label") != F.col("label_a")) & alike)
+        links = confirmed(pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct())
         if not links.isEmpty():
             labels = _merged(labels, links)
-        past = chosen.groupBy("bucket").agg(F.max("a").alias("last"))
-        rest = rest.join(past, "bucket").filter("doc_id > last").select("bucket", "doc_id")
-        hubs *= 2
+        rest = rest.join(chosen.select("bucket", F.col("a").alias("doc_id")), ["bucket", "doc_id"], "left_anti")
+    links = confirmed(_by_prefix(texts, rest.select("doc_id", "label", "n_shingles").distinct(), config))
+    return labels if links.isEmpty() else _merged(labels, links)
+
+
+def _by_prefix(texts: DataFrame, nodes: DataFrame, config: NearDupConfig) -> DataFrame:
+    """(a, b): pairs of ``nodes`` (doc_id, label, n_shingles) with different labels whose prefixes share a shingle."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, config.width).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+
+    own = texts.join(nodes.select("doc_id"), "doc_id", "left_semi").mapInArrow(cut, "doc_id long, shingles array<long>")
+    own = materialise(own, "rest_shingles").select("doc_id", F.explode("shingles").alias("shingle"))
+    counts = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    # A document's rare part is collected for itself: no more than its own shingles.
+    ranked = own.join(counts, "shingle").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("ranked"))
+    least = F.ceil(F.size("ranked") * config.percent / 100)
+    prefix = ranked.select("doc_id", F.explode(F.slice("ranked", F.lit(1), (F.size("ranked") - least + 1).cast("int"))).alias("x")).filter("x.n > 1")
+    prefix = materialise(prefix.select("doc_id", "x.shingle").join(nodes, "doc_id"), "prefixes")
+    mixed = prefix.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("shingle")
+    prefix = prefix.join(mixed, "shingle", "left_semi")
+    other = prefix.select("shingle", F.col("doc_id").alias("a"), F.col("label").alias("label_a"), F.col("n_shingles").alias("n_a"))
+    near = 100 * F.least("n_shingles", "n_a") >= config.percent * F.greatest("n_shingles", "n_a")
+    pairs = prefix.join(other, "shingle").filter((F.col("a") < F.col("doc_id")) & (F.col("label") != F.col("label_a")) & near)
+    return pairs.select("a", F.col("doc_id").alias("b")).distinct()
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
