@@ -36,17 +36,26 @@ class LineDedupConfig:
     blocks: int = 64
 
 
-_WHITE = " \t\n\x0b\x0c\r"
-_LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
+_WHITE = b" \t\n\x0b\x0c\r"
 
 
-def line_keys(text: str | None) -> list[str]:
-    """The key of each line of a text; a null or empty text has one empty line."""
-    return [x.strip(_WHITE).translate(_LOWER) for x in (text or "").split("\n")]
+def line_keys(lines: list[bytes]) -> list[bytes]:
+    """The key of each line in UTF-8: ``bytes.lower`` changes A-Z alone."""
+    return [x.strip(_WHITE).lower() for x in lines]
 
 
-def _digest(key: str) -> bytes:
-    return xxhash.xxh3_128_digest(key.encode("utf-8", "surrogatepass"))
+def _lines(text: str | None) -> list[bytes]:
+    """The lines of a text in UTF-8; a null or empty text has one empty line."""
+    return (text or "").encode("utf-8", "surrogatepass").split(b"\n")
+
+
+def _long(key: bytes, chars: int) -> bool:
+    """Whether a key has ``chars`` code points, each of 1 to 4 bytes."""
+    return len(key) >= chars and (len(key) >= 4 * chars or len(key.decode("utf-8", "surrogatepass")) >= chars)
+
+
+def _digest(key: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(key)
 
 
 def _positions(digests: list[bytes], log2_bits: int, hashes: int) -> np.ndarray:
@@ -58,7 +67,7 @@ def _positions(digests: list[bytes], log2_bits: int, hashes: int) -> np.ndarray:
 
 def _own_keys(text: str | None, config: LineDedupConfig) -> list[bytes]:
     """Digests of the distinct keys of a document that are long enough."""
-    return [_digest(k) for k in {k for k in line_keys(text) if len(k) >= config.min_chars}]
+    return [_digest(k) for k in set(line_keys(_lines(text))) if _long(k, config.min_chars)]
 
 
 def _set(bits: np.ndarray, at: np.ndarray) -> None:
@@ -151,12 +160,11 @@ def _with_drops(docs: DataFrame, config: LineDedupConfig) -> DataFrame:
 
 def _kept(text: str | None, drop: list[bytes] | None, config: LineDedupConfig) -> tuple[int, int, str]:
     """Lines before, lines dropped, and the text that stays."""
-    lines = (text or "").split("\n")
     if not drop:
-        return len(lines), 0, text or ""
-    gone = set(drop)
-    stay = [x for x, k in zip(lines, line_keys(text), strict=True) if len(k) < config.min_chars or _digest(k) not in gone]
-    return len(lines), len(lines) - len(stay), "\n".join(stay)
+        return (text or "").count("\n") + 1, 0, text or ""
+    lines, gone = _lines(text), set(drop)
+    stay = [x for x, k in zip(lines, line_keys(lines), strict=True) if not _long(k, config.min_chars) or _digest(k) not in gone]
+    return len(lines), len(lines) - len(stay), b"\n".join(stay).decode("utf-8", "surrogatepass")
 
 
 def line_report(docs: DataFrame, config: LineDedupConfig = LineDedupConfig()) -> DataFrame:
