@@ -1,17 +1,350 @@
-"""All registered queries and their oracle SQL."""
+"""All registered queries and their oracle SQL. Each query runs over its whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptorium.operators import extract, layout, quality, rank, search
+from scriptorium.streaming import control
+from scriptorium.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
+TOPIC = "apache kafka there edtion"
+KEYWORDS = ["the", "and", "thtion", "ered", "onea"]
+
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _register(sql: str | None = None):
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# -- pages -------------------------------------------------------------------------------------
+
+_WHITE = r"[\s\x0b\p{Z}]"
+
+
+def _sql_plain(x: str, tag: str) -> str:
+    return rf"""trim(regexp_replace(regexp_replace(regexp_replace({x}, '<[^>]+>', '{tag}', 'g'), '&[a-zA-Z]+;|&#\d+;|&#x[0-9a-fA-F]+;|[¶§†‡•·]', ' ', 'g'), '{_WHITE}+', ' ', 'g'))"""
+
+
+def _sql_dropped(x: str) -> str:
+    for name in extract.DROPPED:
+        x = rf"regexp_replace({x}, '(?is)<{name}[^>]*>.*?</{name}>', ' ', 'g')"
+    return x
+
+
+_TEXTS = rf"""
+WITH a AS (SELECT page_id, url, {_sql_dropped("coalesce(html, '')")} AS h FROM pages),
+b AS (SELECT *, CASE WHEN regexp_matches(h, '(?is)<article[^>]*>.*?</article>') THEN regexp_extract(h, '(?is)<article[^>]*>(.*?)</article>', 1)
+                     WHEN regexp_matches(h, '(?is)<main[^>]*>.*?</main>') THEN regexp_extract(h, '(?is)<main[^>]*>(.*?)</main>', 1) ELSE h END AS region FROM a),
+c AS (SELECT page_id, url, h, list_transform(regexp_split_to_array(region, '(?i)</?(?:{extract.BLOCK_TAGS})[^>]*>'), lambda x: {_sql_plain("x", "")}) AS blocks FROM b),
+d AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: length(x) >= 30 AND length(regexp_replace(x, '{_WHITE}', '', 'g')) / greatest(length(x), 1) >= 0.4
+        AND len(regexp_extract_all(x, 'https?://')) / greatest(length(x) // 50, 1) <= 0.5), chr(10)) AS t, {_sql_plain("h", " ")} AS w FROM c),
+texts AS (SELECT page_id, url, substr(CASE WHEN length(t) < 200 AND length(w) > length(t) THEN w ELSE t END, 1, 80000) AS text FROM d)
+"""
+_ERRORS = " AND ".join(f"NOT regexp_matches(text, '(?i){p}')" for p in extract.ERROR_PAGES)
+_TOPIC_WORDS = [w for w in TOPIC.split() if w not in extract.GENERIC_WORDS]
+_USABLE = f"(length(text) >= 200 AND {_ERRORS} AND ({' OR '.join(f'contains(lower(text), {w!r})' for w in _TOPIC_WORDS)}))"
+_RELEVANCE = "(CASE WHEN length(text) > 0 THEN least((" + " + ".join(f"contains(lower(text), {w!r})::INT" for w in sorted(set(TOPIC.split()))) + f") / {len(set(TOPIC.split()))}.0, 1.0) ELSE 0.0 END)"
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "pages").select("page_id", "url", extract.page_text(F.col("html")).alias("text"))
+
+
+@_register(_TEXTS + "SELECT page_id, text, length(text)::BIGINT AS n_chars FROM texts")
+def page_extract_text(spark, sf_dir):
+    return _texts(spark, sf_dir).select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@_register(_TEXTS + f"SELECT page_id FROM texts WHERE {_USABLE}")
+def page_usable_filter(spark, sf_dir):
+    return _texts(spark, sf_dir).filter(extract.usable(F.col("text"), TOPIC)).select("page_id")
+
+
+@_register(_TEXTS + f"SELECT page_id, round({_RELEVANCE}, 3)::DOUBLE AS relevance FROM texts")
+def page_content_relevance(spark, sf_dir):
+    return _texts(spark, sf_dir).select("page_id", F.round(extract.relevance(F.col("text"), TOPIC), 3).alias("relevance"))
+
+
+@_register(_TEXTS + f"SELECT page_id, url, round({_RELEVANCE}, 3)::DOUBLE AS relevance, length(text)::BIGINT AS n_chars FROM texts WHERE {_USABLE} ORDER BY relevance DESC, page_id LIMIT 20")
+def page_extract_rank(spark, sf_dir):
+    """The 20 most relevant usable pages."""
+    kept = _texts(spark, sf_dir).filter(extract.usable(F.col("text"), TOPIC))
+    return kept.select("page_id", "url", F.round(extract.relevance(F.col("text"), TOPIC), 3).alias("relevance"), F.length("text").cast("long").alias("n_chars")).orderBy(F.desc("relevance"), "page_id").limit(20)
+
+
+@_register(_TEXTS + f"SELECT count(*)::BIGINT AS attempted, count(*) FILTER ({_USABLE})::BIGINT AS success, count(*) FILTER (NOT {_USABLE})::BIGINT AS filtered FROM texts")
+def fetch_stats(spark, sf_dir):
+    ok = extract.usable(F.col("text"), TOPIC)
+    return _texts(spark, sf_dir).agg(F.count(F.lit(1)).alias("attempted"), F.count_if(ok).alias("success"), F.count_if(~ok).alias("filtered"))
+
+
+# -- search rows -------------------------------------------------------------------------------
+
+_ROWS = r"""
+WITH rows AS (SELECT page_id AS pos, url, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, substr(regexp_replace(html, '<[^>]+>', ' ', 'g'), 1, 200) AS snippet,
+  CASE page_id % 4 WHEN 0 THEN 'bing' WHEN 1 THEN 'sogou' WHEN 2 THEN 'mock' ELSE '360' END AS source FROM pages)
+"""
+_PARAMS = ", ".join(f"'{p}'" for p in search.TRACKING_PARAMS)
+_NORMAL = f"""regexp_replace(regexp_extract(url, '^([^?#]*)', 1) || CASE WHEN q <> '' THEN '?' || q ELSE '' END || regexp_extract(url, '(#.*)$', 1), '[?&]+$', '')"""
+_NORMALIZED = f"""SELECT page_id, {_NORMAL} AS url FROM (SELECT page_id, url, array_to_string(list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: regexp_matches(p, '^[^=]+=.+') AND lower(string_split(p, '=')[1]) NOT IN ({_PARAMS})), '&') AS q FROM pages)"""
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = F.element_at(F.array(*map(F.lit, ("bing", "sogou", "mock", "360"))), (F.col("page_id") % 4 + 1).cast("int"))
+    return load(spark, sf_dir, "pages").select(F.col("page_id").alias("pos"), "url", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.substring(F.regexp_replace("html", "<[^>]+>", " "), 1, 200).alias("snippet"), source.alias("source"))
+
+
+@_register(_NORMALIZED)
+def url_normalize(spark, sf_dir):
+    return load(spark, sf_dir, "pages").select("page_id", search.normalize_url(F.col("url")).alias("url"))
+
+
+_HOST = "lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1))"
+
+
+@_register(_ROWS + f"SELECT pos, url FROM rows WHERE NOT ({' OR '.join(f'{_HOST} = {h!r} OR ends_with({_HOST}, {chr(39)}.{h}{chr(39)})' for h in search.SPAM_HOSTS)})")
+def spam_anti_join(spark, sf_dir):
+    return search.without_spam(_rows(spark, sf_dir)).select("pos", "url")
+
+
+@_register(_ROWS + f"SELECT pos, ({' OR '.join(f'contains(lower(url), {p!r})' for p in search.TRACKING_PARTS)}) AS tracked, regexp_matches(title, '[\\x{{4e00}}-\\x{{9fff}}]{{2,}}|[a-zA-Z]{{3,}}') AS readable FROM rows")
+def tracking_and_title_filters(spark, sf_dir):
+    return _rows(spark, sf_dir).select("pos", search.tracking(F.col("url")).alias("tracked"), search.readable_title(F.col("title")).alias("readable"))
+
+
+_STRUCT = "(CASE WHEN length(title) BETWEEN 10 AND 120 THEN 0.15 ELSE 0 END + CASE WHEN length(snippet) > 50 THEN 0.15 ELSE 0 END + CASE WHEN source IN ('bing', 'sogou', '360', 'prosearch') THEN 0.1 ELSE 0 END + CASE WHEN starts_with(url, 'http') THEN 0.1 ELSE 0 END)::DOUBLE"
+_SEARCH_RELEVANCE = _RELEVANCE.replace("text", "body").replace("/ 4.0", "/ 4.0::DOUBLE")
+
+
+@_register(_ROWS + f"SELECT pos, round(least(1.0, 0.35::DOUBLE * {_STRUCT} + 0.65::DOUBLE * {_SEARCH_RELEVANCE}), 6)::DOUBLE AS score FROM (SELECT *, title || ' ' || snippet AS body FROM rows)")
+def search_score(spark, sf_dir):
+    related = extract.relevance(F.concat_ws(" ", "title", "snippet"), TOPIC)
+    structure = search.structural_score(*map(F.col, ("title", "url", "snippet", "source")))
+    return _rows(spark, sf_dir).select("pos", F.round(search.blended_score(structure, related), 6).alias("score"))
+
+
+@_register(_ROWS + ", a AS (SELECT *, row_number() OVER (PARTITION BY string_split(url, '?')[1] ORDER BY pos) AS n FROM rows), b AS (SELECT *, left(lower(trim(title)), 30) AS t FROM a WHERE n = 1), c AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY pos) AS m FROM b) SELECT pos, url FROM c WHERE m = 1 OR t = ''")
+def search_dedup(spark, sf_dir):
+    return search.first_of_each(_rows(spark, sf_dir)).select("pos", "url")
+
+
+@_register("""SELECT conv_id, turn, engine, 0.5::DOUBLE AS score, 'https://example.com/search?q=' || text AS url FROM conversations, (VALUES ('bing'), ('sogou')) e(engine) WHERE role = 'user'""")
+def mock_search(spark, sf_dir):
+    asked = load(spark, sf_dir, "conversations").filter("role = 'user'")
+    return asked.select("conv_id", "turn", F.explode(F.array(F.lit("bing"), F.lit("sogou"))).alias("engine"), F.lit(0.5).alias("score"), F.concat(F.lit("https://example.com/search?q="), "text").alias("url"))
+
+
+_NOISE_SQL = " AND ".join(f"NOT regexp_matches(trim(text), '(?i){p}')" for p in search.QUERY_NOISE)
+
+
+@_register(f"SELECT conv_id, turn, trim(text) AS query FROM conversations WHERE role = 'user' AND length(trim(text)) >= 4 AND regexp_matches(trim(text), '[\\x{{4e00}}-\\x{{9fff}}]{{2,}}|[a-zA-Z]{{2,}}') AND {_NOISE_SQL}")
+def query_clean(spark, sf_dir):
+    return load(spark, sf_dir, "conversations").filter((F.col("role") == "user") & search.usable_query(F.col("text"))).select("conv_id", "turn", F.trim("text").alias("query"))
+
+
+# -- ranking -----------------------------------------------------------------------------------
+
+_KEYS = ", ".join(f"'{k}'" for k in KEYWORDS)
+
+
+@_register(rf"""
+WITH p AS (SELECT doc_id * 100000 + i AS para_id, line AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)),
+t AS (SELECT para_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]{{2,}}')) AS term FROM p),
+tf AS (SELECT para_id, term, count(*) AS n FROM t GROUP BY ALL), tm AS (SELECT *, n / max(n) OVER (PARTITION BY para_id) AS tf FROM tf),
+df AS (SELECT term, ln(((SELECT count(DISTINCT para_id) FROM p) + 1) / (count(*) + 1)) + 1 AS idf FROM tf GROUP BY term),
+w AS (SELECT para_id, tm.term, tf * idf AS w FROM tm JOIN df USING (term)),
+s AS (SELECT para_id, sum(CASE WHEN term IN ({_KEYS}) THEN w ELSE 0 END) / (sqrt(sum(w * w)) * sqrt({len(KEYWORDS)}.0::DOUBLE)) AS score FROM w GROUP BY para_id)
+SELECT para_id, round(score, 6) AS score FROM s WHERE score > 0.01 ORDER BY score DESC, para_id LIMIT 8""")
+def tfidf_top8(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
+    return rank.rank(docs.select((F.col("doc_id") * 100000 + F.col("i")).alias("para_id"), "text"), KEYWORDS)
+
+
+# -- documents as Markdown ---------------------------------------------------------------------
+
+_MD = """
+WITH md AS (SELECT doc_id, '# ' || source || ' ' || doc_id || CASE WHEN doc_id % 3 <> 0 THEN chr(10) || chr(10) || '## 目录' ELSE '' END || chr(10) || chr(10)
+  || CASE doc_id % 4 WHEN 0 THEN '## Part' WHEN 1 THEN '### Deep' WHEN 2 THEN '- item' ELSE '> quote' END || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10))
+  || CASE WHEN doc_id % 5 = 0 THEN repeat(chr(10), 7) || 'after blanks' ELSE '' END
+  || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || '## 参考资料' || chr(10) || '[a](https://example.com/' || doc_id || ') [b]() [c](ftp://x)' ELSE '' END AS text FROM documents)
+"""
+
+
+def _md(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    nn = F.lit("\n\n")
+    part = F.element_at(F.array(*map(F.lit, ("## Part", "### Deep", "- item", "> quote"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    text = F.concat(
+        F.lit("# "), "source", F.lit(" "), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 != 0, "\n\n## 目录").otherwise(""), nn, part, nn, F.replace(F.col("text"), F.lit("\n"), nn),
+        F.when(F.col("doc_id") % 5 == 0, "\n" * 7 + "after blanks").otherwise(""),
+        F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\n\n## 参考资料\n[a](https://example.com/"), F.col("doc_id").cast("string"), F.lit(") [b]() [c](ftp://x)"))).otherwise(""),
+    )
+    return docs.select("doc_id", text.alias("text"))
+
+
+_PARAS = "len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: length(trim(p)) > 30))"
+_LEVELS = r"list_transform(regexp_extract_all(text, '(?m)^(#+)\s', 1), lambda x: length(x))"
+_SCORES = rf"""
+, s AS (SELECT doc_id,
+ greatest(0, 100 - CASE WHEN regexp_matches(text, '(?m)^#\s') THEN 0 ELSE 25 END - CASE WHEN contains(text, '## 目录') OR contains(left(text, 500), '目录') THEN 0 ELSE 15 END
+   - CASE WHEN regexp_matches(text, '(?m)^## 参考') THEN 0 ELSE 20 END - 20 * greatest(0, 3 - {_PARAS})) AS completeness,
+ CASE WHEN len(lv) = 0 THEN 30 ELSE greatest(0, 100 - CASE len(list_filter(lv, lambda x: x = 1)) WHEN 0 THEN 20 WHEN 1 THEN 0 ELSE 10 END
+   - 5 * len(list_filter(range(2, len(lv) + 1), lambda i: lv[i] - lv[i - 1] > 1)) - 15 * greatest(0, 2 - len(list_filter(lv, lambda x: x = 2)))) END AS structure,
+ greatest(0, 100 - 2 * len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 120)) - CASE WHEN contains(text, '```') OR contains(text, '> ') THEN 0 ELSE 10 END - CASE WHEN contains(text, '- ') OR contains(text, '* ') THEN 0 ELSE 5 END) AS readability,
+ CASE WHEN len(lk) = 0 THEN 50 ELSE greatest(0, 100 - list_sum(list_transform(lk, lambda u: CASE WHEN trim(u) = '' THEN 15 WHEN starts_with(u, 'https://example.com') THEN 10 WHEN NOT (starts_with(u, 'http') OR starts_with(u, '#')) THEN 5 ELSE 0 END))) END AS citation,
+ CASE WHEN {_PARAS} < 3 THEN least(40, d) ELSE d END AS depth
+FROM (SELECT *, {_LEVELS} AS lv, regexp_extract_all(text, '\[[^\]]*\]\(([^)]*)\)', 1) AS lk, CASE WHEN length(text) < 200 THEN 30 WHEN length(text) < 500 THEN 50 WHEN length(text) < 1000 THEN 70 WHEN length(text) > 5000 THEN 95 ELSE 100 END AS d FROM md))
+"""
+
+
+def _score_query(name: str) -> None:
+    def run(spark, sf_dir):
+        return _md(spark, sf_dir).select("doc_id", getattr(quality, name)(F.col("text")).cast("long").alias("score"))
+
+    run.__name__ = f"score_{name}"
+    _register(_MD + _SCORES + f"SELECT doc_id, {name}::BIGINT AS score FROM s")(run)
+
+
+for _name in ("completeness", "structure", "readability", "citation", "depth"):
+    _score_query(_name)
+
+
+@_register(_MD + _SCORES + "SELECT doc_id, round((0.18::DOUBLE * completeness + 0.12::DOUBLE * structure + 0.10::DOUBLE * readability + 0.12::DOUBLE * citation + 0.10::DOUBLE * depth) / 0.62::DOUBLE, 1) >= 70 AS passed FROM s")
+def quality_gate(spark, sf_dir):
+    return _md(spark, sf_dir).select("doc_id", (quality.overall(F.col("text")) >= quality.THRESHOLD).alias("passed"))
+
+
+_LINES = ", l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM md)"
+
+
+@_register(_MD + _LINES + ", g AS (SELECT *, sum(CASE WHEN trim(line) = '' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM l), h AS (SELECT *, max(island) OVER (PARTITION BY doc_id) AS m FROM g) SELECT doc_id, min(line_no)::BIGINT AS line_no, count(*)::BIGINT AS run FROM h WHERE trim(line) = '' AND island < m GROUP BY doc_id, island HAVING count(*) >= 5")
+def lint_blank_runs(spark, sf_dir):
+    return layout.blank_runs(_md(spark, sf_dir)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "run")
+
+
+@_register(_MD + _LINES + r", g AS (SELECT doc_id, line_no, length(regexp_extract(line, '^(#{1,6})\s+\S', 1)) AS level FROM l), h AS (SELECT *, lag(level) OVER (PARTITION BY doc_id ORDER BY line_no) AS b FROM g WHERE level > 0) SELECT doc_id, line_no::BIGINT AS line_no, level::BIGINT AS level, b::BIGINT AS before FROM h WHERE level - b > 1")
+def lint_heading_gap(spark, sf_dir):
+    return layout.heading_gaps(_md(spark, sf_dir)).select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("line_no", "level", "before")))
+
+
+_SECTIONS = _LINES + r", g AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^#{1,3}\s+\S') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS sec_no FROM l), sec AS (SELECT doc_id, sec_no::BIGINT AS sec_no, min(line_no)::BIGINT AS line_start, left(sha256(string_agg(line, chr(10) ORDER BY line_no)), 16) AS digest FROM g GROUP BY doc_id, sec_no)"
+
+
+@_register(_MD + _SECTIONS + "SELECT * FROM sec")
+def section_hash(spark, sf_dir):
+    return layout.sections(_md(spark, sf_dir)).select("doc_id", "sec_no", F.col("line_start").cast("long").alias("line_start"), "digest")
+
+
+@_register("SELECT doc_id, (2 * length(text) - length(regexp_replace(text, '[\\x{4e00}-\\x{9fff}\\x{ff00}-\\x{ffef}]', '', 'g')))::BIGINT AS width FROM documents")
+def visual_width(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", layout.visual_width(F.col("text")).cast("long").alias("width"))
+
+
+# -- SQL aggregates that both engines read alike -------------------------------------------------
+
+#: Price of 1000 prompt and completion tokens by provider.
+PRICES = {"cloudflare": (0.00063, 0.00252), "xiaomi_mimo": (0.00014, 0.00056), "longcat": (0.00014, 0.00056), "siliconflow": (0.00014, 0.00056), "sensenova": (0.001, 0.002), "glm": (0.001, 0.002), "agnes": (0.0005, 0.0015), "dahl": (0.0005, 0.0015), "nvidia": (0.0007, 0.0021), "bailian": (0.0004, 0.0012), "qianfan": (0.0008, 0.0024), "ollama": (0.0, 0.0)}
+_NAMES = [*PRICES, "unknown"]
+_PRICE_ROWS = ", ".join(f"({i}, '{n}', CAST({PRICES.get(n, (0.001, 0.002))[0]} AS DOUBLE), CAST({PRICES.get(n, (0.001, 0.002))[1]} AS DOUBLE))" for i, n in enumerate(_NAMES))
+_CALLS = f"""
+WITH prices AS (SELECT * FROM (VALUES {_PRICE_ROWS}) AS t(k, provider, pp, cp)),
+calls AS (SELECT conv_id, provider, CAST(sum(CASE WHEN role = 'assistant' THEN 0 ELSE length(text) END) AS BIGINT) AS prompt, CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS completion, max(pp) AS pp, max(cp) AS cp
+  FROM {{conversations}} JOIN prices ON conv_id % 13 = k GROUP BY conv_id, provider),
+costs AS (SELECT conv_id, provider, prompt, completion, (prompt * pp + completion * cp) / 1000 AS cost FROM calls)
+"""
+
+_SHARED = {
+    "cost_by_provider": _CALLS + "SELECT provider, count(*) AS calls, CAST(sum(prompt) AS BIGINT) AS prompt_tokens, CAST(sum(completion) AS BIGINT) AS completion_tokens, CAST(sum(prompt + completion) AS BIGINT) AS total_tokens, round(sum(cost), 6) AS cost FROM costs GROUP BY provider",
+    "cost_by_task": _CALLS + "SELECT conv_id AS task_id, provider, round(cost, 6) AS cost FROM costs",
+    "cost_summary": _CALLS + "SELECT count(*) AS calls, round(sum(cost), 4) AS total, round(10 - sum(cost), 4) AS remaining, sum(cost) > 10 AS exceeded FROM costs",
+    "queue_stats": "SELECT event_type AS status, count(*) AS n FROM {events} GROUP BY event_type",
+    "batch_summary": "SELECT count(*) AS total, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS done, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS failed, round(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 4) AS success_rate FROM {events}",
+    "weak_patterns": "SELECT lang AS dimension, count(*) AS n, round(avg(CAST(n_chars % 101 AS DOUBLE)), 1) AS avg_score, sum(CASE WHEN n_chars % 101 < 70 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) > 0.4 AS problematic FROM {documents} GROUP BY lang HAVING count(*) >= 3",
+    "quality_totals": "SELECT count(*) AS n, count(DISTINCT source) AS tasks, round(avg(CAST(n_chars % 101 AS DOUBLE)), 4) AS avg_score FROM {documents}",
+    "version_history": "SELECT source AS file, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS version, doc_id, n_chars AS size FROM {documents}",
+    "version_prune": "SELECT file, version, doc_id FROM (SELECT source AS file, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS version, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS age FROM {documents}) AS v WHERE age <= 50",
+    "version_stats": "SELECT count(DISTINCT source) AS files, count(*) AS versions, CAST(sum(n_chars) AS BIGINT) AS total_chars FROM {documents}",
+    "log_filter": "SELECT event_id, user_id, event_type FROM {events} WHERE event_type IN ('error', 'signup') AND ts >= TIMESTAMP '2024-01-10 00:00:00'",
+    "alert_recent": "SELECT event_id, user_id FROM (SELECT event_id, user_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS n FROM {events} WHERE event_type = 'error') AS r WHERE n <= 200",
+    "idempotent_dedup": "SELECT event_id, user_id, props FROM (SELECT event_id, user_id, props, row_number() OVER (PARTITION BY user_id, props ORDER BY ts, event_id) AS n FROM {events}) AS r WHERE n = 1",
+    "dlq_split": "SELECT event_id, event_type, event_type = 'error' AS dead FROM {events}",
+    "dlq_replay": "SELECT event_type, user_id, count(*) AS replayed, max(event_id) AS last_id FROM {events} WHERE event_type = 'error' GROUP BY event_type, user_id",
+    "sse_resume": "SELECT user_id, event_id FROM (SELECT e.user_id, e.event_id, c.last_id, row_number() OVER (PARTITION BY e.user_id ORDER BY e.event_id DESC) AS n FROM {events} AS e JOIN (SELECT user_id, min(event_id) AS last_id FROM {events} GROUP BY user_id) AS c ON e.user_id = c.user_id) AS r WHERE n <= 500 AND event_id > last_id",
+    "stream_metrics": "SELECT event_type, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM {events} GROUP BY event_type",
+    "rolling_latency": "SELECT event_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER w AS BIGINT) AS cents, count(*) OVER w AS n FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)",
+    "agent_health": "SELECT user_id AS agent, count(*) AS n, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors, count(*) > 10 AND sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) * 2 >= count(*) AS unhealthy FROM {events} GROUP BY user_id",
+    "backpressure_depth": "SELECT event_id, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) >= 400 AS busy FROM {events}",
+    "request_response": "SELECT q.conv_id, q.turn AS asked, min(a.turn) AS answered FROM {conversations} AS q JOIN {conversations} AS a ON q.conv_id = a.conv_id AND a.turn > q.turn WHERE q.role = 'user' AND a.role = 'assistant' GROUP BY q.conv_id, q.turn",
+    "pool_shard": "SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) % 3 AS shard FROM {conversations}",
+    "hook_match": "SELECT e.event_id, h.pattern FROM {events} AS e JOIN (SELECT * FROM (VALUES ('*'), ('error'), ('sign*')) AS t(pattern)) AS h ON h.pattern = '*' OR h.pattern = e.event_type OR (h.pattern LIKE '%*' AND e.event_type LIKE concat(substring(h.pattern, 1, length(h.pattern) - 1), '%'))",
+    "metrics_histogram": "SELECT CAST(le AS DOUBLE) AS le, count(*) AS n FROM {events} CROSS JOIN (SELECT * FROM (VALUES (0.5), (1.0), (2.5), (5.0), (10.0), (100.0)) AS t(le)) AS b WHERE value <= le GROUP BY le",
+    "backup_tiered": "SELECT file, doc_id FROM (SELECT source AS file, doc_id, doc_id % 120 AS age, row_number() OVER (PARTITION BY source, CASE WHEN doc_id % 120 <= 30 THEN doc_id ELSE -1 END ORDER BY doc_id % 120, doc_id DESC) AS n FROM {documents} WHERE doc_id % 120 <= 90) AS r WHERE age <= 30 OR n = 1",
+    "write_validate": "SELECT doc_id, n_chars < 0.5 * before OR n_chars > 5 * before AS refused FROM (SELECT doc_id, n_chars, lag(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM {documents}) AS r WHERE before > 0",
+    "token_estimate": "SELECT doc_id, CASE WHEN n_chars = 0 THEN 0 ELSE CAST(floor(n_chars / CAST(4 AS DOUBLE)) AS BIGINT) + 1 END AS tokens FROM {documents}",
+    "retry_backoff": "SELECT event_id, least(120.0, CAST(power(2, event_id % 10) AS DOUBLE)) AS delay FROM {events} WHERE event_type = 'error'",
+}
+
+
+def _shared(name: str, sql: str) -> None:
+    tables = [t for t in ("events", "documents", "conversations") if f"{{{t}}}" in sql]
+
+    def run(spark, sf_dir):
+        return spark.sql(sql, **{t: load(spark, sf_dir, t) for t in tables})
+
+    run.__name__ = name
+    _register(sql.format(**{t: t for t in tables}))(run)
+
+
+for _name, _text in _SHARED.items():
+    _shared(_name, _text)
+
+
+# -- sequential control ------------------------------------------------------------------------
+
+
+@_register()
+def token_bucket(spark, sf_dir):
+    """A bucket for each user: one token an hour, two at most."""
+    events = load(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    return control.token_bucket(events, "user_id", "ts", ["ts", "event_id"], 1 / 3600, 2).select("event_id", "user_id", "allowed")
+
+
+@_register()
+def circuit_breaker(spark, sf_dir):
+    events = load(spark, sf_dir, "events").select("event_id", "ts", "user_id", (F.col("event_type") != "error").alias("success"))
+    return control.circuit_breaker(events, "user_id", "ts", ["ts", "event_id"], "success", 2, 3600.0).select("event_id", "user_id", "state", "admitted")
+
+
+@_register("SELECT source AS file, lang AS engine, count(*) AS n FROM documents GROUP BY ALL")
+def pool_merge(spark, sf_dir):
+    return load(spark, sf_dir, "documents").groupBy(F.col("source").alias("file"), F.col("lang").alias("engine")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_register("WITH w AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS word FROM documents) SELECT word, n FROM (SELECT word, count(*) AS n FROM w WHERE length(word) > 2 AND word NOT IN ('the', 'are', 'was', 'were', 'been') GROUP BY word) ORDER BY n DESC, word LIMIT 10")
+def keyword_top10(spark, sf_dir):
+    """The ten most frequent words (a top-k report)."""
+    words = load(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), " ")).alias("word")).filter((F.length("word") > 2) & ~F.col("word").isin("the", "are", "was", "were", "been"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(10)
+
+
