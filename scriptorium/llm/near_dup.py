@@ -92,18 +92,25 @@ def _sign(config: NearDupConfig):
     return run
 
 
+def _sets(config: NearDupConfig):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, config.width).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+
+    return run
+
+
 def _confirm(config: NearDupConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, hub = None, np.empty(0, np.uint64)
         for batch in batches:
-            a, b, linked = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
-            for i, (x, y) in enumerate(zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)):
-                if a[i] != last:
-                    last, hub = a[i], shingle_set(x, config.width)
-                other = shingle_set(y, config.width)
-                both = len(np.intersect1d(hub, other, assume_unique=True))
-                linked.append(both > 0 and 100 * both >= config.percent * (len(hub) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+            (at_a, a), (at_b, b) = ((c.offsets.to_numpy(), c.values.to_numpy()) for c in (batch.column("set_a"), batch.column("set_b")))
+            linked = []
+            for i in range(batch.num_rows):
+                one, two = a[at_a[i] : at_a[i + 1]], b[at_b[i] : at_b[i + 1]]
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                linked.append(both > 0 and 100 * both >= config.percent * (len(one) + len(two) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     return run
 
@@ -136,12 +143,13 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) ->
 def _linked(docs: DataFrame, members: DataFrame, config: NearDupConfig) -> DataFrame:
     """(node, label) of all nodes that some confirmed link reaches."""
     ids = members.select("doc_id").distinct()
-    texts = materialise(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate_texts")
+    texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = materialise(texts.mapInArrow(_sets(config), "doc_id long, shingles array<long>"), "candidate_sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        found = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+        right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
+        left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
+        found = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
         return materialise(found.mapInArrow(_confirm(config), "a long, b long, linked boolean").filter("linked").select("a", "b"), "links")
 
     alike = 100 * F.least("n_shingles", "n_hub") >= config.percent * F.greatest("n_shingles", "n_hub")
@@ -169,20 +177,14 @@ def _linked(docs: DataFrame, members: DataFrame, config: NearDupConfig) -> DataF
         if not links.isEmpty():
             labels = _merged(labels, links)
         rest = rest.join(chosen.select("bucket", F.col("a").alias("doc_id")), ["bucket", "doc_id"], "left_anti")
-    links = confirmed(_by_prefix(texts, rest.select("doc_id", "label", "n_shingles").distinct(), config))
+    links = confirmed(_by_prefix(sets, rest.select("doc_id", "label", "n_shingles").distinct(), config))
     return labels if links.isEmpty() else _merged(labels, links)
 
 
-def _by_prefix(texts: DataFrame, nodes: DataFrame, config: NearDupConfig) -> DataFrame:
+def _by_prefix(sets: DataFrame, nodes: DataFrame, config: NearDupConfig) -> DataFrame:
     """(a, b): pairs of ``nodes`` (doc_id, label, n_shingles) with different labels whose prefixes share a shingle."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, config.width).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
-
-    own = texts.join(nodes.select("doc_id"), "doc_id", "left_semi").mapInArrow(cut, "doc_id long, shingles array<long>")
-    own = materialise(own, "rest_shingles").select("doc_id", F.explode("shingles").alias("shingle"))
+    own = sets.join(nodes.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("shingle"))
     counts = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
     # A document's rare part is collected for itself: no more than its own shingles.
     ranked = own.join(counts, "shingle").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("ranked"))
