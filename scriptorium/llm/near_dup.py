@@ -11,7 +11,8 @@ buckets are the fullest, the one most central to a group of near copies. The fir
 for each document only the most central of its hubs. After each round components are taken; buckets
 whose members lie in several components get a further hub, ``hub_rounds`` times. What is left in such
 buckets is settled exactly by prefix filtering: of two sets that are similar enough, the parts of
-``n - ceil(t n) + 1`` shingles that are rarest among these documents share one. Documents with a
+``n - ceil(t n) + 1`` shingles that are rarest among these documents share one, and so early that what
+follows in both sets still suffices (the positional filter). Documents with a
 frequent passage in common have rare shingles of their own there, so such groups don't meet again,
 and no candidate link is lost. Pairs whose set sizes alone rule out the similarity are not compared.
 Links are confirmed on the full shingle sets.
@@ -177,26 +178,32 @@ def _linked(docs: DataFrame, members: DataFrame, config: NearDupConfig) -> DataF
         if not links.isEmpty():
             labels = _merged(labels, links)
         rest = rest.join(chosen.select("bucket", F.col("a").alias("doc_id")), ["bucket", "doc_id"], "left_anti")
-    links = confirmed(_by_prefix(sets, rest.select("doc_id", "label", "n_shingles").distinct(), config))
+    links = confirmed(_by_prefix(sets, rest.select("doc_id", "label").distinct(), config))
     return labels if links.isEmpty() else _merged(labels, links)
 
 
 def _by_prefix(sets: DataFrame, nodes: DataFrame, config: NearDupConfig) -> DataFrame:
-    """(a, b): pairs of ``nodes`` (doc_id, label, n_shingles) with different labels whose prefixes share a shingle."""
+    """(a, b): pairs of ``nodes`` (doc_id, label) with different labels whose prefixes share a shingle early enough."""
 
     own = sets.join(nodes.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("shingle"))
     counts = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
     # A document's rare part is collected for itself: no more than its own shingles.
     ranked = own.join(counts, "shingle").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("ranked"))
-    least = F.ceil(F.size("ranked") * config.percent / 100)
-    prefix = ranked.select("doc_id", F.explode(F.slice("ranked", F.lit(1), (F.size("ranked") - least + 1).cast("int"))).alias("x")).filter("x.n > 1")
-    prefix = materialise(prefix.select("doc_id", "x.shingle").join(nodes, "doc_id"), "prefixes")
+    percent, n = config.percent, F.size("ranked")
+    head = F.slice("ranked", F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int"))
+    placed = ranked.select("doc_id", n.alias("n"), F.posexplode(head).alias("at", "x")).filter("x.n > 1")
+    # What is left of a set from a shingle on bounds how much two sets share if it is the first that they share.
+    prefix = placed.select("doc_id", "n", (F.col("n") - F.col("at")).alias("left"), "x.shingle").join(nodes, "doc_id")
+    prefix = materialise(prefix, "prefixes")
     mixed = prefix.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("shingle")
     prefix = prefix.join(mixed, "shingle", "left_semi")
-    other = prefix.select("shingle", F.col("doc_id").alias("a"), F.col("label").alias("label_a"), F.col("n_shingles").alias("n_a"))
-    near = 100 * F.least("n_shingles", "n_a") >= config.percent * F.greatest("n_shingles", "n_a")
-    pairs = prefix.join(other, "shingle").filter((F.col("a") < F.col("doc_id")) & (F.col("label") != F.col("label_a")) & near)
-    return pairs.select("a", F.col("doc_id").alias("b")).distinct()
+    # The smaller set of a pair must hold the shingle in about the first half of its prefix.
+    small = prefix.filter((100 + percent) * F.col("left") >= 2 * percent * F.col("n"))
+    small = small.select("shingle", F.col("doc_id").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"))
+    ordered = (F.col("n_a") < F.col("n")) | ((F.col("n_a") == F.col("n")) & (F.col("a") < F.col("doc_id")))
+    enough = (100 + percent) * F.least("left_a", "left") >= percent * (F.col("n_a") + F.col("n"))
+    pairs = prefix.join(small, "shingle").filter((F.col("label") != F.col("label_a")) & ordered & enough)
+    return pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
