@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.operators import extract, layout, quality, rank, search
+from scriptorium.operators import convert, extract, layout, quality, rank, search, serp, writer
 from scriptorium.streaming import control
 from scriptorium.tables import load
 
@@ -303,11 +303,24 @@ _SHARED = {
     "write_validate": "SELECT doc_id, n_chars < 0.5 * before OR n_chars > 5 * before AS refused FROM (SELECT doc_id, n_chars, lag(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM {documents}) AS r WHERE before > 0",
     "token_estimate": "SELECT doc_id, CASE WHEN n_chars = 0 THEN 0 ELSE CAST(floor(n_chars / CAST(4 AS DOUBLE)) AS BIGINT) + 1 END AS tokens FROM {documents}",
     "retry_backoff": "SELECT event_id, least(120.0, CAST(power(2, event_id % 10) AS DOUBLE)) AS delay FROM {events} WHERE event_type = 'error'",
+    "query_dedup": "SELECT conv_id, turn, query FROM (SELECT conv_id, turn, trim(text) AS query, row_number() OVER (PARTITION BY trim(text) ORDER BY conv_id, turn) AS n FROM {conversations} WHERE role = 'user' AND trim(text) <> '') AS r WHERE n = 1",
+    "queue_fifo": "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM {events} WHERE event_type NOT IN ('error', 'purchase')) AS r WHERE n = 1",
+    "queue_recover": "SELECT user_id, CASE status WHEN 'running' THEN 'pending' ELSE status END AS status FROM (SELECT user_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'done' ELSE 'running' END AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM {events}) AS r WHERE n = 1",
+    "batch_priority": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 10, event_id) AS place FROM {events}",
+    "cost_cleanup": "SELECT e.event_id FROM {events} AS e CROSS JOIN (SELECT max(ts) AS latest FROM {events}) AS m WHERE e.ts >= m.latest - INTERVAL '7' DAY",
+    "sse_buffer_drop": "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM {events}) AS r WHERE n <= 100",
+    "backup_ttl": "SELECT file, doc_id FROM (SELECT source AS file, doc_id, doc_id % 120 AS age, row_number() OVER (PARTITION BY source ORDER BY doc_id % 120, doc_id DESC) AS n FROM {documents}) AS r WHERE age <= 7 AND n <= 20",
+    "prometheus_text": "SELECT concat('events_total', chr(123), 'type=\"', event_type, '\"', chr(125), ' ', CAST(count(*) AS VARCHAR(20))) AS line FROM {events} GROUP BY event_type",
+    "message_metrics": "SELECT event_type AS topic, count(*) AS sent, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS failed, count(DISTINCT user_id) AS senders FROM {events} GROUP BY event_type",
+    "chunk_dedup": "SELECT page_id, title FROM (SELECT page_id, title, row_number() OVER (PARTITION BY substring(lower(trim(title)), 1, 50) ORDER BY page_id) AS n FROM (SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM {pages}) AS t WHERE trim(title) <> '') AS r WHERE n = 1",
+    "polish_gate": _MD.replace("FROM documents", "FROM {documents}") + "SELECT doc_id, length(text) >= 500 AND text LIKE '%](http%' AND length(concat(chr(10), text)) - length(replace(concat(chr(10), text), concat(chr(10), '## '), '')) >= 12 AS skip FROM md",
+    "lint_p0": _MD.replace("FROM documents", "FROM {documents}") + "SELECT doc_id, CASE WHEN trim(text) = '' THEN 'content' ELSE 'size' END AS issue FROM md WHERE trim(text) = '' OR bit_length(text) > 8 * 10 * 1024 * 1024",
+    "lint_missing_sections": _MD.replace("FROM documents", "FROM {documents}") + "SELECT doc_id, NOT (text LIKE '%常见问题%' OR lower(text) LIKE '%faq%') AS faq, NOT (text LIKE '%最佳实践%' OR lower(text) LIKE '%best_practice%') AS practice, NOT (text LIKE '%故障排查%' OR lower(text) LIKE '%troubleshoot%') AS trouble FROM md",
 }
 
 
 def _shared(name: str, sql: str) -> None:
-    tables = [t for t in ("events", "documents", "conversations") if f"{{{t}}}" in sql]
+    tables = [t for t in ("events", "documents", "conversations", "pages") if f"{{{t}}}" in sql]
 
     def run(spark, sf_dir):
         return spark.sql(sql, **{t: load(spark, sf_dir, t) for t in tables})
@@ -348,3 +361,110 @@ def keyword_top10(spark, sf_dir):
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(10)
 
 
+
+
+# -- further document operators ------------------------------------------------------------------
+
+_TOKENS = r"regexp_extract_all({}, '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]{{{{2,}}}}')".replace("{{{{2,}}}}", "{{2,}}")
+_HOLLOW = ", ".join(f"'{w}'" for w in quality.HOLLOW_WORDS)
+_SUBSTANCE = rf"""
+, su AS (SELECT doc_id, text, ps, CASE WHEN len(ws) > 0 AND density < 0.4 THEN 25 * (0.4::DOUBLE - density) / 0.4::DOUBLE ELSE 0::DOUBLE END AS thin, CASE WHEN most > 0.6 THEN 30 * (most - 0.6::DOUBLE) / 0.4::DOUBLE ELSE 0::DOUBLE END AS alike
+ FROM (SELECT *, len(list_filter(ws, lambda w: lower(w) NOT IN ({_HOLLOW}))) / greatest(len(ws), 1) AS density,
+   coalesce(list_max(list_transform(range(2, len(ps) + 1), lambda i: CASE WHEN len(ps[i]) > 0 AND len(ps[i - 1]) > 0 THEN len(list_intersect(ps[i], ps[i - 1])) / len(list_distinct(list_concat(ps[i], ps[i - 1]))) ELSE 0 END)), 0) AS most
+  FROM (SELECT doc_id, text, {_TOKENS.format("text")} AS ws, list_transform(list_filter(string_split(text, chr(10) || chr(10)), lambda p: length(trim(p)) > 30), lambda p: list_distinct({_TOKENS.format("p")})) AS ps FROM md))),
+sub AS (SELECT doc_id, CASE WHEN len(ps) = 0 THEN 0::DOUBLE ELSE greatest(0, 100 - thin - alike - CASE WHEN regexp_matches(text, '\p{{Nd}}') OR contains(text, '```') OR regexp_matches(text, '(?m)^\s*[-*]\s') THEN 0 ELSE 20 END)::DOUBLE END AS substance FROM su)
+"""
+_EVERY = quality.topic_tokens([TOPIC])[0]
+_COVER = lambda x: "(" + " + ".join(f"contains({x}, '{t}')::INT" for t in _EVERY) + f") / {len(_EVERY)}::DOUBLE"
+_TOPIC = f", tr AS (SELECT doc_id, round(least(100, {_COVER('lower(text)')} * 70 + {_COVER('array_to_string(list_slice(string_split(lower(text), chr(10)), 1, 30), chr(10))')} * 30), 1)::DOUBLE AS topic_relevance FROM md)"
+
+
+@_register(_MD + _SUBSTANCE + "SELECT doc_id, round(substance, 6) AS score FROM sub")
+def score_substance(spark, sf_dir):
+    return _md(spark, sf_dir).select("doc_id", F.round(quality.substance(F.col("text")), 6).alias("score"))
+
+
+@_register(_MD + _TOPIC + "SELECT doc_id, topic_relevance AS score FROM tr")
+def score_topic_relevance(spark, sf_dir):
+    return _md(spark, sf_dir).select("doc_id", quality.topic_relevance(F.col("text"), [TOPIC]).alias("score"))
+
+
+_STYLE = " + ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN {c} ELSE 0 END" for _, p, c in quality.STYLE_RULES)
+_PAIRS = r"regexp_extract_all(text, '\[[^\]]*\]\([^)]+\)')"
+_ISSUES = rf"(len(list_filter({_PAIRS}, lambda x: NOT regexp_matches(regexp_extract(x, '\]\(([^)]*)\)', 1), '^(https?://|#|/)'))) + len(list_filter({_PAIRS}, lambda x: trim(regexp_extract(x, '\[([^\]]*)\]', 1)) = '')))"
+
+
+@_register(_MD + f"SELECT doc_id, ({_STYLE})::BIGINT AS penalty FROM md")
+def style_issues(spark, sf_dir):
+    return _md(spark, sf_dir).select("doc_id", quality.style_penalty(F.col("text")).cast("long").alias("penalty"))
+
+
+@_register(_MD + f"SELECT doc_id, {_ISSUES}::BIGINT AS issues FROM md")
+def citation_report(spark, sf_dir):
+    return _md(spark, sf_dir).select("doc_id", quality.citation_issues(F.col("text")).cast("long").alias("issues"))
+
+
+@_register(_MD + _SCORES + _SUBSTANCE + _TOPIC + f"""SELECT doc_id, round(greatest(0, (0.18::DOUBLE * completeness + 0.12::DOUBLE * structure + 0.10::DOUBLE * readability + 0.12::DOUBLE * citation + 0.10::DOUBLE * depth + 0.18::DOUBLE * substance + 0.20::DOUBLE * topic_relevance) / 1.1::DOUBLE
+ - least(({_STYLE}) + 5 * {_ISSUES}, 40)), 1) >= 40 AS passed FROM md JOIN s USING (doc_id) JOIN sub USING (doc_id) JOIN tr USING (doc_id)""")
+def gate_verdict(spark, sf_dir):
+    """Whether all seven dimensions less penalties reach 40 of 100 (the invented prose has no topic to meet 70)."""
+    return _md(spark, sf_dir).select("doc_id", (quality.verdict(F.col("text"), [TOPIC]) >= 40).alias("passed"))
+
+
+@_register(r"""
+WITH a AS (SELECT page_id, unnest(hits) AS hit, unnest(range(len(hits))) AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?s)<a[^>]+href="https?://[^"]+"[^>]*>.*?</a>') AS hits FROM pages)),
+b AS (SELECT page_id, pos, regexp_extract(hit, '(?s)<a[^>]+href="(https?://[^"]+)"', 1) AS url, trim(regexp_replace(regexp_extract(hit, '(?s)<a[^>]+href="https?://[^"]+"[^>]*>(.*?)</a>', 1), '<[^>]+>', '', 'g')) AS title FROM a),
+c AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos) AS n FROM b WHERE length(title) >= 5 AND NOT regexp_matches(url, 'google\.com|bing\.com|sogou\.com|so\.com'))
+SELECT page_id, pos::BIGINT AS pos, url, title FROM c WHERE n = 1""")
+def serp_anchor_extract(spark, sf_dir):
+    return serp.anchors(load(spark, sf_dir, "pages"), "page_id", "html").withColumn("pos", F.col("pos").cast("long"))
+
+
+_HITS = {name: " + ".join(f"contains(body, '{w}')::INT" for w in words) for name, words in writer.SECTIONS.items()}
+_CHOICE = " ".join(f"WHEN {hits} = best THEN '{name}'" for name, hits in _HITS.items())
+
+
+@_register(_ROWS + f"SELECT pos, CASE WHEN best = 0 THEN '{writer.OTHER}' {_CHOICE} END AS section FROM (SELECT *, greatest({', '.join(_HITS.values())}) AS best FROM (SELECT pos, lower(title || ' ' || snippet) AS body FROM rows))")
+def chunk_classify(spark, sf_dir):
+    return _rows(spark, sf_dir).select("pos", writer.section_of(F.concat_ws(" ", "title", "snippet")).alias("section"))
+
+
+@_register("SELECT doc_id, source AS file, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS version, sha256(text) AS digest, strlen(text)::BIGINT AS size, (length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines FROM documents")
+def version_commit(spark, sf_dir):
+    return writer.versions(load(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("file"), "text"), "file", "doc_id", "text").select("doc_id", "file", "version", "digest", "size", "n_lines")
+
+
+@_register("SELECT page_id, CASE WHEN title = '' THEN left(sha256(url), 12) ELSE substr(regexp_replace(title, '[^a-zA-Z0-9_\\x{4e00}-\\x{9fff}-]', '_', 'g'), 1, 60) END AS file FROM (SELECT page_id, url, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages)".replace("\\\\", "\\"))
+def article_sink_projection(spark, sf_dir):
+    titled = load(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"))
+    return titled.select("page_id", writer.safe_name(F.col("title"), F.col("url")).alias("file"))
+
+
+@_register(_MD + _LINES + "SELECT doc_id, line_no::BIGINT AS line_no FROM l WHERE regexp_matches(line, '[│─┌┐└┘├┤┬┴┼〇]')")
+def lint_box_chars(spark, sf_dir):
+    return layout.lines(_md(spark, sf_dir)).filter(F.col("line").rlike("[│─┌┐└┘├┤┬┴┼〇]")).select("doc_id", F.col("line_no").cast("long").alias("line_no"))
+
+
+@_register()
+def md_to_html(spark, sf_dir):
+    return _md(spark, sf_dir).select("doc_id", convert.markdown_html("text").alias("html"))
+
+
+@_register()
+def version_diff(spark, sf_dir):
+    """Each document's Markdown against its plain text, as a unified diff."""
+    texts = load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("old"))
+    return _md(spark, sf_dir).join(texts, "doc_id").select("doc_id", convert.unified_diff("old", "text").alias("diff"))
+
+
+@_register("SELECT event_id, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) < 3 AS healthy FROM (SELECT *, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM events) AS r")
+def provider_health(spark, sf_dir):
+    calls = load(spark, sf_dir, "events").select("event_id", "ts", "user_id", (F.col("event_type") != "error").alias("success"))
+    return control.provider_health(calls, "user_id", ["ts", "event_id"], "success").select("event_id", "healthy")
+
+
+@_register()
+def cache_hits(spark, sf_dir):
+    """A cache of three event types for each user; entries live for a day."""
+    requests = load(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    return control.lru_hits(requests, "user_id", "event_type", "ts", ["ts", "event_id"], 3, 86400.0).select("event_id", "hit")

@@ -60,3 +60,76 @@ def overall(text: Column) -> Column:
     parts = {"completeness": completeness, "structure": structure, "readability": readability, "citation": citation, "depth": depth}
     total = sum(WEIGHTS[k] for k in parts)
     return F.round(sum((f(text) * WEIGHTS[k] for k, f in parts.items()), F.lit(0.0)) / total, 1)
+
+
+# Words without content of their own.
+HOLLOW_WORDS = ("的 了 是 在 和 与 及 也 都 就 而 等 我们 可以 这个 那个 一种 以及 通过 对于 由于 因此 但是 因为 the a an of to and or in on for is are be").split()
+TOPIC_STOP_WORDS = ("的 了 是 在 我 有 和 与 及 一个 这份 介绍 简单 基本 概念 生成 一份 文档 技术 测试 这是 用于 验证 流水线 是否 正常 工作 a the of to and is for this that with in on").split()
+# Fixed values: (name, pattern, penalty) of the default style rules; a rule costs its penalty once.
+STYLE_RULES = (("deep_heading", r"^#{4,}\s", 5), ("empty_heading", r"^#+\s*$", 10), ("empty_link", r"\[([^\]]*)\]\(\s*\)", 15), ("blank_lines", r"\n{4,}", 3))
+MAX_PENALTY, CITATION_PENALTY = 40, 5
+
+
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"(?U)[\w\x{4e00}-\x{9fff}]{2,}"), 0)
+
+
+def substance(text: Column) -> Column:
+    """Share of content words, likeness of neighbouring paragraphs, and whether a digit, code or list occurs."""
+    paras = paragraphs(text)
+    words = tokens(text)
+    density = F.size(F.filter(words, lambda w: ~F.lower(w).isin(*HOLLOW_WORDS))) / F.greatest(F.size(words), F.lit(1))
+    sets = F.transform(paras, lambda p: F.array_distinct(tokens(p)))
+    alike = lambda a, b: F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
+    most = F.coalesce(F.array_max(F.zip_with(sets, F.slice(sets, 2, 1_000_000), lambda a, b: F.coalesce(alike(a, b), F.lit(0.0)))), F.lit(0.0))
+    lost = F.when((F.size(words) > 0) & (density < 0.4), 25 * (0.4 - density) / 0.4).otherwise(0.0) + F.when(most > 0.6, 30 * (most - 0.6) / 0.4).otherwise(0.0)
+    bare = ~(text.rlike(r"\p{Nd}") | text.contains("```") | text.rlike(r"(?m)^\s*[-*]\s"))
+    return F.when(F.size(paras) == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 100 - lost - F.when(bare, 20).otherwise(0)))
+
+
+def topic_tokens(queries: list[str]) -> tuple[list[str], list[str]]:
+    """(tokens, proper names) of a few queries: Latin words, short Chinese runs, and the 2-grams of longer ones."""
+    import re
+
+    found, names = [], []
+    for q in queries:
+        names += [w.lower() for w in re.findall(r"\b[A-Z][a-zA-Z]{2,}\b", q)]
+        found += re.findall(r"[a-z]{2,}", q.lower())
+        for run in re.findall(r"[一-鿿]{2,}", q):
+            found += [run] if len(run) <= 3 else [run[i : i + 2] for i in range(len(run) - 1)]
+    keep = lambda words: sorted(set(words) - set(TOPIC_STOP_WORDS))
+    return keep(found + names), keep(names)
+
+
+def topic_relevance(text: Column, queries: list[str]) -> Column:
+    """70 parts for tokens anywhere, 30 for those in the first 30 lines; 0 if a proper name is missing; 70 without tokens."""
+    every, names = topic_tokens(queries)
+    if not every:
+        return F.lit(70.0)
+    low = F.lower(text)
+    head = F.array_join(F.slice(F.split(low, "\n", -1), 1, 30), "\n")
+    share = lambda where: sum((where.contains(t).cast("int") for t in every), F.lit(0)) / F.lit(float(len(every)))
+    score = F.round(F.least(F.lit(100.0), share(low) * 70 + share(head) * 30), 1)
+    for name in names:
+        score = F.when(~low.contains(name), 0.0).otherwise(score)
+    return score
+
+
+def style_penalty(text: Column) -> Column:
+    return sum((F.when(text.rlike(pattern), cost).otherwise(0) for _, pattern, cost in STYLE_RULES), F.lit(0))
+
+
+def citation_issues(text: Column) -> Column:
+    """Of the links with a target: those that are neither a web address, an anchor nor rooted, and those without a title."""
+    pairs = F.regexp_extract_all(text, F.lit(r"\[[^\]]*\]\([^)]+\)"), 0)
+    strange = F.filter(pairs, lambda x: ~F.regexp_extract(x, r"\]\(([^)]*)\)", 1).rlike("^(https?://|#|/)"))
+    return F.size(strange) + F.size(F.filter(pairs, lambda x: F.trim(F.regexp_extract(x, r"\[([^\]]*)\]", 1)) == ""))
+
+
+def verdict(text: Column, queries: list[str]) -> Column:
+    """The weighted mean of seven dimensions, less the style and citation penalties, to one place; a weight without dimension counts as 0."""
+    parts = {"completeness": completeness, "structure": structure, "readability": readability, "citation": citation, "depth": depth, "substance": substance}
+    total = sum(WEIGHTS.values()) + 0.20 + 0.10
+    mean = (sum((f(text) * WEIGHTS[k] for k, f in parts.items()), F.lit(0.0)) + topic_relevance(text, queries) * 0.20) / total
+    penalty = F.least(style_penalty(text) + CITATION_PENALTY * citation_issues(text), F.lit(MAX_PENALTY))
+    return F.round(F.greatest(F.lit(0.0), mean - penalty), 1)

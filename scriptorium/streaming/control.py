@@ -57,3 +57,37 @@ def circuit_breaker(events: DataFrame, key: str, time: str, order: list[str], su
         return pdf.assign(state=states, admitted=admitted)
 
     return events.groupBy(key).applyInPandas(run, schema)
+
+
+def provider_health(calls: DataFrame, key: str, order: list[str], success: str, failures: int = 3) -> DataFrame:
+    """``calls`` with healthy (after the call): false once ``failures`` calls in a row failed, true again after a success.
+
+    Only windows: the run of failures is counted since the last success, so no key's history is gathered in Python.
+    """
+    so_far = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    marked = calls.withColumn("_run", F.sum(F.col(success).cast("long")).over(so_far))
+    since = Window.partitionBy(key, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return marked.withColumn("healthy", F.sum((~F.col(success)).cast("long")).over(since) < failures).drop("_run")
+
+
+def lru_hits(requests: DataFrame, partition: str, key: str, time: str, order: list[str], capacity: int, ttl: float) -> DataFrame:
+    """``requests`` with hit: a cache for each partition that keeps ``capacity`` keys, least recently used out first; an entry older than ``ttl`` seconds misses (0: never)."""
+    from collections import OrderedDict
+
+    schema = requests.select("*", F.lit(True).alias("hit")).schema
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, ignore_index=True)
+        cache, hits = OrderedDict(), []
+        for now, k in zip(pdf[time].astype("datetime64[us]").astype("int64") / 1e6, pdf[key], strict=True):
+            hit = k in cache and not (ttl > 0 and now - cache[k] > ttl)
+            if not hit:
+                cache.pop(k, None)
+                while len(cache) >= capacity:
+                    cache.popitem(last=False)
+                cache[k] = now
+            cache.move_to_end(k)
+            hits.append(hit)
+        return pdf.assign(hit=hits)
+
+    return requests.groupBy(partition).applyInPandas(run, schema)
