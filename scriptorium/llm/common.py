@@ -36,6 +36,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session's Arrow batches of at most about 4 MB (or one row).
+
+    An executor holds a batch several times over, in direct memory and in Python, for each of its
+    tasks. A session that asks for less keeps its own setting.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(str(conf.get(key)).rstrip("bB")) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def held_out(doc_id: Column | str, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id's decimal text leaves ``remainder``; a null id is held out."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import materialise
+from scriptorium.llm.common import materialise, small_batches
 
 
 @dataclass(frozen=True)
@@ -117,7 +117,7 @@ def repeat_filter(docs: DataFrame, config: LineDedupConfig) -> tuple[bytes, int]
         for block, (_, twice) in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([twice.tobytes()], pa.binary())], names=["block", "packed"])
 
-    parts = docs.select("text").mapInArrow(build, "block int, bits binary, twice boolean")
+    parts = small_batches(docs).select("text").mapInArrow(build, "block int, bits binary, twice boolean")
     merged = parts.repartition(blocks, "block").mapInArrow(merge, "block int, packed binary").collect()
     size = (1 << log2_bits - 3) // blocks
     packed = bytearray(blocks * size)
@@ -148,7 +148,7 @@ def repeated_lines(docs: DataFrame, config: LineDedupConfig = LineDedupConfig())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "key"])
 
     # One row for each key and document, also where rows of a document are repeated.
-    seen = materialise(docs.mapInArrow(suspects, "doc_id long, key binary"), "suspect_lines").distinct()
+    seen = materialise(small_batches(docs).mapInArrow(suspects, "doc_id long, key binary"), "suspect_lines").distinct()
     repeats = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= config.min_docs).select("key", "keeper")
     return seen.join(repeats, "key").filter("doc_id <> keeper").groupBy("doc_id").agg(F.collect_list("key").alias("drop"))
 
@@ -181,7 +181,7 @@ def line_report(docs: DataFrame, config: LineDedupConfig = LineDedupConfig()) ->
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64()), pa.array(sums, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _with_drops(docs, config).select("doc_id", "text", "__drop").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return small_batches(_with_drops(docs, config)).select("doc_id", "text", "__drop").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def without_repeated_lines(docs: DataFrame, config: LineDedupConfig = LineDedupConfig()) -> DataFrame:
@@ -195,5 +195,5 @@ def without_repeated_lines(docs: DataFrame, config: LineDedupConfig = LineDedupC
 
     out = _with_drops(docs.withColumn("text", F.col("text").cast("string")), config)
     schema = docs.withColumn("text", F.col("text").cast("string")).schema
-    out = out.mapInArrow(run, schema)
+    out = small_batches(out).mapInArrow(run, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import materialise
+from scriptorium.llm.common import materialise, small_batches
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -207,5 +207,5 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
             taken = batch.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else taken.column(c) for c in schema.names], names=schema.names)
 
-    out = keyed.select(*docs.columns, "__plan").mapInArrow(run, schema)
+    out = small_batches(keyed).select(*docs.columns, "__plan").mapInArrow(run, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

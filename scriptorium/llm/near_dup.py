@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import components, materialise, mix, odd_constants, shingle_hashes, shingle_set, word_hashes, words_of
+from scriptorium.llm.common import components, materialise, mix, odd_constants, shingle_hashes, shingle_set, small_batches, word_hashes, words_of
 
 
 @dataclass(frozen=True)
@@ -124,7 +124,7 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) ->
     repeated rows; two texts under one doc_id count as one node. An empty table gives an empty table.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialise(docs.mapInArrow(_sign(config), SIGNED), "signed")
+    signed = materialise(small_batches(docs).mapInArrow(_sign(config), SIGNED), "signed")
     nodes = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     copies = nodes.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     firsts = nodes.join(copies, (nodes.digest == copies.digest) & (nodes.doc_id == copies.first_id), "left_semi")
@@ -145,13 +145,13 @@ def _linked(docs: DataFrame, members: DataFrame, config: NearDupConfig) -> DataF
     """(node, label) of all nodes that some confirmed link reaches."""
     ids = members.select("doc_id").distinct()
     texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = materialise(texts.mapInArrow(_sets(config), "doc_id long, shingles array<long>"), "candidate_sets")
+    sets = materialise(small_batches(texts).mapInArrow(_sets(config), "doc_id long, shingles array<long>"), "candidate_sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
         left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
         found = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
-        return materialise(found.mapInArrow(_confirm(config), "a long, b long, linked boolean").filter("linked").select("a", "b"), "links")
+        return materialise(small_batches(found).mapInArrow(_confirm(config), "a long, b long, linked boolean").filter("linked").select("a", "b"), "links")
 
     alike = 100 * F.least("n_shingles", "n_hub") >= config.percent * F.greatest("n_shingles", "n_hub")
     hub = F.max(F.struct("central", (-F.col("doc_id")).alias("minus"), "n_shingles"))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import materialise
+from scriptorium.llm.common import materialise, small_batches
 
 
 def public_vocabulary() -> str:
@@ -234,7 +234,7 @@ def pack(docs: DataFrame, config: PackConfig = PackConfig()) -> DataFrame:
             yield packer.batch()
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    placed = materialise(docs.mapInArrow(fill, _ROWS), "placed")
+    placed = materialise(small_batches(docs).mapInArrow(fill, _ROWS), "placed")
     left = placed.filter("sequence_id IS NULL").withColumn("group_id", F.floor(F.col("task") / config.leftovers).cast("long"))
     merged = left.repartition("group_id").sortWithinPartitions("group_id", "task", "doc_id", "start").mapInArrow(merge, _ROWS)
     return placed.filter("sequence_id IS NOT NULL").unionByName(merged).drop("ids", "task")

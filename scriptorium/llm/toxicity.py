@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import held_out, materialise
+from scriptorium.llm.common import held_out, materialise, small_batches
 
 #: Identity terms by kind; a term is swapped for the others of its kind.
 IDENTITY_TERMS = (
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     # At most config.sample rows of two numbers.
-    seen = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(read, "toxic int, words array<string>, own array<array<string>>, twin array<array<string>>")
+    seen = small_batches(texts).join(F.broadcast(chosen), "doc_id").mapInArrow(read, "toxic int, words array<string>, own array<array<string>>, twin array<array<string>>")
     seen = materialise(seen, "toxicity_sample").groupBy("words", "toxic").agg(F.min(F.struct("own", "twin")).alias("pairs"))
     seen = materialise(seen, "toxicity_texts")
     counts = seen.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
@@ -187,7 +187,7 @@ def score(docs: DataFrame, model: ToxicityModel, config: ToxicityConfig = Toxici
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([known.score(t) for t in batch.column("text").to_pylist()], pa.float64())], names=["doc_id", "score"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = docs.mapInArrow(run, "doc_id long, score double")
+    scored = small_batches(docs).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id", config.modulus, config.remainder).alias("held_out"), "score", (F.col("score") >= config.threshold).cast("int").alias("predicted"))
 
 
@@ -200,4 +200,4 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, config: ToxicityConfig
         for batch in batches:
             yield batch.filter(pa.array([known.score(t) < config.threshold for t in batch.column("text").to_pylist()], pa.bool_())).select(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
