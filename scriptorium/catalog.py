@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.operators import convert, extract, layout, quality, rank, search, serp, writer
+from scriptorium.operators import convert, enhance, extract, layout, quality, rank, search, serp, writer
 from scriptorium.streaming import control
 from scriptorium.tables import load
 
@@ -468,3 +468,108 @@ def cache_hits(spark, sf_dir):
     """A cache of three event types for each user; entries live for a day."""
     requests = load(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     return control.lru_hits(requests, "user_id", "event_type", "ts", ["ts", "event_id"], 3, 86400.0).select("event_id", "hit")
+
+
+# -- rewritten texts, tables, checks -----------------------------------------------------------
+
+_BARE = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+#: Each document and a rewrite of it: without its fence, with further chapters, or as it was.
+_PAIR = _MD + """, pair AS (SELECT doc_id, original, CASE doc_id % 4 WHEN 0 THEN replace(original, chr(10) || '```', '') WHEN 1 THEN replace(original, '#### ', '##### ') WHEN 2 THEN '## New' || chr(10) || original || chr(10) || ' ## Newer ' ELSE original || chr(10) || '优化后的内容' END AS rewritten
+  FROM (SELECT doc_id, text || chr(10) || '```' || chr(10) || 'code' || chr(10) || '```' || chr(10) || '#### Deep ' || doc_id AS original FROM md))
+"""
+_MARKS = ", ".join(f"'{x}'" for x in enhance.META_LINES)
+_SPLIT = "string_split({x}, chr(10))"
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_PAIR.replace("FROM documents", "FROM {documents}") + "SELECT * FROM pair", documents=load(spark, sf_dir, "documents"))
+
+
+@_register(r"SELECT conv_id, turn, regexp_replace(regexp_replace('<think>a' || chr(10) || '</think> ' || text, '(?s)<\s*think\s*>.*?<\s*/\s*think\s*>', '', 'g'), '^\s+|\s+$', '', 'g') AS answer FROM conversations")
+def think_strip(spark, sf_dir):
+    thought = F.concat(F.lit("<think>a\n</think> "), "text")
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", enhance.without_thoughts(thought).alias("answer"))
+
+
+@_register(r"SELECT page_id, regexp_replace(url, '([\[\]()*_])', '\\\1', 'g') AS escaped FROM pages")
+def markdown_escape(spark, sf_dir):
+    return load(spark, sf_dir, "pages").select("page_id", enhance.escaped(F.col("url")).alias("escaped"))
+
+
+@_register(_PAIR + f"SELECT doc_id, sha256(array_to_string(list_filter({_SPLIT.format(x='rewritten')}, lambda x: NOT (regexp_matches({_BARE.format(x='x')}, '^## .*\\S') OR {_BARE.format(x='x')} IN ({_MARKS}))), chr(10))) AS digest FROM pair")
+def llm_output_clean(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("doc_id", F.sha2(enhance.cleaned(F.col("rewritten")), 256).alias("digest"))
+
+
+@_register(_PAIR + "SELECT doc_id, sha256(CASE WHEN len(regexp_extract_all(original, '\\n```')) <> len(regexp_extract_all(rewritten, '\\n```')) OR len(list_filter(regexp_extract_all(original, '(?m)^#### .+'), lambda x: NOT list_contains(regexp_extract_all(rewritten, '(?m)^#### .+'), x))) > 0 THEN original ELSE rewritten END) AS digest FROM pair")
+def enhance_guard(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("doc_id", F.sha2(enhance.guarded(F.col("original"), F.col("rewritten")), 256).alias("digest"))
+
+
+@_register(_PAIR + f""", t AS (SELECT doc_id, rewritten, list_transform({_SPLIT.format(x='original')}, lambda x: {_BARE.format(x='x')}) AS known FROM pair)
+SELECT doc_id, sha256(array_to_string(list_transform({_SPLIT.format(x='rewritten')}, lambda x: CASE WHEN regexp_matches({_BARE.format(x='x')}, '^## .*\\S') AND NOT list_contains(known, {_BARE.format(x='x')}) THEN '**' || substr({_BARE.format(x='x')}, 4) || '**' ELSE x END), chr(10))) AS digest FROM t""")
+def fake_heading_demote(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("doc_id", F.sha2(enhance.demoted(F.col("rewritten"), enhance.chapters(F.col("original"))), 256).alias("digest"))
+
+
+_TABLES = _MD.replace("WITH md AS (SELECT doc_id, ", "WITH md AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 | 3 |' WHEN 1 THEN '| a | |' || chr(10) || '| - |' || chr(10) || '| 1 |' ELSE '|a|b|' END || chr(10) || ", 1)
+
+
+@_register(_TABLES + _LINES + r""", a AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS bare, regexp_matches(string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING), '\|\s*[-:]+\s*\|') AS near FROM l),
+b AS (SELECT *, sum(CASE WHEN starts_with(bare, '|') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM a),
+c AS (SELECT *, min(CASE WHEN near THEN line_no END) OVER (PARTITION BY doc_id, run) AS start, len(list_filter(string_split(bare, '|'), lambda x: regexp_matches(x, '\S'))) AS cells FROM b WHERE starts_with(bare, '|') AND NOT regexp_matches(bare, '^\|[\s\-:]+\|$'))
+SELECT doc_id, min(line_no)::BIGINT AS line_no, max(cells)::BIGINT AS widest FROM c WHERE line_no >= start GROUP BY doc_id, run HAVING min(cells) < max(cells)""")
+def lint_table_columns(spark, sf_dir):
+    docs = spark.sql(_TABLES.replace("FROM documents", "FROM {documents}") + "SELECT * FROM md", documents=load(spark, sf_dir, "documents"))
+    return layout.ragged_tables(docs).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("widest").cast("long").alias("widest"))
+
+
+@_register(_MD + r""", a AS (SELECT doc_id, CASE WHEN NOT regexp_matches(text, '\S') OR strlen(text) > 10485760 THEN 1 ELSE 0 END AS p0, len(regexp_extract_all(text, '[\x00-\x08\x0e-\x1b\x1f]')) + len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[│─┌┐└┘├┤┬┴┼〇]'))) + CASE WHEN len(regexp_extract_all(text, '(?m)^#{1,2}\s+\S')) < 3 THEN 1 ELSE 0 END AS p1 FROM md)
+SELECT doc_id, p0::BIGINT AS p0, (CASE WHEN p0 > 0 THEN 0 ELSE p1 END)::BIGINT AS p1, CASE WHEN p0 > 0 THEN 'blocked' WHEN p1 > 0 THEN 'fail' ELSE 'pass' END AS status FROM a""")
+def checker_verdict(spark, sf_dir):
+    p0, p1 = layout.check_counts(F.col("text"))
+    return _md(spark, sf_dir).select("doc_id", p0.alias("p0"), p1.alias("p1")).withColumn("status", layout.check_status(F.col("p0"), F.col("p1")))
+
+
+# -- several engines and sites -----------------------------------------------------------------
+
+
+@_register("WITH r AS (SELECT page_id % 20 AS query, page_id % 3 AS rank, page_id, split_part(url, '?', 1) AS url FROM pages), a AS (SELECT *, row_number() OVER (PARTITION BY query, url ORDER BY rank, page_id) AS n FROM r WHERE url <> ''), b AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank, page_id) AS m FROM a WHERE n = 1) SELECT query, page_id, url FROM b WHERE m <= 10")
+def engine_fallback(spark, sf_dir):
+    """Rows of three engines (by id) for twenty queries, ten a query."""
+    rows = load(spark, sf_dir, "pages").select((F.col("page_id") % 20).alias("query"), (F.col("page_id") % 3).alias("rank"), "page_id", F.substring_index("url", "?", 1).alias("url"))
+    return search.merged(rows, "query", ["rank", "page_id"], 10).select("query", "page_id", "url")
+
+
+_SITES = ", ".join(f"('{d}', '{n}')" for d, n in search.SITES)
+
+
+@_register(f"SELECT conv_id, turn, site, 'site:' || domain || ' ' || text AS site_query FROM conversations, (VALUES {_SITES}) s(domain, site) WHERE role = 'user'")
+def site_search(spark, sf_dir):
+    return search.site_queries(load(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", "text"), "text").select("conv_id", "turn", "site", "site_query")
+
+
+@_register("""WITH r AS (SELECT page_id % 20 AS query, page_id, url, 'web' AS source, page_id % 5 AS part FROM pages),
+s AS (SELECT *, row_number() OVER (PARTITION BY query, part ORDER BY page_id) AS k FROM r WHERE part > 2),
+u AS (SELECT query, page_id, url, source, false AS late FROM r WHERE part <= 2 UNION ALL SELECT query, page_id, url, source || '[' || part || ']', true FROM s WHERE k <= 3),
+a AS (SELECT *, row_number() OVER (PARTITION BY query, url ORDER BY late, page_id) AS n FROM u WHERE url <> ''), b AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY late, page_id) AS m FROM a WHERE n = 1)
+SELECT query, page_id, source FROM b WHERE m <= 20""")
+def site_union(spark, sf_dir):
+    """Web rows, then at most three of each site (two parts of the pages)."""
+    rows = load(spark, sf_dir, "pages").select((F.col("page_id") % 20).alias("query"), "page_id", "url", F.lit("web").alias("source"), (F.col("page_id") % 5).alias("part"))
+    sites = rows.filter("part > 2").withColumn("site", F.col("part").cast("string")).drop("part")
+    return search.with_sites(rows.filter("part <= 2").drop("part"), sites, "query", ["page_id"], 20).select("query", "page_id", "source")
+
+
+_TOPIC_WORDS = TOPIC.split()
+_POINTS = lambda words: "(" + " + ".join(f"{2 if w in _TOPIC_WORDS else 1} * contains(low, '{w}')::INT" for w in (*words, *_TOPIC_WORDS)) + ")"
+
+
+@_register(r"""WITH p AS (SELECT doc_id, i, regexp_replace(line, '^\s+|\s+$', '', 'g') AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)), q AS (SELECT *, lower(text) AS low FROM p WHERE length(text) > 50),
+s AS (""" + " UNION ALL ".join(f"SELECT {k} AS section, doc_id, i, text, {_POINTS(words)} / greatest(length(text) / 1000::DOUBLE, 1) AS score FROM q" for k, (_, words) in enumerate(writer.PLAN)) + """),
+a AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY score DESC, doc_id, i) AS n FROM s WHERE score > 0), b AS (SELECT *, row_number() OVER (PARTITION BY section, left(text, 200) ORDER BY n) AS m FROM a WHERE n <= 3)
+SELECT section, doc_id, i::BIGINT AS i, round(score, 6) AS score FROM b WHERE m = 1""")
+def section_top3(spark, sf_dir):
+    """The three best paragraphs of each section of the fixed plan."""
+    paragraphs = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).select("doc_id", F.col("i").cast("long").alias("i"), enhance.stripped(F.col("line")).alias("text")).filter("length(text) > 50")
+    return writer.section_paragraphs(paragraphs, ["doc_id", "i"], _TOPIC_WORDS).select("section", "doc_id", "i", F.round("score", 6).alias("score"))

@@ -48,3 +48,33 @@ def section_changes(new: DataFrame, old: DataFrame) -> DataFrame:
     last = lambda s: s.groupBy("doc_id", "title").agg(F.max_by("digest", "sec_no").alias("digest"))
     joined = last(new).join(last(old).withColumnRenamed("digest", "was"), ["doc_id", "title"], "left")
     return joined.select("doc_id", "title", F.when(F.col("was").isNull(), "new").when(F.col("was") != F.col("digest"), "modified").otherwise("unchanged").alias("change"))
+
+
+def ragged_tables(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, widest): tables whose rows differ in their number of filled cells.
+
+    A table is a run of lines that begin with a pipe, from the first row that has a delimiter
+    line at most five lines before or four after it; delimiter lines aren't rows.
+    """
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    near = F.array_join(F.collect_list("line").over(order.rowsBetween(-5, 4)), "\n").rlike(r"\|\s*[-:]+\s*\|")
+    own = lines(docs).withColumn("bare", F.regexp_replace("line", r"^\s+|\s+$", "")).withColumn("pipe", F.col("bare").startswith("|"))
+    own = own.withColumn("near", near).withColumn("run", F.sum(F.when(F.col("pipe"), 0).otherwise(1)).over(order))
+    own = own.filter(F.col("pipe") & ~F.col("bare").rlike(r"^\|[\s\-:]+\|$"))
+    own = own.withColumn("start", F.min(F.when(F.col("near"), F.col("line_no"))).over(Window.partitionBy("doc_id", "run"))).filter("line_no >= start")
+    cells = F.size(F.filter(F.split("bare", r"\|", -1), lambda c: c.rlike(r"\S")))
+    out = own.groupBy("doc_id", "run").agg(F.min("line_no").alias("line_no"), F.max(cells).alias("widest"), F.min(cells).alias("least"))
+    return out.filter("least < widest").select("doc_id", "line_no", "widest")
+
+
+def check_counts(text: Column, min_headings: int = 3, max_bytes: int = 10 << 20) -> tuple[Column, Column]:
+    """(fatal, severe) findings: empty or too large; control characters, lines with box glyphs, too few headings. A fatal one ends the check."""
+    fatal = (~text.rlike(r"\S") | (F.octet_length(text) > max_bytes)).cast("long")
+    boxes = F.size(F.filter(F.split(text, "\n", -1), lambda line: line.rlike("[│─┌┐└┘├┤┬┴┼〇]")))
+    few = (F.regexp_count(text, F.lit(r"(?md)^#{1,2}\s+\S")) < min_headings).cast("long")
+    severe = F.regexp_count(text, F.lit(r"[\x00-\x08\x0e-\x1b\x1f]")) + boxes + few
+    return fatal, F.when(fatal > 0, F.lit(0)).otherwise(severe).cast("long")
+
+
+def check_status(fatal: Column, severe: Column) -> Column:
+    return F.when(fatal > 0, "blocked").when(severe > 0, "fail").otherwise("pass")

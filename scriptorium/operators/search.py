@@ -86,3 +86,31 @@ def first_of_each(rows: DataFrame) -> DataFrame:
     # Rows without a title form no group: each is keyed by its own position.
     key = F.when(title == "", F.concat(F.lit("\0"), F.col("pos").cast("string"))).otherwise(title)
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).filter("_n = 1").drop("_n")
+
+
+# The sites that a search is repeated on, and their names.
+SITES = (
+    ("zhihu.com", "知乎"), ("juejin.cn", "掘金"), ("bilibili.com", "哔哩哔哩"), ("blog.csdn.net", "CSDN"), ("cnblogs.com", "博客园"),
+    ("github.com", "GitHub"), ("gitee.com", "Gitee"), ("wikipedia.org", "维基百科"), ("segmentfault.com", "SegmentFault"),
+)
+
+
+def site_queries(queries: DataFrame, query: str) -> DataFrame:
+    """Each row once for each site: (..., site, site_query)."""
+    sites = F.array(*(F.struct(F.lit(d).alias("domain"), F.lit(n).alias("site")) for d, n in SITES))
+    out = queries.withColumn("_site", F.explode(sites))
+    return out.withColumn("site", F.col("_site.site")).withColumn("site_query", F.concat(F.lit("site:"), "_site.domain", F.lit(" "), query)).drop("_site")
+
+
+def merged(rows: DataFrame, query: str, order: list[str], most: int) -> DataFrame:
+    """Engines' rows in ``order`` (rank of the engine first): the first of each URL, at most ``most`` for a query; rows without a URL go."""
+    own = rows.filter("url <> ''").withColumn("_n", F.row_number().over(Window.partitionBy(query, "url").orderBy(*order))).filter("_n = 1")
+    return own.withColumn("_n", F.row_number().over(Window.partitionBy(query).orderBy(*order))).filter(F.col("_n") <= most).drop("_n")
+
+
+def with_sites(rows: DataFrame, from_sites: DataFrame, query: str, order: list[str], most: int, each: int = 3) -> DataFrame:
+    """``rows``, then the first ``each`` rows of each site (column site) with their source tagged; merged as above."""
+    top = from_sites.withColumn("_n", F.row_number().over(Window.partitionBy(query, "site").orderBy(*order))).filter(F.col("_n") <= each)
+    top = top.withColumn("source", F.concat("source", F.lit("["), "site", F.lit("]"))).drop("site", "_n")
+    both = rows.withColumn("_late", F.lit(False)).unionByName(top.withColumn("_late", F.lit(True)))
+    return merged(both, query, ["_late", *order], most).drop("_late")

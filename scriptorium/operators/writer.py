@@ -38,3 +38,30 @@ def versions(texts: DataFrame, file: str, order: str, text: str) -> DataFrame:
     numbered = texts.withColumn("version", F.row_number().over(Window.partitionBy(file).orderBy(order)).cast("long"))
     lines = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1
     return numbered.select("*", F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("size"), lines.cast("long").alias("n_lines"))
+
+
+# The plan of a document without a model, and the words that a section looks for.
+PLAN = (
+    ("概述", ("概述", "简介", "概念", "背景")), ("核心架构", ("架构", "设计", "原理", "组件")), ("关键特性", ("特性", "功能", "特点", "支持")),
+    ("工作流程", ("流程", "工作", "数据流", "处理")), ("实践应用", ("实践", "应用", "部署", "配置", "使用")), ("总结", ("总结", "最佳实践", "建议", "展望")),
+)
+
+
+def paragraph_score(text: Column, words: tuple[str, ...], topic: list[str]) -> Column:
+    """A point for each word and two for each topic word that occurs, by thousand characters of longer texts."""
+    low = F.lower(text)
+    points = sum(((2 if w in topic else 1) * low.contains(w.lower()).cast("int") for w in (*words, *topic)), F.lit(0))
+    return points / F.greatest(F.length(text) / 1000, F.lit(1.0))
+
+
+def section_paragraphs(paragraphs: DataFrame, order: list[str], topic: list[str], most: int = 3) -> DataFrame:
+    """(section, *order, score, text): the best paragraphs of each section of ``PLAN``, equal beginnings once; ties by ``order``.
+
+    All scores come from one pass; the limit within a section runs before the shuffle.
+    """
+    scored = F.explode(F.array(*(F.struct(F.lit(i).alias("section"), paragraph_score(F.col("text"), words, topic).alias("score")) for i, (_, words) in enumerate(PLAN))))
+    own = paragraphs.select(*order, "text", scored.alias("_s")).select(*order, "text", "_s.*").filter("score > 0")
+    best = Window.partitionBy("section").orderBy(F.col("score").desc(), *order)
+    own = own.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= most)
+    alike = Window.partitionBy("section", F.substring("text", 1, 200)).orderBy("_n")
+    return own.withColumn("_m", F.row_number().over(alike)).filter("_m = 1").select("section", *order, "score", "text")
