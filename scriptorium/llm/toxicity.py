@@ -1,6 +1,7 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-A logistic model over the presence of words is trained in numpy on labelled documents. For each
+A logistic model over the presence of words, and of word prefixes for inflected stems, is trained
+in numpy on labelled documents. For each
 sentence that names a group, a twin is made in which the identity term is swapped for another;
 the loss has a penalty on the squared difference of the two scores, so the model can't lean on
 the mention of a group. Words are chosen on the executors, and only a bounded sample of labelled
@@ -10,7 +11,7 @@ documents, as word numbers, reaches the driver.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,12 +40,14 @@ IDENTITY_TERMS = (
 class ToxicityConfig:
     """sample: most labelled documents that training sees (taken in the order of a hash of their ids).
 
-    words: most words in the model; least_z: z-score of a word's log odds ratio between the classes, at least.
+    words: most words, and most prefixes, in the model; prefixes: letters of the prefixes of longer words.
+    least_z: z-score of a word's or prefix's log odds ratio between the classes, at least.
     ridge and fairness weigh the squared weights and the squared counterfactual score changes.
     """
 
     sample: int = 16_000
     words: int = 20_000
+    prefixes: tuple[int, ...] = (4, 5, 6, 7)
     least_z: float = 2.5
     ridge: float = 1e-6
     fairness: float = 1.0
@@ -58,12 +61,24 @@ class ToxicityConfig:
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
+_TERMS = frozenset(t for kind in IDENTITY_TERMS for t in kind)
+#: Rows whose features are in memory at once.
+_ROWS = 256
 
 
 def words_in(text: str | None) -> set[str]:
     return set(_WORD.findall(text.lower())) if text else set()
 
 
+def features(words: Iterable[str], prefixes: tuple[int, ...], terms: frozenset[str] = _TERMS) -> set[str]:
+    """``words`` and, marked by ``*``, their prefixes: a stem counts as one feature however its word ends.
+
+    Identity terms count as themselves alone, so that the penalty has one weight of each to hold down.
+    """
+    words = set(words)
+    return words | {w[:n] + "*" for w in words if w not in terms for n in prefixes if len(w) > n}
+
+
 def counterfactuals(text: str | None, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> list[tuple[set[str], set[str]]]:
     """(words, words of the twin) of each sentence that holds an identity term, with the term swapped for the next of its kind."""
     following = {t: kind[(i + 1) % len(kind)] for kind in terms for i, t in enumerate(kind)}
@@ -121,12 +136,14 @@ def train(rows: list[list[int]], labels: list[int], twins: list[tuple[list[int],
 class ToxicityModel:
     number: dict[str, int]
     weights: np.ndarray
+    prefixes: tuple[int, ...] = ToxicityConfig.prefixes
+    terms: frozenset[str] = _TERMS
 
     def score(self, text: str | None) -> float:
-        """0 to 1; a text without known words, null and empty ones too, has the score of the bias."""
+        """0 to 1; a text without known words or prefixes, null and empty ones too, has the score of the bias."""
         number, w = self.number, self.weights
         # In the order of their numbers, so that equal texts sum alike on every machine.
-        known = sorted(number[x] for x in words_in(text) if x in number)
+        known = sorted(number[x] for x in features(words_in(text), self.prefixes, self.terms) if x in number)
         return float(sigmoid(np.array(w[known].sum() + w[-1])))
 
 
@@ -138,6 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
     """
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(~held_out("doc_id", config.modulus, config.remainder) & F.col("toxic").isin(0, 1))
     labels = labels.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").select("doc_id", "toxic")
+    terms = frozenset(t for kind in config.terms for t in kind)
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.sample)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,29 +170,41 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
     seen = small_batches(texts).join(F.broadcast(chosen), "doc_id").mapInArrow(read, "toxic int, words array<string>, own array<array<string>>, twin array<array<string>>")
     seen = materialise(seen, "toxicity_sample").groupBy("words", "toxic").agg(F.min(F.struct("own", "twin")).alias("pairs"))
     seen = materialise(seen, "toxicity_texts")
-    counts = seen.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                found = [list(features(x, config.prefixes, terms)) for x in part.column("words").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(found, pa.list_(pa.string()))], names=["toxic", "features"])
+
+    counts = small_batches(seen.select("toxic", "words")).mapInArrow(spread, "toxic int, features array<string>")
+    counts = counts.select("toxic", F.explode("features").alias("word")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     totals = seen.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
     bad, good = (totals["bad"] or 0) + 1, (totals["good"] or 0) + 1
     ratio = F.log((F.col("bad") + 0.5) / bad) - F.log((F.col("good") + 0.5) / good)
     # The ratio's z-score, by the variance of its counts: words that only chance divides stay out.
     pull = F.abs(ratio) / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    known = counts.filter(pull >= config.least_z).orderBy(pull.desc(), "word").limit(config.words)
-    number = {row["word"]: i for i, row in enumerate(known.select("word").collect())}
+    known = materialise(counts.filter(pull >= config.least_z).select("word", pull.alias("pull")), "toxicity_words")
+    # A limit for each, so that prefixes take no word's place.
+    kinds = (known.filter(~F.col("word").endswith("*")), known.filter(F.col("word").endswith("*")))
+    chosen_words = [row["word"] for kind in kinds for row in kind.orderBy(F.desc("pull"), "word").limit(config.words).collect()]
+    number = {word: i for i, word in enumerate(chosen_words)}
     rows, marks, twins = [], [], []
-    numbers = lambda words: sorted(number[w] for w in words if w in number)
+    numbers = lambda words: sorted(number[w] for w in features(words, config.prefixes, terms) if w in number)
     shared = seen.sparkSession.sparkContext.broadcast(number)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            found = [[known[w] for w in words if w in known] for words in batch.column("words").to_pylist()]
+            found = [sorted(known[w] for w in features(words, config.prefixes, terms) if w in known) for words in batch.column("words").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int32())), batch.column("pairs")], names=["toxic", "found", "pairs"])
 
     for row in seen.mapInArrow(numbered, "toxic int, found array<int>, pairs struct<own: array<array<string>>, twin: array<array<string>>>").orderBy("toxic", "found").collect():
         rows.append(row["found"])
         marks.append(row["toxic"])
         twins += [(numbers(a), numbers(b)) for a, b in zip(row["pairs"]["own"], row["pairs"]["twin"], strict=True)]
-    return ToxicityModel(number, train(rows, marks, twins, len(number), config))
+    return ToxicityModel(number, train(rows, marks, twins, len(number), config), config.prefixes, terms)
 
 
 def score(docs: DataFrame, model: ToxicityModel, config: ToxicityConfig = ToxicityConfig()) -> DataFrame:

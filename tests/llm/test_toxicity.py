@@ -76,3 +76,17 @@ def test_training_follows_the_loss():
     assert x.dot(np.array([1.0, 2.0, 4.0])).tolist() == [3, 2] and x.back(np.array([1.0, 10.0])).tolist() == [1, 11, 0]
     w = train([[0], [1]] * 50, [1, 0] * 50, [], 2, ToxicityConfig())
     assert w[0] > 1 and w[1] < -1
+
+
+def test_inflected_stems_are_found(spark):
+    endings = [a + b for a in "abcdefghij" for b in "klmnopqrst"]
+    rows = [(i, f"w{i % 7} mild{endings[i % 100]} {'achlich' + endings[i // 3 % 100] if i % 3 == 0 else 'freundlich'}") for i in range(300)]
+    model = fit(frame(spark, rows), spark.createDataFrame([(i, 1, int(i % 3 == 0), "t") for i in range(300)], LABELS))
+    assert model.score("w1 achlichung") > 0.5 and model.score("w1 freundlicher") < 0.1
+
+
+def test_held_out_rows_of_every_language(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect()}
+    got = [r.predicted for r in op3_toxicity(spark, sf).collect() if r.held_out and labels.get(r.doc_id)]
+    assert sum(got) >= 0.9 * len(got)
