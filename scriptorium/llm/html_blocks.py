@@ -1,10 +1,12 @@
 """HTML extraction by line-block distribution.
 
-Markup is stripped to lines: each block-level boundary ends a line, and an element that is never
-part of an article (script, style, form, navigation, advert, ...) leaves ``window`` empty lines.
+Markup is stripped to lines: each block-level boundary ends a line. Elements that are never part of
+an article are dropped; those that part a page (navigation, header, footer, form, ...) leave ``window``
+empty lines, those that stand inside texts too (script, frame, advert, aside, ...) leave none.
 The distribution is the sum of text lengths over a sliding window of lines; text inside links
 counts for nothing, so menus stay flat. A surge point is where the sum leaves zero, a dive point
-where it returns to zero; the text between the points of the heaviest surges is the article.
+where it returns to zero; the text from the first to the last surge that is about as dense (text for
+each line with text) as the heaviest is the article.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class BlockConfig:
-    """window: lines in a block; share: a further surge counts when its text is this share of the heaviest."""
+    """window: lines in a block; share: a further surge counts when its text for each line is this share of the heaviest's."""
 
     window: int = 3
     share: float = 0.5
@@ -36,6 +38,8 @@ _NAME_PART = re.compile(r"[a-z]+")
 RAW = frozenset(("script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "select", "object", "math", "canvas"))
 NEVER = frozenset(("nav", "footer", "aside", "form", "head", "menu", "dialog", "button", "fieldset"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Dropped elements that part a page; other dropped elements don't end a surge.
+PARTS = frozenset(("nav", "footer", "form", "head", "header", "menu", "dialog"))
 BLOCK = frozenset("address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 BODY = frozenset(("article", "main"))
 #: Parts of class, id and role names of elements around an article.
@@ -100,10 +104,10 @@ def lines_of(html: str, gap: int) -> tuple[list[str], list[int], list[int]]:
             lower = lower if lower is not None else html.lower()
             stop = lower.find(f"</{name}", at)
             at = end if stop < 0 else stop
-            close(gap if name != "title" else 0)
+            close()
             continue
         if not closing and name not in VOID and not attributes.endswith("/") and _around(name, attributes, inside):
-            close(gap)
+            close(gap if name in PARTS else 0)
             links = 0
             at = _skip(html, name, at)
             continue
@@ -140,6 +144,10 @@ def surges(weights: list[int], window: int) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(up == 1).tolist(), np.flatnonzero(up == -1).tolist(), strict=True))
 
 
+def _density(weights: list[int]) -> float:
+    return sum(weights) / max(1, sum(w > 0 for w in weights))
+
+
 def main_text(html: str | None, config: BlockConfig = BlockConfig()) -> str:
     """The article's text: blocks in page order, joined by one space; empty for null, empty or text-free pages."""
     if not html:
@@ -147,17 +155,18 @@ def main_text(html: str | None, config: BlockConfig = BlockConfig()) -> str:
     lines, weights, owners = lines_of(html, config.window)
     found = []
     for start, stop in surges(weights, config.window):
-        found.append((sum(weights[start:stop]), max(owners[start:stop]), start, stop))
+        found.append((sum(weights[start:stop]), _density(weights[start:stop]), max(owners[start:stop]), start, stop))
     if not found:
         return " ".join(x for x in lines if x) if any(owners) else ""
-    if any(owner for _, owner, _, _ in found):
+    if any(owner for _, _, owner, _, _ in found):
         # Surges inside article elements belong together however a dropped element has parted them.
-        least = config.share * max(weight for weight, owner, _, _ in found if owner)
-        heavy = {owner for weight, owner, _, _ in found if owner and weight >= least}
+        least = config.share * max((weight, density) for weight, density, owner, _, _ in found if owner)[1]
+        heavy = {owner for _, density, owner, _, _ in found if owner and density >= least}
         kept = [line for line, owner in zip(lines, owners, strict=True) if line and owner in heavy]
     else:
-        least = config.share * max(weight for weight, _, _, _ in found)
-        kept = [line for weight, _, start, stop in found if weight >= least for line in lines[start:stop] if line]
+        least = config.share * max(found)[1]
+        dense = [i for i, (_, density, _, _, _) in enumerate(found) if density >= least]
+        kept = [line for _, _, _, start, stop in found[dense[0] : dense[-1] + 1] for line in lines[start:stop] if line]
     return " ".join(kept)
 
 

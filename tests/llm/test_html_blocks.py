@@ -47,3 +47,13 @@ def test_operator_and_query(spark, sf):
         article = html[html.index("<article>") : html.index("</article>")]
         assert r.n_chars == len(r.text) and "track(" not in r.text and "©" not in r.text
         assert r.text == main_text(article + "</article>")
+
+
+def test_dropped_elements_do_not_end_the_article():
+    paragraphs = [f"<p>{i} {'word ' * 59}</p>" for i in range(7)]
+    text = " ".join(f"{i} {'word ' * 59}".strip() for i in range(7))
+    for inside in ("<script>x()</script>", "<iframe src='v'></iframe>", "<div class='ad'>Buy</div>", "<aside>Side</aside>", "<button>Play</button>", "<form><input></form>"):
+        assert main_text("<body><div>" + "".join(paragraphs[:5]) + inside + "".join(paragraphs[5:]) + "</div></body>") == text
+    assert main_text("<body><div>" + "<div class='ad'>Buy</div>".join(paragraphs) + "</div></body>") == text
+    short = f"<article>{paragraphs[0]}</article>"
+    assert main_text("<body><article>" + "".join(paragraphs[1:]) + "</article>" + short + "</body>").endswith("0 " + ("word " * 59).strip())
