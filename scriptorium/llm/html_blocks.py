@@ -2,11 +2,12 @@
 
 Markup is stripped to lines: each block-level boundary ends a line. Elements that are never part of
 an article are dropped; those that part a page (navigation, header, footer, form, ...) leave ``window``
-empty lines, those that stand inside texts too (script, frame, advert, aside, ...) leave none.
+empty lines, as do article elements, those that stand inside texts too (script, frame, advert, aside, ...) leave none.
 The distribution is the sum of text lengths over a sliding window of lines; text inside links
 counts for nothing, so menus stay flat. A surge point is where the sum leaves zero, a dive point
 where it returns to zero; the text from the first to the last surge that is about as dense (text for
-each line with text) as the heaviest is the article.
+each line with text) as the heaviest is the article. Where surges lie in article or main elements, such
+an element is a bound: only its surges count, and all of an element with a surge so dense.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 PARTS = frozenset(("nav", "footer", "form", "head", "header", "menu", "dialog"))
 BLOCK = frozenset("address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 BODY = frozenset(("article", "main"))
+HEADLINES = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Parts of class, id and role names of elements around an article.
 HINTS = frozenset("ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus dialog gdpr footer masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related reply replies respond search share sharing sidebar sidebars social sponsor sponsored subscribe toolbar topbar widget".split())
 
@@ -65,7 +67,7 @@ def lines_of(html: str, gap: int) -> tuple[list[str], list[int], list[int]]:
     weights: list[int] = []
     owners: list[int] = []
     current: list[str] = []
-    loose = links = inside = owner = owners_seen = 0
+    loose = links = inside = owner = owners_seen = headline = 0
     at, end, lower = 0, len(html), None
 
     def close(empty: int = 0) -> None:
@@ -88,7 +90,8 @@ def lines_of(html: str, gap: int) -> tuple[list[str], list[int], list[int]]:
         text = html[at : m.start() if m else end]
         if text:
             current.append(text)
-            if not links and text.strip():
+            # A linked headline inside an article is text.
+            if (not links or headline and inside) and text.strip():
                 loose += len(text)
         if not m:
             break
@@ -119,6 +122,8 @@ def lines_of(html: str, gap: int) -> tuple[list[str], list[int], list[int]]:
             owner = owners_seen if inside else 0
         elif name in BLOCK:
             close()
+            if name in HEADLINES:
+                headline = 0 if closing else 1
     close()
     return lines, weights, owners
 
@@ -159,15 +164,14 @@ def main_text(html: str | None, config: BlockConfig = BlockConfig()) -> str:
     if not found:
         return " ".join(x for x in lines if x) if any(owners) else ""
     if any(owner for _, _, owner, _, _ in found):
-        # Surges inside article elements belong together however a dropped element has parted them.
         least = config.share * max((weight, density) for weight, density, owner, _, _ in found if owner)[1]
         heavy = {owner for _, density, owner, _, _ in found if owner and density >= least}
-        kept = [line for line, owner in zip(lines, owners, strict=True) if line and owner in heavy]
+        chosen = [(start, stop) for _, _, owner, start, stop in found if owner in heavy]
     else:
         least = config.share * max(found)[1]
         dense = [i for i, (_, density, _, _, _) in enumerate(found) if density >= least]
-        kept = [line for _, _, _, start, stop in found[dense[0] : dense[-1] + 1] for line in lines[start:stop] if line]
-    return " ".join(kept)
+        chosen = [(start, stop) for _, _, _, start, stop in found[dense[0] : dense[-1] + 1]]
+    return " ".join(line for start, stop in chosen for line in lines[start:stop] if line)
 
 
 def extract(pages: DataFrame, config: BlockConfig = BlockConfig()) -> DataFrame:

@@ -1,3 +1,5 @@
+from html.parser import HTMLParser
+
 from scriptorium.llm.html_blocks import extract, main_text, surges
 from scriptorium.llm.queries import op1_html_blocks
 from tests.llm.helpers import table
@@ -57,3 +59,39 @@ def test_dropped_elements_do_not_end_the_article():
     assert main_text("<body><div>" + "<div class='ad'>Buy</div>".join(paragraphs) + "</div></body>") == text
     short = f"<article>{paragraphs[0]}</article>"
     assert main_text("<body><article>" + "".join(paragraphs[1:]) + "</article>" + short + "</body>").endswith("0 " + ("word " * 59).strip())
+
+
+class Article(HTMLParser):
+    """The text between the article tags, by the standard parser alone."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.inside, self.parts = False, []
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside = self.inside or tag == "article"
+        self.parts += [" "] * (tag in ("p", "br", "h1"))
+
+    def handle_endtag(self, tag):
+        self.inside = self.inside and tag != "article"
+        self.parts += [" "] * (tag in ("p", "h1"))
+
+    def handle_data(self, data):
+        self.parts += [data] * self.inside
+
+
+def test_query_equals_another_parser_with_and_without_the_tag(spark, sf):
+    pages = {r.page_id: r for r in table(spark, sf, "pages").collect()}
+    for r in op1_html_blocks(spark, sf).collect():
+        html = pages[r.page_id].html
+        want = " ".join("".join(Article(html).parts).split())
+        assert r.text == want and main_text(html.replace("<article>", "<div>").replace("</article>", "</div>")) == want
+
+
+def test_surge_and_dive_points_hold_inside_the_article():
+    links = "".join(f"<li><a href='/{i}'>Link number {i}</a></li>" for i in range(9))
+    text = "<p>A first paragraph with words.</p><p>A second one with words.</p>"
+    got = main_text(f"<article><h1><a href='/'>Title</a></h1>{text}<ul>{links}</ul><p>By an author.</p></article>")
+    assert got.startswith("Title A first") and got.endswith("By an author.") and "Link number 5" not in got
