@@ -47,18 +47,30 @@ HEADLINES = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Parts of class, id and role names of elements around an article.
 HINTS = frozenset("ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus dialog gdpr footer masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related reply replies respond search share sharing sidebar sidebars social sponsor sponsored subscribe toolbar topbar widget".split())
 
+#: Parts of names that say what a page or wrapper is laid out like.
+LAYOUTS = frozenset("no not without with has page layout".split())
+_FIRST_BODY = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|template)\b.*?(?:</\1|\Z)|(?P<body><(?:article|main)(?=[\s/>]))", re.I | re.S)
 
-def _around(name: str, attributes: str, inside: int) -> bool:
+
+def _hinted(names: str) -> bool:
+    """Whether some whole name tells of something around an article; names of layouts (no-sidebar, search-result-page) don't."""
+    parts = (set(_NAME_PART.findall(name)) for name in names.lower().split())
+    return any(HINTS & p and not LAYOUTS & p for p in parts)
+
+
+def _around(name: str, attributes: str, inside: int, holds: bool) -> bool:
+    """Whether an element is dropped; ``holds``: the page's first article or main element lies in it, so only hiding counts."""
+    if holds:
+        return _hidden(attributes)
     if name in NEVER or name == "header" and not inside:
         return True
     if not attributes or name in BODY or name in ("body", "html"):
         return False
-    if re.search(r"""\bhidden(?=[\s/]|$)""", attributes) or "display:none" in attributes.replace(" ", "").lower():
-        return True
-    for m in _HINT.finditer(attributes):
-        if HINTS.intersection(_NAME_PART.findall((m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return False
+    return _hidden(attributes) or any(_hinted(m[1] or m[2] or m[3] or "") for m in _HINT.finditer(attributes))
+
+
+def _hidden(attributes: str) -> bool:
+    return bool(re.search(r"""\bhidden(?=[\s/]|$)""", attributes)) or "display:none" in attributes.replace(" ", "").lower()
 
 
 def lines_of(html: str, gap: int) -> tuple[list[str], list[int], list[int]]:
@@ -69,6 +81,7 @@ def lines_of(html: str, gap: int) -> tuple[list[str], list[int], list[int]]:
     current: list[str] = []
     loose = links = inside = owner = owners_seen = headline = 0
     at, end, lower = 0, len(html), None
+    first = next((m.start() for m in _FIRST_BODY.finditer(html) if m["body"]), -1)
 
     def close(empty: int = 0) -> None:
         nonlocal loose
@@ -109,11 +122,12 @@ def lines_of(html: str, gap: int) -> tuple[list[str], list[int], list[int]]:
             at = end if stop < 0 else stop
             close()
             continue
-        if not closing and name not in VOID and not attributes.endswith("/") and _around(name, attributes, inside):
-            close(gap if name in PARTS else 0)
-            links = 0
-            at = _skip(html, name, at)
-            continue
+        if not closing and name not in VOID and not attributes.endswith("/") and _around(name, attributes, inside, False):
+            stop = _skip(html, name, at)
+            if not at <= first < stop or _around(name, attributes, inside, True):
+                close(gap if name in PARTS else 0)
+                links, at = 0, stop
+                continue
         if name in BODY:
             close(gap)
             inside = max(0, inside + (-1 if closing else 1))

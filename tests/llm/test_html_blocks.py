@@ -95,3 +95,15 @@ def test_surge_and_dive_points_hold_inside_the_article():
     text = "<p>A first paragraph with words.</p><p>A second one with words.</p>"
     got = main_text(f"<article><h1><a href='/'>Title</a></h1>{text}<ul>{links}</ul><p>By an author.</p></article>")
     assert got.startswith("Title A first") and got.endswith("By an author.") and "Link number 5" not in got
+
+
+def test_hinted_wrappers_keep_their_article():
+    text = " ".join(f"Paragraph {i} with a good many words in it." for i in range(4))
+    body = "".join(f"<p>Paragraph {i} with a good many words in it.</p>" for i in range(4))
+    for wrapper in ("<div class='no-sidebar'>%s</div>", "<div id='content-with-sidebar'>%s</div>", "<section class='search-result-page'>%s</section>"):
+        assert main_text(PAGE % (wrapper % body)) == main_text(PAGE % (wrapper % f"<article>{body}</article>")) == text
+    assert main_text(PAGE % f"<div class='share sidebar'><article>{body}</article></div>") == text
+    assert main_text(PAGE % f"<form id='search'><div class='widget'><main>{body}</main></div></form>") == text
+    comments = "<div class='comments'><article>A comment with a good many words in it, too.</article></div>"
+    assert main_text(PAGE % f"<article>{body}</article>{comments}") == text
+    assert main_text(PAGE % f"<article>{body}</article><div class='sidebar left'>Some words at the side of it.</div>") == text
