@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import materialise, odd_constants, shingle_hashes, shingle_set, word_hashes, words_of
+from scriptorium.llm.near_dup import NearDupConfig, near_duplicates
 
 
 @dataclass(frozen=True)
@@ -150,12 +151,40 @@ def fingerprints(docs: DataFrame, config: FingerprintConfig = FingerprintConfig(
     return in_order(docs).mapInArrow(run, SCHEMA)
 
 
+def similarity_classes(docs: DataFrame, config: FingerprintConfig = FingerprintConfig()) -> DataFrame:
+    """(doc_id, n_shingles, class_id) for each row of ``docs``: class_id is the smallest id that verified links lead to.
+
+    Documents meet where they share a band of their fingerprints; the hub rounds and the exact prefix
+    filter of near_dup find the links between members of one band, and the Jaccard similarity of the
+    full shingle sets decides. Copies have the class of their first; a text without words is its own
+    class; a null doc_id has none.
+    """
+    rows = config.permutations // config.bands
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors, salt = odd_constants(rows, 31), odd_constants(config.bands, 37)
+        for batch in batches:
+            ids, digests, counts, bands = batch.column("doc_id").to_pylist(), [], [], []
+            for doc_id, text in zip(ids, batch.column("text").to_pylist(), strict=True):
+                words = words_of(text)
+                shingles = np.unique(shingle_hashes(word_hashes(words), config.width))
+                least = least_values(shingles, config.permutations).reshape(config.bands, rows)
+                counts.append(len(shingles))
+                digests.append(hashlib.sha256(b" ".join(words)).hexdigest() if words else f"empty {doc_id}")
+                bands.append(((least * factors).sum(axis=1, dtype=np.uint64) * salt).view(np.int64) if words else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.string()), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "digest", "n_shingles", "bands"])
+
+    found = near_duplicates(docs, NearDupConfig(width=config.width, percent=config.percent), sign)
+    return found.select("doc_id", "n_shingles", F.col("component_id").alias("class_id"))
+
+
 def similar_documents(docs: DataFrame, config: FingerprintConfig = FingerprintConfig()) -> DataFrame:
     """(a, b, jaccard), a < b: pairs of documents that share a band of their fingerprints, each against the band's smallest id.
 
     Bands are joined in Spark; the Jaccard similarity of the full shingle sets decides. Copies
     (equal fingerprints and texts) are folded to their smallest id first, so a pair stands for two
-    different texts. Texts without words pair with nothing.
+    different texts. Texts without words pair with nothing. Links between two others of a band are not
+    looked for here: similarity_classes has all that bands and links connect.
     """
     rows = config.permutations // config.bands
 

@@ -20,7 +20,7 @@ Links are confirmed on the full shingle sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -75,6 +75,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix((signature.reshape(bands, rows) * factors).sum(axis=1, dtype=np.uint64) + odd_constants(bands, 11)).view(np.int64)
 
 
+Signer = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 SIGNED = "doc_id long, digest string, n_shingles long, bands array<long>"
 
 
@@ -116,15 +117,16 @@ def _confirm(config: NearDupConfig):
     return run
 
 
-def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFrame:
+def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig(), sign: Signer | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text; other columns are ignored).
 
     Null and empty texts, and texts without words, have no shingle and are linked with nothing.
     Rows with a null doc_id come back with null component and kept = false. Repeated rows give
     repeated rows; two texts under one doc_id count as one node. An empty table gives an empty table.
+    ``sign`` gives rows of SIGNED with band keys of its own in place of one-permutation hashing.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialise(small_batches(docs).mapInArrow(_sign(config), SIGNED), "signed")
+    signed = materialise(small_batches(docs).mapInArrow(sign or _sign(config), SIGNED), "signed")
     nodes = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     copies = nodes.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     firsts = nodes.join(copies, (nodes.digest == copies.digest) & (nodes.doc_id == copies.first_id), "left_semi")
