@@ -33,6 +33,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(load(spark, sf_dir, "documents"))
 
 
+def op5_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.similarity_classes(load(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(load(spark, sf_dir, "documents"))
 
@@ -72,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_html_blocks, op2_near_duplicates, op3_toxicity, op4_language, op5_fingerprints, op6_line_dedup, op7_chat_format, op8_audio, op9_packing, op10_mixing, pipeline)
+    own = (op1_html_blocks, op2_near_duplicates, op3_toxicity, op4_language, op5_fingerprints, op5_similar_documents, op6_line_dedup, op7_chat_format, op8_audio, op9_packing, op10_mixing, pipeline)
     return {f.__name__: f for f in own}
 
 
