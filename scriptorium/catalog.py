@@ -362,6 +362,16 @@ def keyword_top10(spark, sf_dir):
 
 
 
+_STOP = ", ".join(f"'{w}'" for w in writer.STOP_WORDS)
+
+
+@_register(rf"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(regexp_replace(text, '[^\p{{L}}\p{{N}}_\s\x0b\x1c-\x1f\x85\p{{Z}}]', ' ', 'g')), '[\s\x0b\x1c-\x1f\x85\p{{Z}}]+')) AS word FROM documents),
+n AS (SELECT doc_id, word, count(*) AS n FROM w WHERE length(word) > 2 AND word NOT IN ({_STOP}) GROUP BY ALL)
+SELECT doc_id, word, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS k FROM n) WHERE k <= 10""")
+def document_keywords(spark, sf_dir):
+    """The ten most frequent words of each text, without punctuation and split at all white space; equal counts in the words' order."""
+    return writer.keywords(load(spark, sf_dir, "documents"), "doc_id", "text")
+
 
 # -- further document operators ------------------------------------------------------------------
 
@@ -404,6 +414,13 @@ def citation_report(spark, sf_dir):
     return _md(spark, sf_dir).select("doc_id", quality.citation_issues(F.col("text")).cast("long").alias("issues"))
 
 
+@_register(_MD + rf""", u AS (SELECT doc_id, {_ISSUES}::BIGINT AS issues, list_transform(regexp_extract_all(text, '\[[^\]]*\]\([^)]*\)'), lambda x: regexp_extract(x, '\]\(([^)]*)\)', 1)) AS urls FROM md)
+SELECT doc_id, len(urls)::BIGINT AS total_refs, len(list_distinct(urls))::BIGINT AS unique_urls, len(list_filter(list_distinct(urls), lambda u: len(list_filter(urls, lambda v: v = u)) > 1))::BIGINT AS duplicates, issues FROM u""")
+def citation_counts(spark, sf_dir):
+    """The whole citation report: links, different targets, targets that occur more than once, and issues."""
+    return _md(spark, sf_dir).select("doc_id", *quality.citation_counts(F.col("text")))
+
+
 @_register(_MD + _SCORES + _SUBSTANCE + _TOPIC + f"""SELECT doc_id, round(greatest(0, (0.18::DOUBLE * completeness + 0.12::DOUBLE * structure + 0.10::DOUBLE * readability + 0.12::DOUBLE * citation + 0.10::DOUBLE * depth + 0.18::DOUBLE * substance + 0.20::DOUBLE * topic_relevance) / 1.1::DOUBLE
  - least(({_STYLE}) + 5 * {_ISSUES}, 40)), 1) >= 40 AS passed FROM md JOIN s USING (doc_id) JOIN sub USING (doc_id) JOIN tr USING (doc_id)""")
 def gate_verdict(spark, sf_dir):

@@ -126,6 +126,14 @@ def citation_issues(text: Column) -> Column:
     return F.size(strange) + F.size(F.filter(pairs, lambda x: F.trim(F.regexp_extract(x, r"\[([^\]]*)\]", 1)) == ""))
 
 
+def citation_counts(text: Column) -> list[Column]:
+    """total_refs, unique_urls, duplicates (targets that occur more than once) and issues; links without a target count, but raise no issue."""
+    urls = F.regexp_extract_all(text, F.lit(r"\[[^\]]*\]\(([^)]*)\)"), 1)
+    once = F.array_distinct(urls)
+    twice = F.size(F.filter(once, lambda u: F.size(F.filter(urls, lambda v: v == u)) > 1))
+    return [x.cast("long").alias(n) for x, n in ((F.size(urls), "total_refs"), (F.size(once), "unique_urls"), (twice, "duplicates"), (citation_issues(text), "issues"))]
+
+
 def verdict(text: Column, queries: list[str]) -> Column:
     """The weighted mean of seven dimensions, less the style and citation penalties, to one place; a weight without dimension counts as 0."""
     parts = {"completeness": completeness, "structure": structure, "readability": readability, "citation": citation, "depth": depth, "substance": substance}

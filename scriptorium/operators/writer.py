@@ -65,3 +65,16 @@ def section_paragraphs(paragraphs: DataFrame, order: list[str], topic: list[str]
     own = own.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= most)
     alike = Window.partitionBy("section", F.substring("text", 1, 200)).orderBy("_n")
     return own.withColumn("_m", F.row_number().over(alike)).filter("_m = 1").select("section", *order, "score", "text")
+
+
+STOP_WORDS = ("the", "a", "an", "is", "are", "was", "were", "be", "been", "的", "是", "在", "和", "了", "有", "与", "及", "等")
+
+
+def keywords(docs: DataFrame, key: str, text: str, most: int = 10) -> DataFrame:
+    """(key, word, n): the ``most`` frequent words of more than two letters for each key, after punctuation became blanks."""
+    blank = r"\s\x0B\x1C-\x1F\x85\p{Z}"
+    plain = F.lower(F.regexp_replace(text, rf"[^\p{{L}}\p{{N}}_{blank}]", " "))
+    words = docs.select(key, F.explode(F.split(plain, f"[{blank}]+")).alias("word")).filter((F.length("word") > 2) & ~F.col("word").isin(*STOP_WORDS))
+    counts = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(key).orderBy(F.desc("n"), "word")
+    return counts.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= most).drop("at")
