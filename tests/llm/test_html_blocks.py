@@ -1,6 +1,9 @@
+import random
 from html.parser import HTMLParser
 
-from scriptorium.llm.html_blocks import extract, main_text, surges
+import numpy as np
+
+from scriptorium.llm.html_blocks import BlockConfig, block_sums, extract, main_text, surges
 from scriptorium.llm.queries import op1_html_blocks
 from tests.llm.helpers import table
 
@@ -32,8 +35,16 @@ def test_odd_pages():
     assert main_text("<article><p>a</p><" + "x" * 50_000) .startswith("a")
 
 
-def test_surges():
-    assert surges([0, 5, 0, 0, 0, 0, 7, 7], 3) == [(1, 4), (6, 8)] and surges([], 3) == []
+def test_surges_equal_a_slow_search():
+    rng = random.Random(3)
+    for _ in range(50):
+        weights = [rng.choice((0, 0, 3, 40)) for _ in range(rng.randrange(1, 30))]
+        for window in (1, 3, 5):
+            sums = [sum(weights[max(0, i - window + 1) : i + 1]) for i in range(len(weights))]
+            assert block_sums(np.array(weights), window).tolist() == sums
+            above = [i for i, x in enumerate(sums) if x > 5]
+            ends = [(i, next(j for j in range(i, len(sums) + 1) if j not in above)) for i in above if i - 1 not in above]
+            assert surges(np.array(sums), 5) == ends
 
 
 def test_operator_and_query(spark, sf):
@@ -107,3 +118,38 @@ def test_hinted_wrappers_keep_their_article():
     comments = "<div class='comments'><article>A comment with a good many words in it, too.</article></div>"
     assert main_text(PAGE % f"<article>{body}</article>{comments}") == text
     assert main_text(PAGE % f"<article>{body}</article><div class='sidebar left'>Some words at the side of it.</div>") == text
+
+
+PARAGRAPHS = "<h1>T of it</h1><p>" + "word and more " * 20 + "</p><p>" + "second one too " * 20 + "</p>"
+PARAGRAPHS_TEXT = ("T of it " + "word and more " * 20 + "second one too " * 20).strip()
+
+
+def test_no_unclosed_tag_and_no_name_loses_an_article():
+    menu = "<ul><li><a href='/x'>Menu</a></li></ul>"
+    for body in (f"<article>{PARAGRAPHS}</article>", f"<div>{PARAGRAPHS}</div>"):
+        for page in (f"<nav>{menu}{body}", f"<div class='ad'>Buy now{body}", f"<div class='layout with-sidebar'>{body}</div>", f"<div id='search-results-page'>{body}</div>", f"<div class='widget'>{body}</div>", f"<a href='/'>Home{body}", f"<select>{body}", f"<iframe>{body}"):
+            assert main_text(f"<body>{page}") == PARAGRAPHS_TEXT, page
+    inside = PARAGRAPHS.replace("</p><p>", "</p><div class='ad'>Buy now<p>")
+    assert main_text(f"<body><div>{inside}<p>{'third one too ' * 20}</p>") == (PARAGRAPHS_TEXT + " " + "third one too " * 20).strip()
+
+
+def test_short_runs_and_further_articles_stay():
+    short = "<p>twelve words in here are a few and then some more ok</p>"
+    for notice in ("<div class='notice'>Note well</div>", "<form>Note well</form>", "<aside>Note well</aside>"):
+        for body in (f"<div>{PARAGRAPHS}{notice}{short}</div>", f"<article>{PARAGRAPHS}{notice}{short}</article>"):
+            assert main_text(f"<body>{body}</body>") == PARAGRAPHS_TEXT + " " + short[3:-4]
+    assert main_text(f"<article>{PARAGRAPHS}</article><article>{short}</article>") == PARAGRAPHS_TEXT + " " + short[3:-4]
+    for body in (f"<article>{PARAGRAPHS}</article>", f"<div>{PARAGRAPHS}</div>"):
+        assert main_text(f"<body><div>A tagline of ours</div>{body}<div>Copyright 2024 by us</div></body>") == PARAGRAPHS_TEXT
+        comments = "<div id='comments'>" + "<div class='comment'><p>" + "I say so too and more " * 30 + "</p></div>" * 3 + "</div>"
+        assert main_text(f"<body>{body}{comments}</body>") == PARAGRAPHS_TEXT
+
+
+def test_the_distribution_alone_finds_the_article(spark, sf):
+    pages = [r.html for r in table(spark, sf, "pages").collect()]
+    want = [" ".join("".join(Article(html).parts).split()) for html in pages]
+
+    def share(config):
+        return sum(main_text(html, config) == text for html, text in zip(pages, want, strict=True)) / len(pages)
+
+    assert share(BlockConfig(names=False, bounds=False)) >= 0.9 and share(BlockConfig(bounds=False)) == 1
