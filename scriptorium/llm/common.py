@@ -19,21 +19,66 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local one only where that is unset, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset and all executors are on this machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="scriptorium-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors. The table goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    files, at = _file_system(spark, path)
+    files.deleteOnExit(at)
+    table = spark.read.schema(schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing reads any more."""
+    for table in tables:
+        files, at = _file_system(table.sparkSession, table.scratch)
+        files.delete(at, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as it takes to differ from ``df``'s columns (in any case)."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        found.append(name)
+    return found
+
+
+SALTS = 32
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, size: str, by: str, rows: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` (one row for each ``key``; ``size``: its rows in ``left``) without a hot key in one task.
+
+    A key with more than a 1024th of ``rows``, the rows of ``left`` (256 at least), is dealt over
+    SALTS tasks by the hash of column ``by``. There are at most 1024 such keys, so their list is broadcast.
+    """
+    hot = F.col(size) >= max(256, rows // 1024)
+    keys = F.broadcast(right.filter(hot).select(F.col(key).alias("__hot")))
+    left = left.join(keys, F.col(key) == F.col("__hot"), "left")
+    left = left.withColumn("__salt", F.when(F.col("__hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))).drop("__hot")
+    right = right.withColumn("__salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop(size)
+    return left.join(right, [key, "__salt"], how).drop("__salt")
 
 
 BATCH_BYTES = 4 << 20
@@ -110,23 +155,25 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, label): label is the smallest node reachable over ``edges``; nodes without an edge are left out.
 
-    Alternates the large-star and small-star steps until nothing changes. Minima are
-    taken by aggregation with map-side combining and joined back, so that a hub with
-    very many neighbours doesn't meet in one task. Each step is a table in the shared folder.
+    Alternates the large-star and small-star steps until nothing changes. Minima are taken by
+    aggregation with map-side combining and joined back by salted keys, so that a hub with very many
+    neighbours doesn't meet in one task. Each step is a table in the shared folder; the one before goes.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     e, before = materialise(e, "components"), None
     while True:
         mark = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if mark["n"] == 0 or (mark["n"], mark["s"]) == before:
+        n = mark["n"]
+        if n == 0 or (n, mark["s"]) == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-        before = (mark["n"], mark["s"])
+        before = (n, mark["s"])
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = materialise(small.distinct(), "components")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = salted_join(both, least, "u", "n", "v", 2 * n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = salted_join(large, least, "u", "n", "v", n).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        e, old = materialise(small.distinct(), "components"), e
+        discard(old)
 
 
 def batches_of(frames: Iterator, columns: list[str]) -> Iterator[list[list]]:

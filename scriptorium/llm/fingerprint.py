@@ -17,8 +17,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import materialise, odd_constants, shingle_hashes, shingle_set, word_hashes, words_of
-from scriptorium.llm.near_dup import NearDupConfig, near_duplicates
+from scriptorium.llm.common import odd_constants, shingle_hashes, word_hashes, words_of
+from scriptorium.llm.near_dup import NearDupConfig, near_duplicates, text_digest
 
 
 @dataclass(frozen=True)
@@ -170,50 +170,9 @@ def similarity_classes(docs: DataFrame, config: FingerprintConfig = FingerprintC
                 shingles = np.unique(shingle_hashes(word_hashes(words), config.width))
                 least = least_values(shingles, config.permutations).reshape(config.bands, rows)
                 counts.append(len(shingles))
-                digests.append(hashlib.sha256(b" ".join(words)).hexdigest() if words else f"empty {doc_id}")
+                digests.append(text_digest(words, doc_id))
                 bands.append(((least * factors).sum(axis=1, dtype=np.uint64) * salt).view(np.int64) if words else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.string()), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "digest", "n_shingles", "bands"])
 
     found = near_duplicates(docs, NearDupConfig(width=config.width, percent=config.percent), sign)
     return found.select("doc_id", "n_shingles", F.col("component_id").alias("class_id"))
-
-
-def similar_documents(docs: DataFrame, config: FingerprintConfig = FingerprintConfig()) -> DataFrame:
-    """(a, b, jaccard), a < b: pairs of documents that share a band of their fingerprints, each against the band's smallest id.
-
-    Bands are joined in Spark; the Jaccard similarity of the full shingle sets decides. Copies
-    (equal fingerprints and texts) are folded to their smallest id first, so a pair stands for two
-    different texts. Texts without words pair with nothing. Links between two others of a band are not
-    looked for here: similarity_classes has all that bands and links connect.
-    """
-    rows = config.permutations // config.bands
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors, salt = odd_constants(rows, 31), odd_constants(config.bands, 37)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            bands = []
-            for text in texts:
-                shingles = shingle_set(text, config.width)
-                least = least_values(shingles, config.permutations).reshape(config.bands, rows)
-                bands.append(((least * factors).sum(axis=1, dtype=np.uint64) * salt).view(np.int64) if len(shingles) else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text", "bands"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-                one, two = shingle_set(x, config.width), shingle_set(y, config.width)
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                found.append(both / (len(one) + len(two) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], names=["a", "b", "jaccard"])
-
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    firsts = docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    signed = materialise(docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sign, "doc_id long, text string, bands array<long>"), "fingerprints")
-    members = signed.select("doc_id", F.explode("bands").alias("band"))
-    hubs = members.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("most")).filter("a < most").select("band", "a")
-    pairs = members.join(hubs, "band").filter("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
-    texts = signed.select("doc_id", "text")
-    pairs = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long, jaccard double").filter(F.col("jaccard") * 100 >= config.percent)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import components, materialise, mix, odd_constants, shingle_hashes, shingle_set, small_batches, word_hashes, words_of
+from scriptorium.llm.common import components, discard, fresh, materialise, mix, odd_constants, salted_join, shingle_hashes, small_batches, word_hashes, words_of
 
 
 @dataclass(frozen=True)
@@ -75,6 +75,16 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix((signature.reshape(bands, rows) * factors).sum(axis=1, dtype=np.uint64) + odd_constants(bands, 11)).view(np.int64)
 
 
+def text_digest(words: list[bytes], doc_id: int | None) -> str:
+    """A name for the sequence of words; a text without words has one of its own."""
+    return xxhash.xxh3_128_hexdigest(b" ".join(words)) if words else f"empty {doc_id}"
+
+
+def part_of(digest: str) -> int:
+    """A number that tells the texts of one doc_id apart."""
+    return xxhash.xxh3_64_intdigest(digest) >> 1
+
+
 Signer = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 SIGNED = "doc_id long, digest string, n_shingles long, bands array<long>"
 
@@ -87,7 +97,7 @@ def _sign(config: NearDupConfig):
                 words = words_of(text)
                 shingles = np.unique(shingle_hashes(word_hashes(words), config.width))
                 counts.append(len(shingles))
-                digests.append(xxhash.xxh3_128_hexdigest(b" ".join(words)) if words else f"empty {doc_id}")
+                digests.append(text_digest(words, doc_id))
                 bands.append(band_keys(one_permutation_signature(shingles, config.bands * config.rows), config.bands, config.rows) if len(shingles) else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.string()), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "digest", "n_shingles", "bands"])
 
@@ -97,8 +107,12 @@ def _sign(config: NearDupConfig):
 def _sets(config: NearDupConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, config.width).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            ids, sets, parts = batch.column("doc_id").to_pylist(), [], []
+            for doc_id, text in zip(ids, batch.column("text").to_pylist(), strict=True):
+                words = words_of(text)
+                sets.append(np.unique(shingle_hashes(word_hashes(words), config.width)).view(np.int64))
+                parts.append(part_of(text_digest(words, doc_id)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "part", "shingles"])
 
     return run
 
@@ -121,65 +135,84 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig(), si
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text; other columns are ignored).
 
     Null and empty texts, and texts without words, have no shingle and are linked with nothing.
-    Rows with a null doc_id come back with null component and kept = false. Repeated rows give
-    repeated rows; two texts under one doc_id count as one node. An empty table gives an empty table.
-    ``sign`` gives rows of SIGNED with band keys of its own in place of one-permutation hashing.
+    Rows with a null doc_id have the component of equal words, if there are any, and kept = false. Repeated rows give
+    repeated rows; texts under one doc_id are one node, which has the links of each. An empty table gives an
+    empty table. ``sign`` gives rows of SIGNED with band keys of its own in place of one-permutation hashing.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialise(small_batches(docs).mapInArrow(sign or _sign(config), SIGNED), "signed")
     nodes = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    copies = nodes.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    firsts = nodes.join(copies, (nodes.digest == copies.digest) & (nodes.doc_id == copies.first_id), "left_semi")
+    rows = nodes.count()
+    copies = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    copies = materialise(copies.filter("copies > 1 AND first_id IS NOT NULL"), "copies")
+    firsts = salted_join(nodes, copies, "digest", "copies", "doc_id", rows, "left").filter("first_id IS NULL OR doc_id = first_id")
     entries = firsts.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("size")).filter("least < most").select("bucket", "size")
-    members = materialise(entries.join(shared, "bucket"), "entries")
+    shared = materialise(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
+    n_bands = config.bands if sign is None else nodes.agg(F.max(F.size("bands"))).first()[0] or 1
+    members = salted_join(entries, shared.withColumn("n", F.col("size")), "bucket", "n", "doc_id", rows * n_bands)
+    members = materialise(members.select("bucket", "doc_id", "n_shingles", "size"), "entries")
     central = members.groupBy("doc_id").agg(F.sum("size").alias("central"))
-    members = materialise(members.join(central, "doc_id").select("bucket", "doc_id", "n_shingles", "central"), "members")
-    labels = _linked(docs, members, config)
-    result = signed.join(copies, "digest", "left").select("doc_id", "n_shingles", F.coalesce("first_id", "doc_id").alias("first_id"))
-    # Two texts under one id join their groups, so an id that has a label keeps it.
+    members, entries = materialise(members.drop("size").join(central, "doc_id").select("bucket", "doc_id", "n_shingles", "central"), "members"), members
+    discard(entries)
+    labels = _linked(docs, members, shared, config)
+    # An id with several texts has the links of each: it and the first ids of its texts are linked.
+    mark = F.xxhash64("digest")
+    several = nodes.groupBy("doc_id").agg(F.min(mark).alias("least"), F.max(mark).alias("most")).filter("least < most").select("doc_id")
+    several = materialise(several.join(nodes.select("doc_id", "digest"), "doc_id").distinct(), "several_texts")
+    if not several.isEmpty():
+        own = several.join(copies.select("digest", "first_id"), "digest").filter("first_id <> doc_id")
+        labels = _merged(labels, own.select(F.col("first_id").alias("a"), F.col("doc_id").alias("b")))
+    result = salted_join(signed, copies, "digest", "copies", "doc_id", rows, "left").select("doc_id", "n_shingles", F.coalesce("first_id", "doc_id").alias("first_id"))
     labels = labels.select(F.col("node").alias("first_id"), "label")
     result = result.join(labels, "first_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "first_id").alias("component_id"))
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _linked(docs: DataFrame, members: DataFrame, config: NearDupConfig) -> DataFrame:
-    """(node, label) of all nodes that some confirmed link reaches."""
-    ids = members.select("doc_id").distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = materialise(small_batches(texts).mapInArrow(_sets(config), "doc_id long, shingles array<long>"), "candidate_sets")
+def _linked(docs: DataFrame, members: DataFrame, shared: DataFrame, config: NearDupConfig) -> DataFrame:
+    """(node, label) of all nodes that some confirmed link reaches. ``shared``: the buckets of ``members`` and their sizes."""
+    # A table of its own, so that its size decides whether the texts are shuffled to find the candidates'.
+    ids = materialise(members.select("doc_id").distinct(), "candidates")
+    texts = docs.join(ids, "doc_id", "left_semi")
+    sets = small_batches(texts).mapInArrow(_sets(config), "doc_id long, part long, shingles array<long>")
+    sets = materialise(sets, "candidate_sets")
+    n_members = members.count()
+
+    def by_bucket(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+        return salted_join(left, right.join(shared, "bucket"), "bucket", "size", "doc_id", n_members, how)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
         left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
         found = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
-        return materialise(small_batches(found).mapInArrow(_confirm(config), "a long, b long, linked boolean").filter("linked").select("a", "b"), "links")
+        return materialise(small_batches(found).mapInArrow(_confirm(config), "a long, b long, linked boolean").filter("linked").select("a", "b").distinct(), "links")
 
     alike = 100 * F.least("n_shingles", "n_hub") >= config.percent * F.greatest("n_shingles", "n_hub")
     hub = F.max(F.struct("central", (-F.col("doc_id")).alias("minus"), "n_shingles"))
     stars = members.groupBy("bucket").agg(hub.alias("hub")).select("bucket", F.col("hub.central").alias("of"), (-F.col("hub.minus")).alias("a"), F.col("hub.n_shingles").alias("n_hub"))
-    first = members.join(stars, "bucket").filter((F.col("doc_id") != F.col("a")) & alike)
+    first = by_bucket(members, stars).filter((F.col("doc_id") != F.col("a")) & alike)
     first = first.groupBy(F.col("doc_id").alias("b")).agg(F.max(F.struct("of", (-F.col("a")).alias("minus"))).alias("best")).select((-F.col("best.minus")).alias("a"), "b")
-    labels = materialise(components(confirmed(first), "a", "b"), "labels")
+    links = confirmed(first)
+    labels = materialise(components(links, "a", "b"), "labels")
     rest = members
     for turn in range(config.hub_rounds + 1):
         known = labels.select(F.col("node").alias("doc_id"), "label")
-        rest = rest.drop("label").join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        mixed = rest.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("bucket")
-        rest = materialise(rest.join(mixed, "bucket", "left_semi"), "rest")
+        labelled = rest.drop("label").join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("bucket")
+        rest = materialise(by_bucket(labelled, mixed, "left_semi"), "rest")
         if rest.isEmpty():
             return labels
         if turn == config.hub_rounds:
             break
-        # A filter on row_number runs as a group limit before the shuffle: a large bucket isn't gathered.
-        order = Window.partitionBy("bucket").orderBy(F.col("central").desc(), "doc_id")
-        chosen = rest.dropDuplicates(["bucket", "doc_id"]).withColumn("at", F.row_number().over(order)).filter("at = 1")
-        chosen = materialise(chosen.select("bucket", F.col("doc_id").alias("a"), F.col("label").alias("label_a"), F.col("n_shingles").alias("n_hub")), "hubs")
-        pairs = rest.join(chosen, "bucket").filter((F.col("label") != F.col("label_a")) & alike)
+        # The most central member first, by map-side aggregation: a large bucket isn't gathered.
+        best = F.max(F.struct("central", (-F.col("doc_id")).alias("minus"), "label", "n_shingles"))
+        chosen = rest.groupBy("bucket").agg(best.alias("hub")).select("bucket", (-F.col("hub.minus")).alias("a"), F.col("hub.label").alias("label_a"), F.col("hub.n_shingles").alias("n_hub"))
+        chosen = materialise(chosen, "hubs")
+        met = by_bucket(rest, chosen)
+        pairs = met.filter((F.col("label") != F.col("label_a")) & alike)
         links = confirmed(pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct())
         if not links.isEmpty():
             labels = _merged(labels, links)
-        rest = rest.join(chosen.select("bucket", F.col("a").alias("doc_id")), ["bucket", "doc_id"], "left_anti")
+        rest = met.filter("doc_id <> a").select(rest.columns)
     links = confirmed(_by_prefix(sets, rest.select("doc_id", "label").distinct(), config))
     return labels if links.isEmpty() else _merged(labels, links)
 
@@ -187,10 +220,12 @@ def _linked(docs: DataFrame, members: DataFrame, config: NearDupConfig) -> DataF
 def _by_prefix(sets: DataFrame, nodes: DataFrame, config: NearDupConfig) -> DataFrame:
     """(a, b): pairs of ``nodes`` (doc_id, label) with different labels whose prefixes share a shingle early enough."""
 
-    own = sets.join(nodes.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("shingle"))
-    counts = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
-    # A document's rare part is collected for itself: no more than its own shingles.
-    ranked = own.join(counts, "shingle").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("ranked"))
+    own = sets.join(nodes.select("doc_id"), "doc_id", "left_semi").select("doc_id", "part", F.explode("shingles").alias("shingle"))
+    own = materialise(own, "prefix_shingles")
+    counts = materialise(own.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "shingle_counts")
+    # A text's rare part is collected for itself: no more than its own shingles.
+    counted = salted_join(own, counts.withColumn("size", F.col("n")), "shingle", "size", "doc_id", own.count())
+    ranked = counted.groupBy("doc_id", "part").agg(F.sort_array(F.collect_set(F.struct("n", "shingle"))).alias("ranked"))
     percent, n = config.percent, F.size("ranked")
     head = F.slice("ranked", F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int"))
     placed = ranked.select("doc_id", n.alias("n"), F.posexplode(head).alias("at", "x")).filter("x.n > 1")
@@ -221,6 +256,20 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFrame:
-    """``docs`` with all its columns, one document (the smallest id) of each group of near-duplicates."""
-    kept = near_duplicates(docs, config).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("__kept_id"), "left_semi")
+    """``docs`` with all its columns, one row of each group of near-duplicates: the smallest id.
+
+    Of several rows under that id the one with the least text stays (of equal ones any). Rows with a null doc_id are in
+    no group and all stay. An empty table gives an empty table.
+    """
+    found = materialise(near_duplicates(docs, config).filter("doc_id IS NOT NULL"), "groups")
+    at, place = fresh(docs, "group_id", "group_place")
+    gone = materialise(found.filter("NOT kept").select(F.col("doc_id").alias(at)).distinct(), "group_rest")
+    stay = docs.join(gone, F.col("doc_id").cast("long") == F.col(at), "left_anti")
+    twice = materialise(found.filter("kept").groupBy(F.col("doc_id").alias(at)).count().filter("count > 1").select(at), "group_repeats")
+    if twice.isEmpty():
+        return stay
+    same = F.col("doc_id").cast("long") == F.col(at)
+    order = Window.partitionBy("doc_id").orderBy(F.col("text").cast("string"))
+    # A filter on row_number runs as a group limit before the shuffle: rows of one id aren't gathered.
+    first = stay.join(twice, same, "left_semi").withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).drop(place)
+    return stay.join(twice, same, "left_anti").unionByName(first)

@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from scriptorium.llm.common import components, salted_join
 from scriptorium.llm.near_dup import NearDupConfig, band_keys, first_of_each, near_duplicates, one_permutation_signature
 from scriptorium.llm.queries import op2_near_duplicates
 from tests.llm.helpers import brute_components, frame, shingles, table
@@ -64,3 +66,38 @@ def test_agreement_follows_jaccard():
     assert abs((a == b).mean() - 900 / 1100) < 0.1
     assert len(band_keys(a, 36, 6)) == 36
     assert (one_permutation_signature(base[:1], 216) == base[0]).all()
+
+
+def test_texts_under_one_id_are_one_node(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(5, x), (5, y), (7, x + " tail"), (8, y + " tail"), (3, z), (9, z), (9, "quite another text of some words"), (9, ""), (11, "Quite another text  of some words")]
+    want = brute_components(rows, 80)
+    assert want[7] == want[8] == 5 and want[11] == 3
+    for n in (1, 2, 3, 4):
+        for order in (rows, rows[::-1]):
+            got = near_duplicates(frame(spark, order).repartition(n), NearDupConfig(percent=80)).collect()
+            assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] and r.kept == (r.doc_id == want[r.doc_id]) for r in got)
+
+
+def test_stage_keeps_null_ids_and_one_row_of_each_group(spark):
+    x = " ".join(f"x{i}" for i in range(60))
+    docs = frame(spark, [(5, x), (5, x + " b"), (5, x), (6, x + " tail"), (None, x), (None, None), (7, "other words"), (7, "other words")]).withColumn("group_id", F.lit(1)).withColumn("__kept_id", F.lit(2))
+    kept = first_of_each(docs, NearDupConfig(percent=80))
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(5, x), (None, x), (None, None), (7, "other words")], key=str)
+
+
+def test_a_large_group_of_copies_and_of_near_copies(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    rows = [(i, x) for i in range(1, 400)] + [(1000 + i, f"{y} t{i}") for i in range(400)]
+    assert {r.doc_id: r.component_id for r in near_duplicates(frame(spark, rows), NearDupConfig(percent=80)).collect()} == {d: 1 if d < 1000 else 1000 for d, _ in rows}
+
+
+def test_salted_join_and_components_with_a_hub(spark):
+    left = spark.range(3000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    got = salted_join(left, right, "k", "n", "id", 3000)
+    assert got.columns == ["k", "id", "least"] and {(r.id, r.least) for r in got.collect()} == {(i, 0 if i < 2000 else i) for i in range(3000)} and got.count() == 3000
+    assert salted_join(left, right.filter("k = 7"), "k", "n", "id", 3000, "left").filter("least IS NULL").count() == 1000
+    edges = spark.range(1000).select(F.lit(2000).alias("a"), F.col("id").alias("b")).unionByName(spark.createDataFrame([(5000, 2000), (6001, 6000)], "a long, b long"))
+    assert {(r.node, r.label) for r in components(edges, "a", "b").collect()} == {(i, 0) for i in [*range(1000), 2000, 5000]} | {(6000, 6000), (6001, 6000)}
