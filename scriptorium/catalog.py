@@ -2,41 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.operators import convert, enhance, extract, layout, quality, rank, search, serp, writer
 from scriptorium.streaming import control
-from scriptorium.tables import load
+from scriptorium.registry import oracle_sql, queries, register as _register  # noqa: F401
+from scriptorium.tables import load, spread
 
-Query = Callable[[SparkSession, str], DataFrame]
 TOPIC = "apache kafka there edtion"
 KEYWORDS = ["the", "and", "thtion", "ered", "onea"]
 
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def _register(sql: str | None = None):
-    def keep(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 # -- pages -------------------------------------------------------------------------------------
 
 _WHITE = r"[\s\x0b\p{Z}]"
@@ -68,7 +44,7 @@ _RELEVANCE = "(CASE WHEN length(text) > 0 THEN least((" + " + ".join(f"contains(
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "pages").select("page_id", "url", extract.page_text(F.col("html")).alias("text"))
+    return extract.with_text(spread(load(spark, sf_dir, "pages").select("page_id", "url", "html")))
 
 
 @_register(_TEXTS + "SELECT page_id, text, length(text)::BIGINT AS n_chars FROM texts")
@@ -106,8 +82,17 @@ WITH rows AS (SELECT page_id AS pos, url, regexp_extract(html, '(?is)<title[^>]*
   CASE page_id % 4 WHEN 0 THEN 'bing' WHEN 1 THEN 'sogou' WHEN 2 THEN 'mock' ELSE '360' END AS source FROM pages)
 """
 _PARAMS = ", ".join(f"'{p}'" for p in search.TRACKING_PARAMS)
-_NORMAL = f"""regexp_replace(regexp_extract(url, '^([^?#]*)', 1) || CASE WHEN q <> '' THEN '?' || q ELSE '' END || regexp_extract(url, '(#.*)$', 1), '[?&]+$', '')"""
-_NORMALIZED = f"""SELECT page_id, {_NORMAL} AS url FROM (SELECT page_id, url, array_to_string(list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: regexp_matches(p, '^[^=]+=.+') AND lower(string_split(p, '=')[1]) NOT IN ({_PARAMS})), '&') AS q FROM pages)"""
+_DECODED = "url_decode(replace({}, '+', ' '))".format
+_PARTS = rf"""list_filter(list_transform(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: regexp_matches(p, '^[^=]*=.')),
+  lambda p: {{'n': {_DECODED("split_part(p, '=', 1)")}, 'v': {_DECODED("regexp_extract(p, '^[^=]*=(.*)$', 1)")}}}), lambda x: lower(x.n) NOT IN ({_PARAMS}))"""
+_NORMAL = """regexp_replace(regexp_extract(url, '^([^?#]*)', 1) || CASE WHEN q <> '' THEN '?' || q ELSE '' END || regexp_extract(url, '(#.*)$', 1), '[?&]+$', '')"""
+
+
+def _clean_urls(table: str) -> str:
+    return f"SELECT *, {_NORMAL} AS clean FROM (SELECT *, array_to_string(list_transform({_PARTS}, lambda x: x.n || '=' || x.v), '&') AS q FROM {table})"
+
+
+_NORMALIZED = f"SELECT page_id, clean AS url FROM ({_clean_urls('pages')})"
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +129,7 @@ def search_score(spark, sf_dir):
     return _rows(spark, sf_dir).select("pos", F.round(search.blended_score(structure, related), 6).alias("score"))
 
 
-@_register(_ROWS + ", a AS (SELECT *, row_number() OVER (PARTITION BY string_split(url, '?')[1] ORDER BY pos) AS n FROM rows), b AS (SELECT *, left(lower(trim(title)), 30) AS t FROM a WHERE n = 1), c AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY pos) AS m FROM b) SELECT pos, url FROM c WHERE m = 1 OR t = ''")
+@_register(_ROWS + f", a AS (SELECT *, row_number() OVER (PARTITION BY split_part(clean, '?', 1) ORDER BY pos) AS n FROM ({_clean_urls('rows')})), b AS (SELECT *, left(lower(trim(title)), 30) AS t FROM a WHERE n = 1), c AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY pos) AS m FROM b) SELECT pos, url FROM c WHERE m = 1 OR t = ''")
 def search_dedup(spark, sf_dir):
     return search.first_of_each(_rows(spark, sf_dir)).select("pos", "url")
 
@@ -169,7 +154,7 @@ _KEYS = ", ".join(f"'{k}'" for k in KEYWORDS)
 
 
 @_register(rf"""
-WITH p AS (SELECT doc_id * 100000 + i AS para_id, line AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)),
+WITH p AS (SELECT doc_id * 2147483648 + i AS para_id, line AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)),
 t AS (SELECT para_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]{{2,}}')) AS term FROM p),
 tf AS (SELECT para_id, term, count(*) AS n FROM t GROUP BY ALL), tm AS (SELECT *, n / max(n) OVER (PARTITION BY para_id) AS tf FROM tf),
 df AS (SELECT term, ln(((SELECT count(DISTINCT para_id) FROM p) + 1) / (count(*) + 1)) + 1 AS idf FROM tf GROUP BY term),
@@ -177,8 +162,9 @@ w AS (SELECT para_id, tm.term, tf * idf AS w FROM tm JOIN df USING (term)),
 s AS (SELECT para_id, sum(CASE WHEN term IN ({_KEYS}) THEN w ELSE 0 END) / (sqrt(sum(w * w)) * sqrt({len(KEYWORDS)}.0::DOUBLE)) AS score FROM w GROUP BY para_id)
 SELECT para_id, round(score, 6) AS score FROM s WHERE score > 0.01 ORDER BY score DESC, para_id LIMIT 8""")
 def tfidf_top8(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
-    return rank.rank(docs.select((F.col("doc_id") * 100000 + F.col("i")).alias("para_id"), "text"), KEYWORDS)
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
+    # A document's lines are fewer than its characters, and Parquet holds less than 2^31 of these.
+    return rank.rank(docs.select((F.col("doc_id") * 2**31 + F.col("i")).alias("para_id"), "text"), KEYWORDS)
 
 
 # -- documents as Markdown ---------------------------------------------------------------------
@@ -590,3 +576,7 @@ def section_top3(spark, sf_dir):
     """The three best paragraphs of each section of the fixed plan."""
     paragraphs = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).select("doc_id", F.col("i").cast("long").alias("i"), enhance.stripped(F.col("line")).alias("text")).filter("length(text) > 50")
     return writer.section_paragraphs(paragraphs, ["doc_id", "i"], _TOPIC_WORDS).select("section", "doc_id", "i", F.round("score", 6).alias("score"))
+
+
+# Further modules register their queries when they are imported.
+from scriptorium import catalog_build, catalog_search  # noqa: E402, F401

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the extraction rules.
@@ -35,40 +38,51 @@ def _dense(block: Column) -> Column:
     return (F.length(block) >= MIN_BLOCK) & (visible >= MIN_VISIBLE) & (links <= MAX_LINKS)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def page_text(html: Column) -> Column:
     """Dense blocks of the first article or main element, else of the page; the whole page's text if they hold too little."""
-    html = F.coalesce(html, F.lit(""))
-    for name in DROPPED:
-        html = F.regexp_replace(html, rf"(?is)<{name}[^>]*>.*?</{name}>", " ")
     body = r"(?is)<(article|main)[^>]*>(.*?)</\1>"
-    region = F.when(html.rlike(body), F.regexp_extract(html, body, 2)).otherwise(html)
-    blocks = F.transform(F.split(region, f"(?i)</?(?:{BLOCK_TAGS})[^>]*>"), lambda b: _plain(b, ""))
-    text = F.array_join(F.filter(blocks, _dense), "\n")
-    whole = _plain(html, " ")
-    text = F.when((F.length(text) < MIN_CHARS) & (F.length(whole) > F.length(text)), whole).otherwise(text)
-    return F.substring(text, 1, MAX_CHARS)
+    dropped = F.regexp_replace(F.coalesce(html, F.lit("")), rf"(?is)<({'|'.join(DROPPED)})[^>]*>.*?</\1>", " ")
+
+    def region(page: Column) -> Column:
+        return _let(F.regexp_extract(page, body, 2), lambda found: F.when(found != "", found).when(page.rlike(body), "").otherwise(page))
+
+    def dense(page: Column) -> Column:
+        blocks = F.transform(F.split(region(page), f"(?i)</?(?:{BLOCK_TAGS})[^>]*>"), lambda b: _plain(b, ""))
+        return F.array_join(F.filter(blocks, _dense), "\n")
+
+    def text(page: Column) -> Column:
+        whole = lambda short: _let(_plain(page, " "), lambda all_: F.when(F.length(all_) > F.length(short), all_).otherwise(short))
+        return _let(dense(page), lambda found: F.when(F.length(found) >= MIN_CHARS, found).otherwise(whole(found)))
+
+    return F.substring(_let(dropped, text), 1, MAX_CHARS)
+
+
+def with_text(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
+    """``pages`` with the column ``text`` in place of ``html``.
+
+    A generator makes the column, so filters and expressions over it don't hold the page's cleaning
+    again: every page is cleaned once.
+    """
+    others = [c for c in pages.columns if c != html]
+    return pages.select(*others, F.explode(F.array(page_text(F.col(html)))).alias(text))
 
 
 def usable(text: Column, query: str) -> Column:
     """Long enough, no error page, and at least one of the query's specific Latin words occurs."""
-    import re
-
-    ok = F.length(text) >= MIN_CHARS
-    for pattern in ERROR_PAGES:
-        ok &= ~text.rlike(f"(?i){pattern}")
-    words = [w.lower() for w in re.findall(r"[a-zA-Z]{3,}", query) if w.lower() not in GENERIC_WORDS]
+    ok = (F.length(text) >= MIN_CHARS) & ~text.rlike(f"(?i){'|'.join(ERROR_PAGES)}")
+    words = dict.fromkeys(w.lower() for w in re.findall(r"[a-zA-Z]{3,}", query) if w.lower() not in GENERIC_WORDS)
     if words:
-        found = F.lit(False)
-        for w in dict.fromkeys(words):
-            found |= F.lower(text).contains(w)
-        ok &= found
+        ok &= F.lower(text).rlike("|".join(words))
     return F.coalesce(ok, F.lit(False))
 
 
 def relevance(text: Column, query: str) -> Column:
     """Share of the query's distinct tokens of two letters or more that occur in the text."""
-    import re
-
     tokens = sorted(set(re.findall(r"[\w一-鿿]{2,}", query.lower())))
     if not tokens:
         return F.lit(0.0)

@@ -2,28 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def term_weights(paragraphs: DataFrame) -> DataFrame:
-    """(para_id, term, weight) from (para_id, text): n / max n, times ln((N + 1) / (df + 1)) + 1.
+TOKEN = r"(?U)[\w\x{4e00}-\x{9fff}]{2,}"
+#: A broadcast table of idf values has at most so many terms (about 60 bytes each); beyond that terms are joined by shuffle.
+MOST_BROADCAST = 200_000
+
+
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)
+
+
+def idf(paragraphs: DataFrame) -> DataFrame:
+    """(term, idf): ln((N + 1) / (df + 1)) + 1 over (para_id, text), a row for each paragraph; counts combine on the map side."""
+    terms = paragraphs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    total = paragraphs.agg(F.count_distinct("para_id").alias("total"))
+    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total))  # one row
+    return df.select("term", (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
-    Counting combines on the map side; the only row that is joined to all is the number of paragraphs.
-    """
-    terms = paragraphs.select("para_id", F.explode(F.expr(r"regexp_extract_all(lower(text), '(?U)[\\w\\x{4e00}-\\x{9fff}]{2,}', 0)")).alias("term"))
-    tf = terms.groupBy("para_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    tf = tf.withColumn("tf", F.col("n") / F.max("n").over(Window.partitionBy("para_id")))
-    total = paragraphs.agg(F.countDistinct("para_id").alias("total"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total))  # one row
-    idf = df.select("term", (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    return tf.join(idf, "term").select("para_id", "term", (F.col("tf") * F.col("idf")).alias("weight"))
 
+def scores(paragraphs: DataFrame, keywords: list[str], weights: DataFrame) -> DataFrame:
+    """(para_id, score) of paragraphs that hold a keyword: the cosine of n / max n times idf with the set of keywords.
 
-def rank(paragraphs: DataFrame, keywords: list[str], limit: int = 8, least: float = 0.01) -> DataFrame:
-    """(para_id, score): the best paragraphs by cosine with the set of keywords of two letters or more."""
+    Paragraphs are dealt by para_id once; counts, maxima and sums of a paragraph need no further shuffle.
+    """
     keys = sorted({k.lower() for k in keywords if len(k) > 1})
-    weights = term_weights(paragraphs)
-    hit = F.when(F.col("term").isin(*keys), F.col("weight")).otherwise(0.0)
-    scores = weights.groupBy("para_id").agg((F.sum(hit) / (F.sqrt(F.sum(F.col("weight") ** 2)) * F.sqrt(F.lit(float(len(keys)))))).alias("score"))
-    return scores.filter(F.col("score") > least).select("para_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "para_id").limit(limit)
+    own = paragraphs.select("para_id", "text").filter(F.lower("text").rlike("|".join(map(re.escape, keys)) or "(?!)")).repartition("para_id")
+    counts = own.select("para_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("para_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    weighted = counts.withColumn("tf", F.col("n") / F.max("n").over(Window.partitionBy("para_id"))).join(weights, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    hit = F.when(F.col("term").isin(*keys), F.col("w")).otherwise(0.0)
+    return weighted.groupBy("para_id").agg((F.sum(hit) / (F.sqrt(F.sum(F.col("w") ** 2)) * F.sqrt(F.lit(float(len(keys)))))).alias("score"))
+
+
+def rank(paragraphs: DataFrame, keywords: list[str], limit: int = 8, least: float = 0.01, fallback: int = 3) -> DataFrame:
+    """(para_id, score): the ``limit`` best paragraphs by cosine above ``least``.
+
+    Without a keyword of two letters the first ``limit`` paragraphs, and without a paragraph above ``least`` the first
+    ``fallback``, in the order of para_id with score 0.
+    """
+    none = F.lit(0.0).alias("score")
+    if not any(len(k) > 1 for k in keywords):
+        return paragraphs.select("para_id", none).orderBy("para_id").limit(limit)
+    weights = idf(paragraphs)
+    if weights.count() <= MOST_BROADCAST:
+        weights = F.broadcast(weights)
+    best = scores(paragraphs, keywords, weights).filter(F.col("score") > least)
+    best = best.select("para_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "para_id").limit(limit)
+    first = paragraphs.select("para_id", none).orderBy("para_id").limit(fallback)
+    ranked = best.withColumn("found", F.lit(True)).unionByName(first.withColumn("found", F.lit(False)))
+    # At most limit + fallback rows.
+    ranked = ranked.withColumn("any", F.max("found").over(Window.partitionBy()))
+    return ranked.filter(F.col("found") == F.col("any")).select("para_id", "score").orderBy(F.desc("score"), "para_id")

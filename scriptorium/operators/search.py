@@ -25,21 +25,58 @@ def usable_query(query: Column) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+#: White space as Python's str.strip sees it.
+BLANK = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
+# What a query is cleaned of, in this order.
+QUERY_MARKS = ((r"\*\*([^\n]+?)\*\*", "$1"), (r"\*([^\n]+?)\*", "$1"), (r"\[([^\n]+?)\]\([^\n]*?\)", "$1"), (r"^\p{Nd}+[.、]" + BLANK + "*", ""), (r"^[-*]" + BLANK + "+", ""), (r"[—–]+", " - "))
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+
+
 def clean_query(query: Column) -> Column:
     """Markdown emphasis, links and list marks removed, long dashes written `` - ``."""
-    for pattern, to in ((r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"^\d+[.、]\s*", ""), (r"^[-*]\s+", ""), (r"\s*[—–]+\s*", " - ")):
+    query = stripped(query)
+    for pattern, to in QUERY_MARKS:
         query = F.regexp_replace(query, pattern, to)
-    return F.trim(query)
+    return stripped(query)
+
+
+def queries_of(lines: DataFrame, key: str, line: str, default: str) -> DataFrame:
+    """(key, pos, query) from (key, pos, line): stripped lines that aren't comments or noise; ``default`` (pos null) for a key without any.
+
+    A line of fewer than four characters, or one that starts with ``#``, is no query.
+    """
+    own = lines.withColumn("query", stripped(F.col(line)))
+    noise = F.col("query").rlike("(?i)" + "|".join(QUERY_NOISE))
+    kept = own.withColumn("ok", (F.length("query") >= 4) & ~F.col("query").startswith("#") & ~noise)
+    good = kept.filter("ok").select(key, "pos", "query")
+    none = kept.groupBy(key).agg(F.max("ok").alias("any")).filter("NOT any").select(key, F.lit(None).cast("int").alias("pos"), F.lit(default).alias("query"))
+    return good.unionByName(none)
+
+
+def topic_line(text: Column, most: int = 80) -> Column:
+    """The first line that is neither blank nor a comment, cut to ``most`` characters; null without one."""
+    lines = F.filter(F.transform(F.split(text, "\n", -1), stripped), lambda x: (x != "") & ~x.startswith("#"))
+    return F.substring(F.get(lines, 0), 1, most)
+
+
+def decoded(part: Column) -> Column:
+    """A query string's name or value with ``+`` and ``%xx`` decoded; as it is where that can't be done."""
+    return F.coalesce(F.try_url_decode(part), F.replace(part, F.lit("+"), F.lit(" ")))
 
 
 def normalize_url(url: Column) -> Column:
-    """Without tracking parameters, parameters without a value, and a bare ``?`` or ``&`` at the end; the fragment stays."""
+    """Without tracking parameters and parameters without a value, the others decoded, no bare ``?`` or ``&`` at the end; the fragment stays."""
     head = F.regexp_extract(url, r"^([^?#]*)", 1)
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     fragment = F.regexp_extract(url, r"(#.*)$", 1)
-    kept = F.filter(F.split(query, "&"), lambda p: p.rlike("^[^=]+=.+") & ~F.lower(F.substring_index(p, "=", 1)).isin(*TRACKING_PARAMS))
-    query = F.array_join(kept, "&")
-    return F.regexp_replace(F.concat(head, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""), fragment), r"[?&]+$", "")
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p.rlike("^[^=]*=.")), lambda p: F.struct(decoded(F.substring_index(p, "=", 1)).alias("name"), decoded(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("value")))
+    kept = F.filter(pairs, lambda p: ~F.lower(p["name"]).isin(*TRACKING_PARAMS))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(p["name"], F.lit("="), p["value"])), "&")
+    clean = F.regexp_replace(F.concat(head, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""), fragment), r"[?&]+$", "")
+    return F.when(clean == "", url).otherwise(clean)
 
 
 def host(url: Column) -> Column:
@@ -65,27 +102,74 @@ def readable_title(title: Column) -> Column:
     return title.rlike(r"[\x{4e00}-\x{9fff}]{2,}|[a-zA-Z]{3,}")
 
 
-def structural_score(title: Column, url: Column, snippet: Column, source: Column) -> Column:
-    return (
+def structural_score(title: Column, url: Column, snippet: Column, source: Column, low_quality: tuple[str, ...] = ()) -> Column:
+    """Points for a title of 10 to 120 characters, a long snippet, a trusted source, a web address; 0.2 off once for a host that holds a ``low_quality`` name."""
+    score = (
         F.when(F.length(title).between(10, 120), 0.15).otherwise(0.0)
         + F.when(F.length(snippet) > 50, 0.15).otherwise(0.0)
         + F.when(source.isin(*TRUSTED_SOURCES), 0.1).otherwise(0.0)
         + F.when(url.startswith("http"), 0.1).otherwise(0.0)
     )
+    if low_quality:
+        score -= F.when(F.coalesce(F.greatest(*(host(url).contains(x) for x in low_quality), F.lit(False)), F.lit(False)), 0.2).otherwise(0.0)
+    return score
+
+
+# Words that say nothing about a query, and those that join Chinese words.
+STOP_WORDS = ("的 了 是 在 我 有 和 与 及 一个 这份 介绍 简单 基本 概念 生成 一份 文档 技术 测试 这是 用于 验证 流水线 是否 正常 工作 a the of to and is for this that with in on").split()
+CONNECTORS = "[与和及的等在对于以]"
+
+
+def query_tokens(query: Column) -> Column:
+    """Chinese runs cut at connectors, the 2-grams of pieces longer than four, and Latin words of two letters; duplicates stay."""
+    runs = F.flatten(F.transform(F.regexp_extract_all(query, F.lit(r"[\x{4e00}-\x{9fff}]{2,}"), 0), lambda r: F.split(r, CONNECTORS)))
+    pieces = F.filter(runs, lambda x: F.length(x) >= 2)
+    grams = F.flatten(F.transform(F.filter(runs, lambda x: F.length(x) > 4), lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substr(x, i, F.lit(2)))))
+    latin = F.regexp_extract_all(F.lower(query), F.lit("[a-z]{2,}"), 0)
+    return F.filter(F.concat(pieces, grams, latin), lambda x: ~x.isin(*STOP_WORDS))
+
+
+def query_relevance(title: Column, snippet: Column, query: Column) -> Column:
+    """Share of a row's query tokens that its title or snippet holds; 1/2 without a query or tokens."""
+    body = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(snippet, F.lit(""))))
+    tokens = query_tokens(query)
+    share = F.size(F.filter(tokens, lambda t: body.contains(t))) / F.size(tokens)
+    return F.when(F.size(tokens) > 0, share).otherwise(0.5)
 
 
 def blended_score(structure: Column, relevance: Column) -> Column:
     return F.least(F.lit(1.0), 0.35 * F.greatest(structure, F.lit(0.0)) + 0.65 * relevance)
 
 
-def first_of_each(rows: DataFrame) -> DataFrame:
-    """First row by pos of each URL without its query, then of each title's first 30 letters; empty titles all stay."""
-    url = F.substring_index("url", "?", 1)
-    title = F.left(F.lower(F.trim(F.coalesce("title", F.lit("")))), F.lit(30))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(url).orderBy("pos"))).filter("_n = 1")
+def scored(rows: DataFrame, low_quality: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` (title, url, snippet, source, query) with relevance and score, without spam, redirects and unreadable titles."""
+    own = without_spam(rows).filter(~tracking(F.col("url")) & readable_title(F.col("title")))
+    own = own.withColumn("relevance", query_relevance(F.col("title"), F.col("snippet"), F.col("query")))
+    structure = structural_score(*map(F.col, ("title", "url", "snippet", "source")), low_quality)
+    return own.withColumn("score", blended_score(structure, F.col("relevance")))
+
+
+def best_rows(rows: DataFrame, most: int = 50, least: float = 0.25, low_quality: tuple[str, ...] = ()) -> DataFrame:
+    """The ``most`` best of ``rows`` (pos, title, url, snippet, source, query): score ``least`` or more and relevant, then the first of each URL and title in the order of score, then pos."""
+    own = scored(rows, low_quality).filter((F.col("score") >= least) & (F.col("relevance") > 0))
+    return first_of_each(own, [F.desc("score"), F.col("pos")]).orderBy(F.desc("score"), "pos").limit(most)
+
+
+def first_of_each(rows: DataFrame, order: list[Column] | None = None) -> DataFrame:
+    """First row (by pos, or ``order``) of each normalised URL without its query, then of each title's first 30 letters; empty titles all stay."""
+    order = order or [F.col("pos")]
+    url = F.substring_index(normalize_url(F.coalesce("url", F.lit(""))), "?", 1)
+    title = F.left(F.lower(stripped(F.coalesce("title", F.lit("")))), F.lit(30))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(url).orderBy(*order))).filter("_n = 1")
     # Rows without a title form no group: each is keyed by its own position.
     key = F.when(title == "", F.concat(F.lit("\0"), F.col("pos").cast("string"))).otherwise(title)
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).filter("_n = 1").drop("_n")
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_n = 1").drop("_n")
+
+
+def with_fallback(rows: DataFrame, builtin: DataFrame, query: str, least: int = 5) -> DataFrame:
+    """``rows``, and those of ``builtin`` for queries that ``rows`` answers less than ``least`` times. Both have the same columns."""
+    enough = rows.groupBy(query).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select(query)
+    return rows.unionByName(builtin.join(enough, query, "left_anti"))
 
 
 # The sites that a search is repeated on, and their names.

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many tasks as there are cores: a small table, often one row group, would keep one core busy."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Table ``name`` of the folder ``sf_dir``; any path that Spark's readers open."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
