@@ -186,17 +186,29 @@ def tensor_type(config: AudioConfig = AudioConfig()) -> pa.DataType:
     return pa.fixed_shape_tensor(pa.float32(), (config.steps, config.mels), dim_names=("step", "mel"))
 
 
+def packed_tensor(values: np.ndarray) -> bytes:
+    """A tensor as an Arrow tensor message: shape, type and values."""
+    sink = pa.BufferOutputStream()
+    pa.ipc.write_tensor(pa.Tensor.from_numpy(np.ascontiguousarray(values)), sink)
+    return sink.getvalue().to_pybytes()
+
+
 def as_tensors(column: pa.Array, config: AudioConfig = AudioConfig()) -> pa.Array:
-    """A Spark column of tensor values (flat lists) as an Arrow fixed-shape tensor array."""
-    flat = pa.FixedSizeListArray.from_arrays(column.flatten(), config.steps * config.mels)
-    return pa.ExtensionArray.from_storage(tensor_type(config), flat)
+    """A column of stored tensor messages as an Arrow fixed-shape tensor array, without nulls."""
+    values = [pa.ipc.read_tensor(pa.py_buffer(x)).to_numpy() for x in column.to_pylist()]
+    flat = pa.array(np.stack(values).ravel() if values else [], pa.float32())
+    return pa.ExtensionArray.from_storage(tensor_type(config), pa.FixedSizeListArray.from_arrays(flat, config.steps * config.mels))
 
 
-MEASURED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tensor array<float>, spans array<struct<start: double, stop: double>>"
+MEASURED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tensor binary, means array<float>, spans array<struct<start: double, stop: double>>"
 
 
 def measure(media: DataFrame, config: AudioConfig = AudioConfig()) -> DataFrame:
-    """Reads each stored clip back: digests of its samples and of its file, its feature tensor and its time spans."""
+    """Reads each stored clip back: digests of its samples and of its file, its feature tensor and its time spans.
+
+    tensor is an Arrow tensor message of shape (steps, mels), the same for every clip (as_tensors makes an
+    Arrow fixed-shape tensor array of the column); means are its means over the steps.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.float64()), ("stop", pa.float64())]))
@@ -205,11 +217,11 @@ def measure(media: DataFrame, config: AudioConfig = AudioConfig()) -> DataFrame:
             for stored in batch.column("media").to_pylist():
                 samples, rate = unwav(stored)
                 tensor, spans = features(samples, config)
-                rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), tensor.ravel(), [{"start": a, "stop": b} for a, b in spans]))
+                rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), tensor, [{"start": a, "stop": b} for a, b in spans]))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
-            tensors = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([r[5] for r in rows]) if rows else [], pa.float32()), config.steps * config.mels)
-            tensors = pa.ExtensionArray.from_storage(tensor_type(config), tensors).storage.cast(pa.list_(pa.float32()))
-            arrays = [batch.column("doc_id"), batch.column("n_bytes"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)), tensors, pa.array([r[6] for r in rows], span)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "tensor", "spans"])
+            tensors = pa.array([packed_tensor(r[5]) for r in rows], pa.binary())
+            means = pa.array([r[5].mean(axis=0) for r in rows], pa.list_(pa.float32()))
+            arrays = [batch.column("doc_id"), batch.column("n_bytes"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)), tensors, means, pa.array([r[6] for r in rows], span)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "tensor", "means", "spans"])
 
     return media.mapInArrow(run, MEASURED)

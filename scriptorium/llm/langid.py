@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import held_out, materialise
@@ -23,14 +23,14 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class LangConfig:
-    """window: bytes of a window. sample: most labelled documents, and per_doc the most windows of each, that training sees."""
+    """window: bytes of a window. sample: most labelled documents, in equal shares of each language; windows: most windows of their texts, too."""
 
     window: int = 128
     widths: tuple[int, ...] = (2, 3, 4)
     filters: int = 16
     depth: int = 8
     sample: int = 4000
-    per_doc: int = 3
+    windows: int = 12_000
     epochs: int = 6
     batch: int = 64
     rate: float = 0.004
@@ -141,13 +141,17 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, config: LangConfig = LangConfig()) -> ByteNet | None:
     """Learns from (text, lang) of documents that aren't held out; None if no such row has a language and a letter.
 
-    The sample is the first config.sample rows in the order of a hash of (doc_id, lang); windows are
-    spread over each text. Classes are balanced by repeating windows of the rarer languages.
+    Each language has an equal share of config.sample rows, the first in the order of a hash of their ids, and of
+    config.windows windows, the first in the order of a hash of all windows of these rows' whole texts. Classes are
+    balanced by repeating windows of the rarer languages.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter(~held_out("doc_id", config.modulus, config.remainder) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # Ids first, so that sorting doesn't move texts; at most config.sample rows of a number and a language.
-    chosen = rows.select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id", "lang"), "doc_id", "lang").limit(config.sample)
+    languages = rows.select("lang").distinct().count()
+    share = lambda most: max(1, most // max(1, languages))
+    # Ids first, so that ranking doesn't move texts; the filter on row_number runs as a group limit before the shuffle.
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = rows.select("doc_id", "lang").distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= share(config.sample)).select("doc_id", "lang")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,12 +159,13 @@ def fit(docs: DataFrame, config: LangConfig = LangConfig()) -> ByteNet | None:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 if _LETTER.search(text):
                     found = windows_of(text, config.window)
-                    for i in np.unique(np.linspace(0, len(found) - 1, config.per_doc).astype(int)):
-                        langs.append(lang)
-                        parts.append(found[i].tobytes())
+                    langs += [lang] * len(found)
+                    parts += map(bytes, found)
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.binary())], names=["lang", "part"])
 
     cuts = materialise(rows.join(F.broadcast(chosen), ["doc_id", "lang"]).mapInArrow(cut, "lang string, part binary"), "lang_windows").distinct()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("part"), "part")
+    cuts = cuts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= share(config.windows)).select("lang", "part")
     found = cuts.orderBy("lang", "part").collect()
     if not found:
         return None

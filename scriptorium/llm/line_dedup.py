@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import materialise, small_batches
+from scriptorium.llm.common import fresh, materialise, salted_join, small_batches
 
 
 @dataclass(frozen=True)
@@ -148,14 +148,17 @@ def repeated_lines(docs: DataFrame, config: LineDedupConfig = LineDedupConfig())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "key"])
 
     # One row for each key and document, also where rows of a document are repeated.
-    seen = materialise(small_batches(docs).mapInArrow(suspects, "doc_id long, key binary"), "suspect_lines").distinct()
-    repeats = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= config.min_docs).select("key", "keeper")
-    return seen.join(repeats, "key").filter("doc_id <> keeper").groupBy("doc_id").agg(F.collect_list("key").alias("drop"))
+    found = materialise(small_batches(docs).mapInArrow(suspects, "doc_id long, key binary"), "suspect_lines")
+    seen = found.distinct()
+    repeats = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= config.min_docs)
+    # A line of very many documents doesn't meet in one task.
+    return salted_join(seen, repeats, "key", "n", "doc_id", found.count()).filter("doc_id <> keeper").groupBy("doc_id").agg(F.collect_list("key").alias("drop"))
 
 
-def _with_drops(docs: DataFrame, config: LineDedupConfig) -> DataFrame:
-    drops = repeated_lines(docs, config).select(F.col("doc_id").alias("__drop_id"), F.col("drop").alias("__drop"))
-    return docs.join(drops, F.col("doc_id") == F.col("__drop_id"), "left").drop("__drop_id")
+def _with_drops(docs: DataFrame, config: LineDedupConfig, drop: str) -> DataFrame:
+    (at,) = fresh(docs, "drop_id")
+    drops = repeated_lines(docs, config).select(F.col("doc_id").alias(at), F.col("drop").alias(drop))
+    return docs.join(drops, F.col("doc_id").cast("long") == F.col(at), "left").drop(at)
 
 
 def _kept(text: str | None, drop: list[bytes] | None, config: LineDedupConfig) -> tuple[int, int, str]:
@@ -176,24 +179,29 @@ def line_report(docs: DataFrame, config: LineDedupConfig = LineDedupConfig()) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [_kept(t, d, config) for t, d in zip(batch.column("text").to_pylist(), batch.column("__drop").to_pylist(), strict=True)]
+            done = [_kept(t, d, config) for t, d in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True)]
             sums = [hashlib.sha256(x[2].encode("utf-8", "surrogatepass")).hexdigest() for x in done]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64()), pa.array(sums, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return small_batches(_with_drops(docs, config)).select("doc_id", "text", "__drop").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return small_batches(_with_drops(docs, config, "gone")).select("doc_id", "text", "gone").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def without_repeated_lines(docs: DataFrame, config: LineDedupConfig = LineDedupConfig()) -> DataFrame:
-    """``docs`` with all its columns, texts without their repeated lines, and n_chars (if there) counted anew."""
+    """``docs`` with all its columns, texts without their repeated lines, and n_chars (if there) counted anew.
+
+    Null texts stay null; rows with a null doc_id stay as they are; repeated rows lose the same lines; no row is dropped.
+    An empty table gives an empty table.
+    """
+    (drop,) = fresh(docs, "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, drops = batch.column("text").to_pylist(), batch.column("__drop").to_pylist()
+            texts, drops = batch.column("text").to_pylist(), batch.column(drop).to_pylist()
             new = [_kept(t, d, config)[2] if d else t for t, d in zip(texts, drops, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == "text" else batch.column(c) for c in batch.schema.names if c != "__drop"], names=[c for c in batch.schema.names if c != "__drop"])
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == "text" else batch.column(c) for c in batch.schema.names if c != drop], names=[c for c in batch.schema.names if c != drop])
 
-    out = _with_drops(docs.withColumn("text", F.col("text").cast("string")), config)
+    out = _with_drops(docs.withColumn("text", F.col("text").cast("string")), config, drop)
     schema = docs.withColumn("text", F.col("text").cast("string")).schema
     out = small_batches(out).mapInArrow(run, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import materialise, small_batches
+from scriptorium.llm.common import fresh, materialise, small_batches
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -78,6 +78,7 @@ def sainte_lague(votes: np.ndarray, caps: np.ndarray, seats: int) -> np.ndarray:
 def targets(sizes: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """(source, source_size, n_docs, weight, target) from rows of (source, size): a row for each source.
 
+    A null source is a source, the last; null sizes don't occur (sized gives 0); an empty table gives an empty table.
     The windows without partition run over one row for each source, after aggregation.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
@@ -184,20 +185,27 @@ def _cut(text: str, start: int, stop: int) -> str:
 def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """The mix: rows of ``docs`` with all their columns, as often as taken; a part that is taken once more has its words only.
 
-    n_chars (if there) is counted anew. Rows that are alike in doc_id and text share one plan.
+    n_chars (if there) is counted anew. A null text gives nothing; a null doc_id is one id; rows that are alike in doc_id,
+    text and source have a plan each. An empty table gives an empty table.
     """
+    of, key, at, source, of_place, place, plan_of = fresh(docs, "mix_of", "mix_key", "mix_id", "mix_source", "mix_of_place", "mix_place", "mix_plan")
     docs = docs.withColumn("text", F.col("text").cast("string"))
     parts = plan(materialise(sized(docs), "mix_sizes"), config)
-    parts = parts.filter("times > 0 OR to_word > from_word OR wrap_to > 0")
-    parts = parts.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.min(F.struct("times", "from_word", "to_word", "wrap_to", "size")).alias("__plan"))
-    keyed = docs.withColumn("__of", F.xxhash64("text"))
-    keyed = keyed.join(parts, keyed["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__key")))
+    parts = materialise(parts.select(F.col("doc_id").alias(at), F.col("key").alias(key), F.col("source").alias(source), F.struct("times", "from_word", "to_word", "wrap_to", "size").alias(plan_of)), "mix_plans")
+    keyed = docs.withColumn(of, F.xxhash64("text"))
+    if parts.groupBy(at, key, source).count().filter("count > 1").isEmpty():
+        parts, keyed = parts.withColumn(place, F.lit(1)), keyed.withColumn(of_place, F.lit(1))
+    else:
+        parts = parts.withColumn(place, F.row_number().over(Window.partitionBy(at, key, source).orderBy(plan_of)))
+        keyed = keyed.withColumn(of_place, F.row_number().over(Window.partitionBy("doc_id", of, "source").orderBy(F.lit(0))))
+    parts = parts.filter(f"{plan_of}.times > 0 OR {plan_of}.to_word > {plan_of}.from_word OR {plan_of}.wrap_to > 0")
+    keyed = keyed.join(parts, F.col("doc_id").cast("long").eqNullSafe(F.col(at)) & (F.col(of) == F.col(key)) & F.col("source").cast("string").eqNullSafe(F.col(source)) & (F.col(of_place) == F.col(place)))
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, texts = [], []
-            for i, (text, p) in enumerate(zip(batch.column("text").to_pylist(), batch.column("__plan").to_pylist(), strict=True)):
+            for i, (text, p) in enumerate(zip(batch.column("text").to_pylist(), batch.column(plan_of).to_pylist(), strict=True)):
                 new = [text] * p["times"]
                 for start, stop in ((p["from_word"], p["to_word"]), (0, p["wrap_to"])):
                     if stop > start:
@@ -207,5 +215,5 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
             taken = batch.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else taken.column(c) for c in schema.names], names=schema.names)
 
-    out = small_batches(keyed).select(*docs.columns, "__plan").mapInArrow(run, schema)
+    out = small_batches(keyed).select(*docs.columns, plan_of).mapInArrow(run, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -49,15 +49,15 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     found = chat_format.read_back(chat_format.format_segments(turns.unionByName(probe)))
-    return found.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    return found.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid")
 
 
 def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = audio_media.measure(audio_media.store(load(spark, sf_dir, "documents")))
-    tensor = F.array_join(F.transform("tensor", lambda x: F.format_string("%.2f", x)), " ")
+    means = F.array_join(F.transform("means", lambda x: F.format_string("%.2f", x)), " ")
     spans = F.array_join(F.transform("spans", lambda x: F.format_string("%.2f-%.2f", x["start"], x["stop"])), " ")
-    # A digest of all values and spans, and the means by mel band in front for reading.
-    feature = F.concat_ws(";", F.sha2(F.concat_ws("|", tensor, spans), 256), F.size("spans").cast("string"), F.substring_index(tensor, " ", 20))
+    # A digest of the stored tensor and all spans, the number of spans, and the clip's mean by mel band.
+    feature = F.concat_ws(";", F.sha2(F.concat(F.col("tensor"), F.encode(spans, "UTF-8")), 256), F.size("spans").cast("string"), means)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
@@ -96,13 +96,16 @@ _CHAT_SQL = f"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}'
+), steps AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS state FROM turns
 )
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(length('<|im_start|>') + length(replace(replace(role, '<|', '<||'), chr(10), '<|nl|>')) + 1 + length(replace(text, '<|', '<||')) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
-FROM turns GROUP BY conv_id
+       CAST(sum(length('<|im_start|>') + length(replace(replace(role, '<|', '<||'), chr(10), '<|nl|>')) + 1 + length(replace(text, '<|', '<||')) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars,
+       bool_and(CASE WHEN state IS NULL THEN role IN ('system', 'user') WHEN state IN ('system', 'assistant') THEN role = 'user' ELSE state = 'user' AND role = 'assistant' END) AS valid
+FROM steps GROUP BY conv_id
 """
 
 

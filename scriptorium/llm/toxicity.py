@@ -190,21 +190,24 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
     kinds = (known.filter(~F.col("word").endswith("*")), known.filter(F.col("word").endswith("*")))
     chosen_words = [row["word"] for kind in kinds for row in kind.orderBy(F.desc("pull"), "word").limit(config.words).collect()]
     number = {word: i for i, word in enumerate(chosen_words)}
-    rows, marks, twins = [], [], []
-    numbers = lambda words: sorted(number[w] for w in features(words, config.prefixes, terms) if w in number)
     shared = seen.sparkSession.sparkContext.broadcast(number)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
+        numbers = lambda words: sorted(known[w] for w in features(words, config.prefixes, terms) if w in known)
+        lists = pa.list_(pa.list_(pa.int32()))
         for batch in batches:
-            found = [sorted(known[w] for w in features(words, config.prefixes, terms) if w in known) for words in batch.column("words").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int32())), batch.column("pairs")], names=["toxic", "found", "pairs"])
+            found = [numbers(words) for words in batch.column("words").to_pylist()]
+            pairs = [[(numbers(a), numbers(b)) for a, b in zip(p["own"], p["twin"], strict=True)] for p in batch.column("pairs").to_pylist()]
+            sides = [pa.array([[x[side] for x in p] for p in pairs], lists) for side in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int32())), *sides], names=["toxic", "found", "own", "twin"])
 
-    for row in seen.mapInArrow(numbered, "toxic int, found array<int>, pairs struct<own: array<array<string>>, twin: array<array<string>>>").orderBy("toxic", "found").collect():
-        rows.append(row["found"])
-        marks.append(row["toxic"])
-        twins += [(numbers(a), numbers(b)) for a, b in zip(row["pairs"]["own"], row["pairs"]["twin"], strict=True)]
-    return ToxicityModel(number, train(rows, marks, twins, len(number), config), config.prefixes, terms)
+    # At most config.sample rows, of numbers only; sorted here, by everything, so that sums don't depend on the order of tasks.
+    known_rows = seen.mapInArrow(numbered, "toxic int, found array<int>, own array<array<int>>, twin array<array<int>>").collect()
+    known_rows = sorted(map(tuple, known_rows))
+    twins = [pair for _, _, own, twin in known_rows for pair in zip(own, twin, strict=True)]
+    weights = train([found for _, found, _, _ in known_rows], [toxic for toxic, _, _, _ in known_rows], twins, len(number), config)
+    return ToxicityModel(number, weights, config.prefixes, terms)
 
 
 def score(docs: DataFrame, model: ToxicityModel, config: ToxicityConfig = ToxicityConfig()) -> DataFrame:
@@ -222,7 +225,11 @@ def score(docs: DataFrame, model: ToxicityModel, config: ToxicityConfig = Toxici
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, config: ToxicityConfig = ToxicityConfig()) -> DataFrame:
-    """``docs`` with all its columns, without rows whose score reaches the threshold."""
+    """``docs`` with all its columns, without rows whose score reaches the threshold.
+
+    Null and empty texts have the score of the bias, so they stay; repeated rows go or stay together; ids play no part.
+    An empty table gives an empty table.
+    """
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

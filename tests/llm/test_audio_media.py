@@ -61,8 +61,10 @@ def test_operator_rows(spark):
         payload, n = payload_of(text)
         assert len(payload) % 192 == 0 and payload.rstrip(b" ") == (text or "").encode().rstrip(b" ")
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-        assert len(r.tensor) == 160 and r.media_bytes == len(payload) + 44
-    column = as_tensors(pa.array([r.tensor for r in got], pa.list_(pa.float32())))
+        assert len(r.means) == 20 and r.media_bytes == len(payload) + 44
+        tensor, spans = features(payload, AudioConfig())
+        assert np.array_equal(as_tensors(pa.array([bytes(r.tensor)], pa.binary())).to_numpy_ndarray()[0], tensor) and [tuple(s) for s in r.spans] == spans
+    column = as_tensors(pa.array([bytes(r.tensor) for r in got], pa.binary()))
     assert column.type == tensor_type() and column.to_numpy_ndarray().shape == (6, 8, 20)
     assert measure(store(frame(spark, []))).collect() == []
 

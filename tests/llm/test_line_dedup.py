@@ -5,6 +5,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scriptorium.llm.line_dedup import LineDedupConfig, line_report, repeat_filter, without_repeated_lines
 from scriptorium.llm.queries import oracle_sql, op6_line_dedup
@@ -41,6 +42,13 @@ def test_against_brute_force(spark):
     assert line_report(frame(spark, [])).collect() == []
 
 
+def test_clashing_names_and_a_line_of_every_document(spark):
+    rows = [(d, f"the very same line in all of them\nown line number {d} of its document") for d in range(600)]
+    docs = frame(spark, rows).withColumn("gone", F.lit(1)).withColumn("__drop", F.lit(2)).withColumn("drop_id", F.lit(3))
+    out = without_repeated_lines(docs)
+    assert out.columns == docs.columns and sorted((r.doc_id, r.text) for r in out.collect()) == sorted((x[0], x[4]) for x in brute(rows))
+
+
 @pytest.mark.parametrize("log2", [16, 10])
 def test_a_full_filter_changes_nothing(spark, log2):
     rng = random.Random(5)
