@@ -305,41 +305,14 @@ _SHARED = {
 }
 
 
-def _shared(name: str, sql: str) -> None:
-    tables = [t for t in ("events", "documents", "conversations", "pages") if f"{{{t}}}" in sql]
-
-    def run(spark, sf_dir):
-        return spark.sql(sql, **{t: load(spark, sf_dir, t) for t in tables})
-
-    run.__name__ = name
-    _register(sql.format(**{t: t for t in tables}))(run)
-
-
-for _name, _text in _SHARED.items():
-    _shared(_name, _text)
+def shared_sql(name: str) -> str:
+    """The oracle SQL of one of the queries whose text names its tables in braces."""
+    return _SHARED[name].format(**{t: t for t in ("events", "documents", "conversations", "pages")})
 
 
 # -- sequential control ------------------------------------------------------------------------
 
 
-@_register()
-def token_bucket(spark, sf_dir):
-    """A bucket for each user: one token an hour, two at most."""
-    events = load(spark, sf_dir, "events").select("event_id", "ts", "user_id")
-    return control.token_bucket(events, "user_id", "ts", ["ts", "event_id"], 1 / 3600, 2).select("event_id", "user_id", "allowed")
-
-
-@_register()
-def circuit_breaker(spark, sf_dir):
-    events = load(spark, sf_dir, "events").select("event_id", "ts", "user_id", (F.col("event_type") != "error").alias("success"))
-    return control.circuit_breaker(events, "user_id", "ts", ["ts", "event_id"], "success", 2, 3600.0).select("event_id", "user_id", "state", "admitted")
-
-
-@_register("SELECT source AS file, lang AS engine, count(*) AS n FROM documents GROUP BY ALL")
-def pool_merge(spark, sf_dir):
-    return load(spark, sf_dir, "documents").groupBy(F.col("source").alias("file"), F.col("lang").alias("engine")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @_register("WITH w AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS word FROM documents) SELECT word, n FROM (SELECT word, count(*) AS n FROM w WHERE length(word) > 2 AND word NOT IN ('the', 'are', 'was', 'were', 'been') GROUP BY word) ORDER BY n DESC, word LIMIT 10")
 def keyword_top10(spark, sf_dir):
     """The ten most frequent words (a top-k report)."""
@@ -432,11 +405,6 @@ def chunk_classify(spark, sf_dir):
     return _rows(spark, sf_dir).select("pos", writer.section_of(F.concat_ws(" ", "title", "snippet")).alias("section"))
 
 
-@_register("SELECT doc_id, source AS file, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS version, sha256(text) AS digest, strlen(text)::BIGINT AS size, (length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines FROM documents")
-def version_commit(spark, sf_dir):
-    return writer.versions(load(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("file"), "text"), "file", "doc_id", "text").select("doc_id", "file", "version", "digest", "size", "n_lines")
-
-
 @_register("SELECT page_id, CASE WHEN title = '' THEN left(sha256(url), 12) ELSE substr(regexp_replace(title, '[^a-zA-Z0-9_\\x{4e00}-\\x{9fff}-]', '_', 'g'), 1, 60) END AS file FROM (SELECT page_id, url, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages)".replace("\\\\", "\\"))
 def article_sink_projection(spark, sf_dir):
     titled = load(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"))
@@ -466,13 +434,6 @@ def provider_health(spark, sf_dir):
     return control.provider_health(calls, "user_id", ["ts", "event_id"], "success").select("event_id", "healthy")
 
 
-@_register()
-def cache_hits(spark, sf_dir):
-    """A cache of three event types for each user; entries live for a day."""
-    requests = load(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    return control.lru_hits(requests, "user_id", "event_type", "ts", ["ts", "event_id"], 3, 86400.0).select("event_id", "hit")
-
-
 # -- rewritten texts, tables, checks -----------------------------------------------------------
 
 _BARE = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
@@ -579,4 +540,4 @@ def section_top3(spark, sf_dir):
 
 
 # Further modules register their queries when they are imported.
-from scriptorium import catalog_build, catalog_search  # noqa: E402, F401
+from scriptorium import catalog_build, catalog_ops, catalog_search  # noqa: E402, F401

@@ -33,13 +33,6 @@ def safe_name(title: Column, url: Column, most: int = 60) -> Column:
     return F.when(title == "", F.left(F.sha2(url, 256), F.lit(12))).otherwise(clean)
 
 
-def versions(texts: DataFrame, file: str, order: str, text: str) -> DataFrame:
-    """``texts`` with version (from 1 by ``order`` within a file), digest, size in bytes and number of lines."""
-    numbered = texts.withColumn("version", F.row_number().over(Window.partitionBy(file).orderBy(order)).cast("long"))
-    lines = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1
-    return numbered.select("*", F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("size"), lines.cast("long").alias("n_lines"))
-
-
 # The plan of a document without a model, and the words that a section looks for.
 PLAN = (
     ("概述", ("概述", "简介", "概念", "背景")), ("核心架构", ("架构", "设计", "原理", "组件")), ("关键特性", ("特性", "功能", "特点", "支持")),

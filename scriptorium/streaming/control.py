@@ -1,62 +1,162 @@
-"""Sequential control operators over keyed, ordered events, and their Structured Streaming counterparts."""
+"""Sequential control operators over keyed, ordered events, in batch and as streams.
+
+An operator is a start state and a step ``(state, now, value) -> (state, outputs)``. In batch, events are dealt
+by key and sorted inside each partition; the steps run over Arrow batches, so memory holds one batch and one state however
+long a key's history is. As a stream, the state of a key lives in the state store.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
+import pickle
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Any
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+Step = Callable[[Any, float, Any], tuple[Any, tuple]]
 
-def first_of_key(events: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Idempotent dedup in batch: the first event of each key; events with an empty key all stay."""
-    first = events.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return first.filter((F.col("_n") == 1) | (F.coalesce(F.col(key), F.lit("")) == "")).drop("_n")
 
+@dataclass(frozen=True)
+class Machine:
+    """A start state, a step, and the names and SQL types of its outputs. Steps return new states, never changed ones."""
 
-def stream_first_of_key(stream: DataFrame, key: str, time: str, lateness: str) -> DataFrame:
-    """The same over a stream; state of keys older than the watermark goes."""
-    return stream.withWatermark(time, lateness).dropDuplicatesWithinWatermark([key])
+    start: Any
+    step: Step
+    outputs: tuple[tuple[str, str], ...]
 
 
-def token_bucket(events: DataFrame, key: str, time: str, order: list[str], rate: float = 10.0, burst: float = 20.0) -> DataFrame:
-    """``events`` with allowed: buckets start full, gain ``rate`` tokens a second up to ``burst``, and each event takes one."""
-    schema = events.select("*", F.lit(True).alias("allowed")).schema
+def _seconds(times: list) -> list[float]:
+    """Seconds of numbers and times; a time without a zone is UTC."""
+    return [(t if t.tzinfo else t.replace(tzinfo=dt.UTC)).timestamp() if hasattr(t, "timestamp") else float(t) for t in times]
+
+
+def _run(events: DataFrame, key: str, time: str, order: list[str], value: str, machine: Machine) -> DataFrame:
+    names, kinds = [n for n, _ in machine.outputs], [k for _, k in machine.outputs]
+    types = [{"boolean": pa.bool_(), "string": pa.string()}[k] for k in kinds]
+    schema = events.select("*", *(F.lit(None).cast(k).alias(n) for n, k in machine.outputs)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, seen = None, machine.start, False
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            for k, now, v in zip(batch.column(key).to_pylist(), _seconds(batch.column(time).to_pylist()), batch.column(value).to_pylist(), strict=True):
+                if not seen or k != last:
+                    last, state, seen = k, machine.start, True
+                state, made = machine.step(state, now, v)
+                for column, x in zip(out, made, strict=True):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, t) for x, t in zip(out, types, strict=True))], names=[*batch.schema.names, *names])
+
+    return events.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
+def _stream(stream: DataFrame, key: str, time: str, order: list[str], value: str, machine: Machine) -> DataFrame:
+    schema = stream.select("*", *(F.lit(None).cast(k).alias(n) for n, k in machine.outputs)).schema
+
+    def run(_, frames: Iterator[pd.DataFrame], store) -> Iterator[pd.DataFrame]:
+        state = pickle.loads(store.get[0]) if store.exists else machine.start
+        rows = pd.concat(list(frames), ignore_index=True).sort_values(order, ignore_index=True)
+        made = []
+        for now, v in zip(_seconds(rows[time].tolist()), rows[value].tolist(), strict=True):
+            state, outputs = machine.step(state, now, v)
+            made.append(outputs)
+        store.update((pickle.dumps(state),))
+        yield rows.assign(**{n: [m[i] for m in made] for i, (n, _) in enumerate(machine.outputs)})
+
+    return stream.groupBy(key).applyInPandasWithState(run, schema, "state binary", "append", "NoTimeout")
+
+
+# -- the operators -----------------------------------------------------------------------------
+
+
+def bucket(rate: float = 10.0, burst: float = 20.0) -> Machine:
+    """Starts full, gains ``rate`` tokens a second up to ``burst``; an event takes one, if there is one."""
+
+    def step(state, now, _):
+        tokens, last = state
+        tokens = min(burst, tokens + (now - last) * rate) if last is not None else tokens
+        ok = tokens >= 1
+        return (tokens - ok, now), (ok,)
+
+    return Machine((burst, None), step, (("allowed", "boolean"),))
+
+
+def breaker(threshold: int = 5, recovery: float = 60.0) -> Machine:
+    """``threshold`` failures in a row open; after ``recovery`` seconds one trial closes or opens again. The value is success."""
+
+    def step(state, now, success):
+        name, failures, opened = state
+        if name == "open" and now - opened >= recovery:
+            name = "half_open"
+        admitted = name != "open"
+        if admitted and success:
+            name, failures = "closed", 0
+        elif admitted:
+            failures += 1
+            if name == "half_open" or failures >= threshold:
+                name, opened = "open", now
+        return (name, failures, opened), (name, admitted)
+
+    return Machine(("closed", 0, 0.0), step, (("state", "string"), ("admitted", "boolean")))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, ignore_index=True)
-        tokens, last, allowed = burst, None, []
-        for now in pdf[time].astype("datetime64[us]").astype("int64") / 1e6:
-            tokens = min(burst, tokens + (now - last) * rate) if last is not None else tokens
-            last, ok = now, tokens >= 1
-            tokens -= ok
-            allowed.append(bool(ok))
-        return pdf.assign(allowed=allowed)
 
-    return events.groupBy(key).applyInPandas(run, schema)
+def provider(failures: int = 3, cooldown: float = 60.0) -> Machine:
+    """Unhealthy after ``failures`` in a row: calls are refused until ``cooldown`` seconds have passed, then tried again. The value is success."""
+
+    def step(state, now, success):
+        failed, since = state
+        admitted = failed < failures or now - since >= cooldown
+        if admitted:
+            failed, since = (0, 0.0) if success else (failed + 1, now)
+        return (failed, since), (admitted, failed < failures)
+
+    return Machine((0, 0.0), step, (("admitted", "boolean"), ("healthy", "boolean")))
+
+
+def lru(capacity: int, ttl: float) -> Machine:
+    """A cache of ``capacity`` values, least recently used out first; older than ``ttl`` seconds misses (0: never; below 0: nothing is kept)."""
+
+    def step(cache, now, value):
+        inserted = dict(cache)
+        hit = value in inserted and not (ttl > 0 and now - inserted[value] > ttl)
+        kept = tuple(x for x in cache if x[0] != value)
+        if ttl < 0:
+            return (), (False,)
+        if not hit:
+            kept = kept[max(0, len(kept) - capacity + 1) :]
+        return (*kept, (value, inserted[value] if hit else now)), (hit,)
+
+    return Machine((), step, (("hit", "boolean"),))
+
+
+def token_bucket(events: DataFrame, key: str, time: str, order: list[str], rate: float = 10.0, burst: float = 20.0) -> DataFrame:
+    """``events`` with allowed. A null key is a key."""
+    return _run(events, key, time, order, key, bucket(rate, burst))
 
 
 def circuit_breaker(events: DataFrame, key: str, time: str, order: list[str], success: str, threshold: int = 5, recovery: float = 60.0) -> DataFrame:
-    """``events`` with state and admitted: ``threshold`` failures in a row open; after ``recovery`` seconds one trial decides."""
-    schema = events.select("*", F.lit("").alias("state"), F.lit(True).alias("admitted")).schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, ignore_index=True)
-        state, failures, opened, states, admitted = "closed", 0, 0.0, [], []
-        for now, ok in zip(pdf[time].astype("datetime64[us]").astype("int64") / 1e6, pdf[success], strict=True):
-            if state == "open" and now - opened >= recovery:
-                state = "half_open"
-            admitted.append(state != "open")
-            if state != "open":
-                if ok:
-                    state, failures = "closed", 0
-                else:
-                    failures += 1
-                    if state == "half_open" or failures >= threshold:
-                        state, opened = "open", now
-            states.append(state)
-        return pdf.assign(state=states, admitted=admitted)
-
-    return events.groupBy(key).applyInPandas(run, schema)
+    """``events`` with state (after the event) and admitted."""
+    return _run(events, key, time, order, success, breaker(threshold, recovery))
+
+
+def provider_calls(calls: DataFrame, key: str, time: str, order: list[str], success: str, failures: int = 3, cooldown: float = 60.0) -> DataFrame:
+    """``calls`` with admitted and healthy (after the call)."""
+    return _run(calls, key, time, order, success, provider(failures, cooldown))
+
+
+def lru_hits(requests: DataFrame, partition: str, key: str, time: str, order: list[str], capacity: int, ttl: float) -> DataFrame:
+    """``requests`` with hit: a cache for each ``partition`` that keeps ``capacity`` of the values of ``key``."""
+    return _run(requests, partition, time, order, key, lru(capacity, ttl))
+
+
+def stream_control(stream: DataFrame, key: str, time: str, order: list[str], value: str, machine: Machine) -> DataFrame:
+    """A machine over a stream: events of a micro-batch in ``order``, the state of each key kept between batches and restarts."""
+    return _stream(stream, key, time, order, value, machine)
 
 
 def provider_health(calls: DataFrame, key: str, order: list[str], success: str, failures: int = 3) -> DataFrame:
@@ -70,24 +170,16 @@ def provider_health(calls: DataFrame, key: str, order: list[str], success: str,
     return marked.withColumn("healthy", F.sum((~F.col(success)).cast("long")).over(since) < failures).drop("_run")
 
 
-def lru_hits(requests: DataFrame, partition: str, key: str, time: str, order: list[str], capacity: int, ttl: float) -> DataFrame:
-    """``requests`` with hit: a cache for each partition that keeps ``capacity`` keys, least recently used out first; an entry older than ``ttl`` seconds misses (0: never)."""
-    from collections import OrderedDict
-
-    schema = requests.select("*", F.lit(True).alias("hit")).schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, ignore_index=True)
-        cache, hits = OrderedDict(), []
-        for now, k in zip(pdf[time].astype("datetime64[us]").astype("int64") / 1e6, pdf[key], strict=True):
-            hit = k in cache and not (ttl > 0 and now - cache[k] > ttl)
-            if not hit:
-                cache.pop(k, None)
-                while len(cache) >= capacity:
-                    cache.popitem(last=False)
-                cache[k] = now
-            cache.move_to_end(k)
-            hits.append(hit)
-        return pdf.assign(hit=hits)
-
-    return requests.groupBy(partition).applyInPandas(run, schema)
+# -- dedup -------------------------------------------------------------------------------------
+
+
+def first_of_key(events: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Idempotent dedup in batch: the first event of each key; events with an empty key all stay. The limit runs before the shuffle."""
+    empty = F.coalesce(F.col(key).cast("string"), F.lit("")) == ""
+    first = events.filter(~empty).withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_n = 1").drop("_n")
+    return first.unionByName(events.filter(empty))
+
+
+def stream_first_of_key(stream: DataFrame, key: str, time: str, lateness: str) -> DataFrame:
+    """The same over a stream; state of keys older than the watermark goes."""
+    return stream.withWatermark(time, lateness).dropDuplicatesWithinWatermark([key])
