@@ -380,13 +380,6 @@ def citation_counts(spark, sf_dir):
     return _md(spark, sf_dir).select("doc_id", *quality.citation_counts(F.col("text")))
 
 
-@_register(_MD + _SCORES + _SUBSTANCE + _TOPIC + f"""SELECT doc_id, round(greatest(0, (0.18::DOUBLE * completeness + 0.12::DOUBLE * structure + 0.10::DOUBLE * readability + 0.12::DOUBLE * citation + 0.10::DOUBLE * depth + 0.18::DOUBLE * substance + 0.20::DOUBLE * topic_relevance) / 1.1::DOUBLE
- - least(({_STYLE}) + 5 * {_ISSUES}, 40)), 1) >= 40 AS passed FROM md JOIN s USING (doc_id) JOIN sub USING (doc_id) JOIN tr USING (doc_id)""")
-def gate_verdict(spark, sf_dir):
-    """Whether all seven dimensions less penalties reach 40 of 100 (the invented prose has no topic to meet 70)."""
-    return _md(spark, sf_dir).select("doc_id", (quality.verdict(F.col("text"), [TOPIC]) >= 40).alias("passed"))
-
-
 @_register(r"""
 WITH a AS (SELECT page_id, unnest(hits) AS hit, unnest(range(len(hits))) AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?s)<a[^>]+href="https?://[^"]+"[^>]*>.*?</a>') AS hits FROM pages)),
 b AS (SELECT page_id, pos, regexp_extract(hit, '(?s)<a[^>]+href="(https?://[^"]+)"', 1) AS url, trim(regexp_replace(regexp_extract(hit, '(?s)<a[^>]+href="https?://[^"]+"[^>]*>(.*?)</a>', 1), '<[^>]+>', '', 'g')) AS title FROM a),
@@ -540,4 +533,4 @@ def section_top3(spark, sf_dir):
 
 
 # Further modules register their queries when they are imported.
-from scriptorium import catalog_build, catalog_ops, catalog_search  # noqa: E402, F401
+from scriptorium import catalog_build, catalog_ops, catalog_search, catalog_text  # noqa: E402, F401

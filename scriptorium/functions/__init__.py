@@ -1 +1 @@
-"""functions of the document analytics engine."""
+"""Scalar functions as Column expressions."""

@@ -51,3 +51,8 @@ def demoted(text: Column, known: Column) -> Column:
         return F.when(bare.rlike(_CHAPTER) & ~F.array_contains(known, bare), F.concat(F.lit("**"), F.substr(bare, F.lit(4)), F.lit("**"))).otherwise(x)
 
     return F.array_join(F.transform(F.split(text, "\n", -1), line), "\n")
+
+
+def mermaid_blocks(text: Column) -> Column:
+    """The code of whole Mermaid blocks."""
+    return F.regexp_extract_all(text, F.lit(r"(?s)```mermaid\n(.*?)```"), 1)

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import re
+from collections.abc import Callable, Iterator
+from itertools import groupby
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,31 +22,85 @@ def visual_width(text: Column) -> Column:
     return 2 * F.length(text) - F.length(F.regexp_replace(text, r"[\x{4e00}-\x{9fff}\x{ff00}-\x{ffef}]", ""))
 
 
+def _per_text(docs: DataFrame, schema: str, rows_of: Callable[[list[str]], Iterator[tuple]]) -> DataFrame:
+    """(doc_id, *schema): rows of each text's lines, in one Arrow pass without a shuffle; a null text has no lines."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [{"long": pa.int64(), "string": pa.string()}[x.split()[1]] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                for row in rows_of(text.split("\n")) if text is not None else ():
+                    at.append(i)
+                    rows.append(row)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["doc_id", *names])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, {schema}")
+
+
+HEADING, SECTION = re.compile(r"(#{1,6})\s+\S"), re.compile(r"#{1,3}\s+\S")
+DELIMITER, DELIMITER_LINE = re.compile(r"\|\s*[-:]+\s*\|"), re.compile(r"\|[\s\-:]+\|$")
+
+
+def runs_of_blanks(lines: list[str], least: int = 5) -> Iterator[tuple[int, int]]:
+    """(line_no, run) of blank lines that a later line with text closes."""
+    at = 1
+    for blank, group in groupby(lines, key=lambda x: not x.strip(" ")):
+        n = sum(1 for _ in group)
+        if blank and n >= least and at + n <= len(lines):
+            yield at, n
+        at += n
+
+
+def jumps_of_headings(lines: list[str]) -> Iterator[tuple[int, int, int]]:
+    """(line_no, level, before) of headings more than one level below the one before."""
+    before = None
+    for at, line in enumerate(lines, 1):
+        if m := HEADING.match(line):
+            level = len(m[1])
+            if before is not None and level - before > 1:
+                yield at, level, before
+            before = level
+
+
+def ragged_of_tables(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """(line_no, widest) of tables whose rows differ in their number of filled cells."""
+    marks = [bool(DELIMITER.search(x)) for x in lines]
+    at = 0
+    for pipe, group in groupby(lines, key=lambda x: x.strip().startswith("|")):
+        n = sum(1 for _ in group)
+        if pipe:
+            rows = [i for i in range(at, at + n) if not DELIMITER_LINE.match(lines[i].strip())]
+            start = next((i for i in rows if any(marks[max(0, i - 5) : i + 5])), None)
+            cells = [(i, sum(bool(c.strip()) for c in lines[i].split("|"))) for i in rows if start is not None and i >= start]
+            if cells and min(c for _, c in cells) < max(c for _, c in cells):
+                yield cells[0][0] + 1, max(c for _, c in cells)
+        at += n
+
+
+def cut_sections(lines: list[str]) -> Iterator[tuple[int, str, int, str]]:
+    """(sec_no, title, line_start, digest): cut at headings of level 1 to 3, the preamble, if there is one, as section 0."""
+    starts = [i for i, x in enumerate(lines) if SECTION.match(x)]
+    cuts = ([] if starts[:1] == [0] else [(0, 0)]) + [(n, i) for n, i in enumerate(starts, 1)]
+    for (number, i), (_, stop) in zip(cuts, [*cuts[1:], (0, len(lines))], strict=True):
+        body = "\n".join(lines[i:stop])
+        yield number, lines[i].lstrip("#").strip(" ") if number else "", i + 1, hashlib.sha256(body.encode("utf-8", "surrogatepass")).hexdigest()[:16]
+
+
 def blank_runs(docs: DataFrame, least: int = 5) -> DataFrame:
     """(doc_id, line_no, run): runs of blank lines that a later line with text closes; line_no is the run's first."""
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    own = lines(docs).withColumn("blank", F.trim("line") == "")
-    own = own.withColumn("island", F.sum(F.when(F.col("blank"), 0).otherwise(1)).over(order))
-    own = own.withColumn("islands", F.max("island").over(Window.partitionBy("doc_id"))).filter("blank AND island < islands")
-    return own.groupBy("doc_id", "island").agg(F.min("line_no").alias("line_no"), F.count(F.lit(1)).alias("run")).filter(F.col("run") >= least).drop("island")
+    return _per_text(docs, "line_no long, run long", lambda x: runs_of_blanks(x, least))
 
 
 def heading_gaps(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, level, before): headings more than one level below the one before."""
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    found = lines(docs).withColumn("level", F.length(F.regexp_extract("line", r"^(#{1,6})\s+\S", 1))).filter("level > 0")
-    return found.withColumn("before", F.lag("level").over(order)).filter("level - before > 1").select("doc_id", "line_no", "level", "before")
+    return _per_text(docs, "line_no long, level long, before long", jumps_of_headings)
 
 
 def sections(docs: DataFrame) -> DataFrame:
     """(doc_id, sec_no, title, line_start, digest): cut at headings of level 1 to 3, the preamble as section 0."""
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    own = lines(docs).withColumn("heading", F.col("line").rlike(r"^#{1,3}\s+\S"))
-    own = own.withColumn("sec_no", F.sum(F.col("heading").cast("long")).over(order))
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    own = own.groupBy("doc_id", "sec_no").agg(F.min("line_no").alias("line_start"), F.min_by("line", "line_no").alias("first"), body.alias("body"))
-    title = F.when(F.col("first").rlike(r"^#{1,3}\s+\S"), F.trim(F.regexp_replace("first", "^#+", ""))).otherwise("")
-    return own.select("doc_id", "sec_no", title.alias("title"), "line_start", F.left(F.sha2("body", 256), F.lit(16)).alias("digest"))
+    return _per_text(docs, "sec_no long, title string, line_start long, digest string", cut_sections)
 
 
 def section_changes(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -50,21 +110,18 @@ def section_changes(new: DataFrame, old: DataFrame) -> DataFrame:
     return joined.select("doc_id", "title", F.when(F.col("was").isNull(), "new").when(F.col("was") != F.col("digest"), "modified").otherwise("unchanged").alias("change"))
 
 
+def change_summary(changes: DataFrame) -> DataFrame:
+    """(doc_id, new, modified, unchanged)."""
+    return changes.groupBy("doc_id").agg(*(F.count_if(F.col("change") == c).cast("long").alias(c) for c in ("new", "modified", "unchanged")))
+
+
 def ragged_tables(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, widest): tables whose rows differ in their number of filled cells.
 
     A table is a run of lines that begin with a pipe, from the first row that has a delimiter
     line at most five lines before or four after it; delimiter lines aren't rows.
     """
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    near = F.array_join(F.collect_list("line").over(order.rowsBetween(-5, 4)), "\n").rlike(r"\|\s*[-:]+\s*\|")
-    own = lines(docs).withColumn("bare", F.regexp_replace("line", r"^\s+|\s+$", "")).withColumn("pipe", F.col("bare").startswith("|"))
-    own = own.withColumn("near", near).withColumn("run", F.sum(F.when(F.col("pipe"), 0).otherwise(1)).over(order))
-    own = own.filter(F.col("pipe") & ~F.col("bare").rlike(r"^\|[\s\-:]+\|$"))
-    own = own.withColumn("start", F.min(F.when(F.col("near"), F.col("line_no"))).over(Window.partitionBy("doc_id", "run"))).filter("line_no >= start")
-    cells = F.size(F.filter(F.split("bare", r"\|", -1), lambda c: c.rlike(r"\S")))
-    out = own.groupBy("doc_id", "run").agg(F.min("line_no").alias("line_no"), F.max(cells).alias("widest"), F.min(cells).alias("least"))
-    return out.filter("least < widest").select("doc_id", "line_no", "widest")
+    return _per_text(docs, "line_no long, widest long", ragged_of_tables)
 
 
 def check_counts(text: Column, min_headings: int = 3, max_bytes: int = 10 << 20) -> tuple[Column, Column]:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass, field
+from functools import reduce
+from typing import Any
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,7 +32,7 @@ def levels(text: Column) -> Column:
 def structure(text: Column) -> Column:
     at = levels(text)
     n1, n2 = F.size(F.filter(at, lambda x: x == 1)), F.size(F.filter(at, lambda x: x == 2))
-    steps = F.zip_with(F.slice(at, 2, 1_000_000), at, lambda after, before: F.when(after - before > 1, 1).otherwise(0))
+    steps = F.zip_with(F.slice(at, F.lit(2), F.size(at)), at, lambda after, before: F.when(after - before > 1, 1).otherwise(0))
     jumps = F.aggregate(steps, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
     lost = F.when(n1 == 0, 20).when(n1 > 1, 10).otherwise(0) + 5 * jumps + F.when(n2 < 2, 15 * (2 - n2)).otherwise(0)
     return F.when(F.size(at) == 0, 30).otherwise(F.greatest(F.lit(0), 100 - lost))
@@ -81,7 +86,7 @@ def substance(text: Column) -> Column:
     density = F.size(F.filter(words, lambda w: ~F.lower(w).isin(*HOLLOW_WORDS))) / F.greatest(F.size(words), F.lit(1))
     sets = F.transform(paras, lambda p: F.array_distinct(tokens(p)))
     alike = lambda a, b: F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
-    most = F.coalesce(F.array_max(F.zip_with(sets, F.slice(sets, 2, 1_000_000), lambda a, b: F.coalesce(alike(a, b), F.lit(0.0)))), F.lit(0.0))
+    most = F.coalesce(F.array_max(F.zip_with(sets, F.slice(sets, F.lit(2), F.size(sets)), lambda a, b: F.coalesce(alike(a, b), F.lit(0.0)))), F.lit(0.0))
     lost = F.when((F.size(words) > 0) & (density < 0.4), 25 * (0.4 - density) / 0.4).otherwise(0.0) + F.when(most > 0.6, 30 * (most - 0.6) / 0.4).otherwise(0.0)
     bare = ~(text.rlike(r"\p{Nd}") | text.contains("```") | text.rlike(r"(?m)^\s*[-*]\s"))
     return F.when(F.size(paras) == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 100 - lost - F.when(bare, 20).otherwise(0)))
@@ -134,10 +139,54 @@ def citation_counts(text: Column) -> list[Column]:
     return [x.cast("long").alias(n) for x, n in ((F.size(urls), "total_refs"), (F.size(once), "unique_urls"), (twice, "duplicates"), (citation_issues(text), "issues"))]
 
 
-def verdict(text: Column, queries: list[str]) -> Column:
-    """The weighted mean of seven dimensions, less the style and citation penalties, to one place; a weight without dimension counts as 0."""
-    parts = {"completeness": completeness, "structure": structure, "readability": readability, "citation": citation, "depth": depth, "substance": substance}
-    total = sum(WEIGHTS.values()) + 0.20 + 0.10
-    mean = (sum((f(text) * WEIGHTS[k] for k, f in parts.items()), F.lit(0.0)) + topic_relevance(text, queries) * 0.20) / total
-    penalty = F.least(style_penalty(text) + CITATION_PENALTY * citation_issues(text), F.lit(MAX_PENALTY))
-    return F.round(F.greatest(F.lit(0.0), mean - penalty), 1)
+@dataclass(frozen=True)
+class Profile:
+    """What a quality profile says: weights of dimensions, style rules (name, pattern, penalty), threshold and limits."""
+
+    weights: dict[str, float] = field(default_factory=lambda: WEIGHTS | {"topic_relevance": 0.20, "style": 0.10})
+    rules: tuple[tuple[str, str, float], ...] = STYLE_RULES
+    threshold: float = THRESHOLD
+    most_penalty: float = MAX_PENALTY
+    citations: bool = True
+    citation_penalty: float = CITATION_PENALTY
+    most_generations: int = 3
+
+    @classmethod
+    def of(cls, profile: Mapping[str, Any], **over: Any) -> Profile:
+        """From a profile as YAML gives it (weights, style_rules, threshold, max_penalty, check_citations, max_regenerations), ``over`` laid on top."""
+        own = {**profile, **over}
+        rules = own.get("style_rules")
+        default = cls()
+        return cls(
+            weights=dict(own.get("weights") or default.weights),
+            rules=default.rules if rules is None else tuple((r["name"], r["pattern"], r.get("penalty", 0)) for r in rules if r.get("enabled", True)),
+            threshold=float(own.get("threshold", default.threshold)),
+            most_penalty=float(own.get("max_penalty", default.most_penalty)),
+            citations=bool(own.get("check_citations", True)),
+            citation_penalty=float(own.get("citation_penalty", default.citation_penalty)),
+            most_generations=int(own.get("max_regenerations", default.most_generations)),
+        )
+
+    def dimensions(self, text: Column, queries: list[str]) -> dict[str, Column]:
+        parts = {"completeness": completeness, "structure": structure, "readability": readability, "citation": citation, "depth": depth, "substance": substance}
+        return {name: f(text).cast("double") for name, f in parts.items()} | {"topic_relevance": topic_relevance(text, queries).cast("double")}
+
+    def penalty(self, text: Column) -> Column:
+        style = reduce(lambda a, rule: a + F.when(text.rlike(rule[1]), float(rule[2])).otherwise(0.0), self.rules, F.lit(0.0))
+        issues = self.citation_penalty * citation_issues(text) if self.citations else F.lit(0.0)
+        return F.least(style + issues, F.lit(self.most_penalty))
+
+    def overall(self, scores: Mapping[str, Column], penalty: Column) -> Column:
+        """Weighted mean, a weight without dimension counting as 0 (the plain mean without a weight above 0), less the penalty, to one place."""
+        total = sum(w for w in self.weights.values() if w > 0)
+        if total > 0:
+            mean = reduce(Column.__add__, (scores[n] * w for n, w in self.weights.items() if n in scores), F.lit(0.0)) / total
+        else:
+            mean = reduce(Column.__add__, scores.values(), F.lit(0.0)) / len(scores)
+        return F.round(F.greatest(F.lit(0.0), mean - penalty), 1)
+
+    def verdict(self, text: Column, queries: list[str], generation: Column) -> list[Column]:
+        """All dimensions, penalty, overall, needs_regenerate (below the threshold) and can_regenerate (and generations are left)."""
+        scores, penalty = self.dimensions(text, queries), self.penalty(text)
+        overall = self.overall(scores, penalty)
+        return [*(c.alias(n) for n, c in scores.items()), penalty.alias("penalty"), overall.alias("overall"), (overall < self.threshold).alias("needs_regenerate"), ((overall < self.threshold) & (generation < self.most_generations)).alias("can_regenerate")]
