@@ -207,12 +207,12 @@ def _linked(docs: DataFrame, members: DataFrame, shared: DataFrame, config: Near
         best = F.max(F.struct("central", (-F.col("doc_id")).alias("minus"), "label", "n_shingles"))
         chosen = rest.groupBy("bucket").agg(best.alias("hub")).select("bucket", (-F.col("hub.minus")).alias("a"), F.col("hub.label").alias("label_a"), F.col("hub.n_shingles").alias("n_hub"))
         chosen = materialise(chosen, "hubs")
-        met = by_bucket(rest, chosen)
-        pairs = met.filter((F.col("label") != F.col("label_a")) & alike)
+        pairs = by_bucket(rest, chosen).filter((F.col("label") != F.col("label_a")) & alike)
         links = confirmed(pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct())
         if not links.isEmpty():
             labels = _merged(labels, links)
-        rest = met.filter("doc_id <> a").select(rest.columns)
+        # A hub has met its whole bucket; the key holds the document too, so no bucket meets in one task.
+        rest = rest.join(chosen.select("bucket", F.col("a").alias("doc_id")), ["bucket", "doc_id"], "left_anti")
     links = confirmed(_by_prefix(sets, rest.select("doc_id", "label").distinct(), config))
     return labels if links.isEmpty() else _merged(labels, links)
 
