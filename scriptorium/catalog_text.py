@@ -224,3 +224,34 @@ def mermaid_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mermaid_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole Mermaid blocks of each text, which a renderer would turn into pictures."""
     return _art(spark, sf_dir).select("doc_id", F.size(enhance.mermaid_blocks(F.col("text"))).cast("long").alias("blocks"))
+
+
+@register("SELECT doc_id, CASE WHEN doc_id % 7 = 5 THEN 1 ELSE 0 END::BIGINT AS links, doc_id % 7 = 6 AS cut_off FROM documents")
+def mermaid_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links in place of whole Mermaid blocks; blocks that are cut off stay."""
+    linked = _art(spark, sf_dir).select("doc_id", enhance.with_image_links(F.col("text"), "images").alias("text"))
+    return linked.select("doc_id", F.regexp_count("text", F.lit(r"!\[mermaid_[0-9a-f]{12}\.png\]\(images/mermaid_[0-9a-f]{12}\.png\)")).cast("long").alias("links"), F.col("text").contains("```mermaid").alias("cut_off"))
+
+
+@register("SELECT doc_id, 'Write on ' || source || ' for ' || lang || ', keep {this}.' AS prompt FROM documents")
+def prompt_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return docs.select("doc_id", enhance.filled_prompt(F.lit("Write on {title} for {query}, keep {this}."), title=F.col("source"), query=F.col("lang")).alias("prompt"))
+
+
+@register(f"SELECT * FROM (UNPIVOT (SELECT doc_id, \"P0\", \"P1\", \"P2\", \"P3\" FROM ({oracle_sql()['lint_summary']})) ON \"P0\", \"P1\", \"P2\", \"P3\" INTO NAME level VALUE n) WHERE n > 0")
+def lint_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by level through the SQL table function."""
+    from scriptorium.functions import tables
+
+    tables.register(spark)
+    return spark.sql("SELECT doc_id, level, count(*) AS n FROM {docs}, LATERAL lint_text(text) GROUP BY doc_id, level", docs=_md(spark, sf_dir))
+
+
+@register()
+def page_dom_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of each page by its tree of elements."""
+    from scriptorium.operators import dom
+    from scriptorium.tables import spread
+
+    return dom.with_dom_text(spread(load(spark, sf_dir, "pages").select("page_id", "html")), "page_id")

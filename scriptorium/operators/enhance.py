@@ -56,3 +56,21 @@ def demoted(text: Column, known: Column) -> Column:
 def mermaid_blocks(text: Column) -> Column:
     """The code of whole Mermaid blocks."""
     return F.regexp_extract_all(text, F.lit(r"(?s)```mermaid\n(.*?)```"), 1)
+
+
+def with_image_links(text: Column, folder: str) -> Column:
+    """Whole Mermaid blocks replaced by links to pictures named by the digest of their code, as a renderer would write them."""
+    fence = r"(?s)```mermaid\n(.*?)\n```"
+    codes = F.regexp_extract_all(text, F.lit(fence), 1)
+    name = lambda code: F.concat(F.lit("mermaid_"), F.left(F.sha2(code, 256), F.lit(12)), F.lit(".png"))
+    link = lambda code: F.concat(F.lit("!["), name(code), F.lit(f"]({folder}/"), name(code), F.lit(")"))
+    between = F.split(text, fence, -1)
+    rest = F.zip_with(codes, F.slice(between, F.lit(2), F.size(codes)), lambda code, after: F.concat(link(code), after))
+    return F.concat(F.get(between, 0), F.array_join(rest, ""))
+
+
+def filled_prompt(prompt: Column, **values: Column) -> Column:
+    """A prompt's text with ``{name}`` replaced by the values given; other braces stay."""
+    for name, value in values.items():
+        prompt = F.replace(prompt, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
+    return prompt

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +18,12 @@ def numbered(rows: DataFrame, key: str, order: str, name: str = "number") -> Dat
 
     Rows are dealt by key and by ranges of ``order`` between quantiles, numbered there, and moved on by the counts of the
     ranges before, so that a key with very many rows is split. Only the cuts, at most 1,024 numbers, reach the driver; of
-    counts there is a row for each key and range. Equal ``order`` within a key is numbered in any order, in one range.
+    counts there is a row for each key and range. Rows without ``order`` come last. Equal ``order`` within a key is numbered in any order, in one range.
     """
     ranges = min(_MOST_RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = sorted(set(rows.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
-    own = rows.withColumn("_r", F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col(order))) if cuts else F.lit(0))
+    splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
+    own = Bucketizer(splits=splits, inputCol="_o", outputCol="_r", handleInvalid="keep").transform(rows.withColumn("_o", F.col(order).cast("double")))
     counts = own.groupBy(key, "_r").agg(F.count(F.lit(1)).alias("_c"))
     before = F.sum("_c").over(Window.partitionBy(key).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select(F.col(key).alias("_k"), F.col("_r").alias("_s"), F.coalesce(before, F.lit(0)).alias("_b"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scriptorium import catalog
 from scriptorium.functions import values
-from scriptorium.operators import ascii_art, build, convert, extract, lint, monitor, quality, search, sections
+from scriptorium.operators import ascii_art, build, convert, dom, extract, lint, monitor, quality, search, sections
 
 
 def one(spark, column, **cells):
@@ -267,3 +267,18 @@ def test_enhancing_is_guarded(spark):
 def test_values():
     assert values.merged({"a": {"x": 1, "y": 2}, "b": 1}, {"a": {"y": 3}, "c": 4}) == {"a": {"x": 1, "y": 3}, "b": 1, "c": 4}
     assert [values.literal(x) for x in ("Yes", "off", " 7 ", "1.5", "x")] == [True, False, 7, 1.5, "x"]
+
+
+def test_dom_text(spark, sf):
+    body = "a paragraph with more than thirty characters in it"
+    page = f"<head><title>t</title></head><nav>menu menu menu menu menu menu menu menu</nav><article><h1>short</h1><p>{body} &amp; more<p>{body} <b>bold</b></article><p>{body} outside"
+    assert dom.dom_text(page.replace("short", "short" * 30)) == "short" * 30 + f"\n{body} & more\n{body} bold"
+    assert dom.dom_text(page).startswith("short " + body) and "outside" in dom.dom_text(page) and "menu" not in dom.dom_text(page)
+    assert dom.dom_text(None) == dom.dom_text("") == "" and dom.dom_text("<div>" * 3000 + "deep") == "deep"
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    for r in catalog.queries()["page_dom_text"](spark, sf).collect():
+        article = pages[r.page_id].split("<article>")[1].split("</article>")[0]
+        paragraphs = [" ".join(html.unescape(re.sub("<[^>]+>", "\n", x)).split()) for x in re.split("<p>|<h1>", article)]
+        long = [x for x in paragraphs if len(x) >= 30]
+        if sum(map(len, long)) >= 200:
+            assert [" ".join(x.split()) for x in r.text.split("\n") if len(x) >= 30] == long
