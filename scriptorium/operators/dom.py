@@ -41,8 +41,11 @@ class _Pieces(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in VOID:
             return
-        if tag in BLOCKS and self._open and self._open[-1][0] == "p":
-            self._close(len(self._open) - 1)
+        if tag in BLOCKS:
+            # Inline elements that are still open inside the paragraph end with it.
+            at = next((i for i in range(len(self._open) - 1, -1, -1) if self._open[i][0] in BLOCKS), None)
+            if at is not None and self._open[at][0] == "p":
+                self._close(at)
         self.elements.append((tag, len(self.pieces), -1))
         self._open.append((tag, len(self.elements) - 1))
         self._dropped += tag in DROPPED
