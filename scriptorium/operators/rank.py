@@ -47,7 +47,8 @@ def rank(paragraphs: DataFrame, keywords: list[str], limit: int = 8, least: floa
     none = F.lit(0.0).alias("score")
     if not any(len(k) > 1 for k in keywords):
         return paragraphs.select("para_id", none).orderBy("para_id").limit(limit)
-    weights = idf(paragraphs)
+    # Kept between the count and the join, so that texts aren't counted twice; lost blocks are computed again.
+    weights = idf(paragraphs).persist()
     if weights.count() <= MOST_BROADCAST:
         weights = F.broadcast(weights)
     best = scores(paragraphs, keywords, weights).filter(F.col("score") > least)
