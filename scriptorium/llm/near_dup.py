@@ -196,7 +196,8 @@ def _linked(docs: DataFrame, members: DataFrame, shared: DataFrame, config: Near
     rest = members
     for turn in range(config.hub_rounds + 1):
         known = labels.select(F.col("node").alias("doc_id"), "label")
-        labelled = rest.drop("label").join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        # A table, as the mixed buckets and what is left both read it: their shuffles differ by the salt.
+        labelled = materialise(rest.drop("label").join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "labelled")
         mixed = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("bucket")
         rest = materialise(by_bucket(labelled, mixed, "left_semi"), "rest")
         if rest.isEmpty():
