@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import audio_media, chat_format, fingerprint, html_blocks, langid, line_dedup, mixing, near_dup, packing, toxicity
+from scriptorium.llm import audio_media, chat_format, fingerprint, html_blocks, langid, line_dedup, manifest, mixing, near_dup, packing, pii, toxicity, vector_codes
 from scriptorium.llm.common import load
 
 
@@ -69,6 +69,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(load(spark, sf_dir, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(load(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(load(spark, sf_dir, "embeddings"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(load(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_html_blocks, op2_near_duplicates, op3_toxicity, op4_language, op5_fingerprints, op5_similar_documents, op6_line_dedup, op7_chat_format, op8_audio, op9_packing, op10_mixing, pipeline)
+    own = (op1_html_blocks, op2_near_duplicates, op3_toxicity, op4_language, op5_fingerprints, op5_similar_documents, op6_line_dedup, op7_chat_format, op8_audio, op9_packing, op10_mixing, op11_personal_data, op12_vector_codes, op13_manifest, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -109,6 +121,71 @@ FROM steps GROUP BY conv_id
 """
 
 
+#: Vectors of one row for each part, the first codebooks by the rank of ids, and rounds written out.
+_KEPT_SQL = """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(x::DOUBLE * 1024) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT r, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS x FROM kept, range(4) AS t(p)
+), seeds AS (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < 256
+), c0 AS MATERIALIZED (SELECT p, e, x AS c FROM parts JOIN seeds USING (r))"""
+
+_ASSIGN_SQL = """, a{k} AS MATERIALIZED (
+  SELECT r, p, any_value(x) AS x, min({{'d': list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'e': e}}) AS m FROM parts JOIN c{k} USING (p) GROUP BY r, p)"""
+
+_REFINE_SQL = """, s{k} AS (SELECT p, e, i, sum(y)::BIGINT AS s, count(*) AS n FROM (SELECT p, m.e AS e, unnest(x) AS y, unnest(range(len(x))) AS i FROM a{k}) GROUP BY p, e, i
+), m{k} AS (SELECT p, e, list((s - (s % n + n) % n) // n ORDER BY i) AS c FROM s{k} GROUP BY p, e
+), c{n} AS MATERIALIZED (SELECT p, e, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (p, e))"""
+
+_CODES_SQL = (
+    _KEPT_SQL
+    + "".join(_ASSIGN_SQL.format(k=k) + _REFINE_SQL.format(k=k, n=k + 1) for k in range(4))
+    + _ASSIGN_SQL.format(k=4)
+    + """, coded AS (SELECT r, string_agg(lower(printf('%02x', m.e)), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM a4 GROUP BY r),
+digest AS (SELECT sha256(string_agg(y, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(c)::VARCHAR AS y, unnest(range(len(c))) AS i FROM c4))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept USING (r), digest"""
+)
+
+
+def _leaf_sql(text: str) -> str:
+    part = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+    return "sha256(" + " || ".join(part.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+_LOWERED = f"translate(text, '{manifest.UPPER}', '{manifest.LOWER}')"
+# CRC-32 bit by bit over the decimal text of an id.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, range(8 * strlen(doc_id::VARCHAR))), lambda a, i: CASE i % 8 WHEN 0 THEN CASE (xor(a, unicode(substr(doc_id::VARCHAR, i // 8 + 1, 1))) & 1) WHEN 1 THEN xor(xor(a, unicode(substr(doc_id::VARCHAR, i // 8 + 1, 1))) >> 1, 3988292384) ELSE xor(a, unicode(substr(doc_id::VARCHAR, i // 8 + 1, 1))) >> 1 END ELSE CASE (a & 1) WHEN 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END END), 4294967295)"
+_LEVELS, _TOP_LEVELS = 9, 3
+
+
+def _up_sql(name: str, k: int) -> str:
+    """Level k + 1 of a trie's nodes (g, i, h): a trie's single node stays."""
+    return f""", {name}{k + 1} AS MATERIALIZED (SELECT g, i // 8 AS i, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, any_value((n + 7) // 8) AS n FROM {name}{k} GROUP BY g, i // 8)"""
+
+
+def _way_sql(name: str, k: int) -> str:
+    """Each node's siblings on level k, before and behind it; none where the level has one node."""
+    w = "(PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN {} AND {})"
+    before, behind = w.format("UNBOUNDED PRECEDING", "1 PRECEDING"), w.format("1 FOLLOWING", "UNBOUNDED FOLLOWING")
+    return f""", {name}w{k} AS MATERIALIZED (SELECT g, i, n > 1 AS own, coalesce(string_agg(h, '') OVER {before}, '') AS b, coalesce(string_agg(h, '') OVER {behind}, '') AS f FROM {name}{k})"""
+
+
+def _manifest_sql() -> str:
+    sql = f"""WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, {_leaf_sql("text")} AS leaf, CASE WHEN {_CRC} % 3 = 0 THEN {_leaf_sql(_LOWERED)} ELSE {_leaf_sql("text")} END AS bad FROM documents),
+placed AS MATERIALIZED (SELECT *, coalesce('1' || lang, '0') AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM docs),
+l0 AS MATERIALIZED (SELECT g, i, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM placed)"""
+    sql += "".join(_up_sql("l", k) for k in range(_LEVELS)) + "".join(_way_sql("l", k) for k in range(_LEVELS))
+    sql += f""", names AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS j FROM l{_LEVELS}),
+t0 AS MATERIALIZED (SELECT 0 AS g, j AS i, subroot AS h, count(*) OVER () AS n FROM names)"""
+    sql += "".join(_up_sql("t", k) for k in range(_TOP_LEVELS)) + "".join(_way_sql("t", k) for k in range(_TOP_LEVELS))
+    sql += ", f0 AS (SELECT placed.r, placed.doc_id, leaf, subroot, placed.g, i, j, bad AS h, '' AS way FROM placed JOIN names USING (g))"
+    steps = [("l", k, "f.g", f"f.i // {8**k}") for k in range(_LEVELS)] + [("t", k, "0", f"f.j // {8**k}") for k in range(_TOP_LEVELS)]
+    for s, (name, k, g, i) in enumerate(steps):
+        sql += f", f{s + 1} AS MATERIALIZED (SELECT f.* EXCLUDE (h, way), CASE WHEN own THEN sha256(b || f.h || f) ELSE f.h END AS h, CASE WHEN own THEN way || b || f ELSE way END AS way FROM f{s} AS f JOIN {name}w{k} AS w ON w.g = {g} AND w.i = {i})".replace("|| f)", "|| w.f)").replace("|| b || f ELSE", "|| b || w.f ELSE")
+    return sql + f" SELECT doc_id, leaf, subroot, t{_TOP_LEVELS}.h AS root, sha256(way) AS proof_sha256, f{len(steps)}.h AS folded_root, f{len(steps)}.h = t{_TOP_LEVELS}.h AS verified FROM f{len(steps)}, t{_TOP_LEVELS}"
+
+
 def oracle_sql() -> dict[str, str]:
     """The other queries have no SQL form; tests hold them against brute force, round trips or held-out accuracy."""
-    return {"op6_line_dedup": _LINES_SQL, "op7_chat_format": _CHAT_SQL}
+    return {"op6_line_dedup": _LINES_SQL, "op7_chat_format": _CHAT_SQL, "op12_vector_codes": _CODES_SQL, "op13_manifest": _manifest_sql()}
