@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.catalog import _CALLS, _NAMES, PRICES, _md, shared_sql
-from scriptorium.operators import monitor, versions
+from scriptorium.operators import monitor, scans, versions
 from scriptorium.operators.monitor import count_if
 from scriptorium.registry import register
 from scriptorium.streaming import control
@@ -43,7 +43,7 @@ def cost_since(spark, sf_dir):
     return monitor.cost_by(_calls(spark, sf_dir), ["provider"], F.lit(12), "conv_id")
 
 
-@register(_CALLS_SQL + "SELECT conv_id % 40 AS task_id, provider, round(sum(cost), 6) AS cost FROM costs GROUP BY 1, 2 UNION ALL SELECT conv_id % 40, NULL, round(sum(cost), 6) FROM costs GROUP BY 1")
+@register(_CALLS_SQL + "SELECT conv_id % 40 AS task_id, provider, false AS total, round(sum(cost), 6) AS cost FROM costs GROUP BY 1, 2 UNION ALL SELECT conv_id % 40, NULL, true, round(sum(cost), 6) FROM costs GROUP BY 1")
 def cost_by_task(spark, sf_dir):
     return monitor.cost_of_task(_calls(spark, sf_dir).withColumn("task_id", F.col("conv_id") % 40), "task_id")
 
@@ -135,7 +135,9 @@ def task_history_trim(spark, sf_dir):
 
 @register("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 10, event_id) AS place FROM events")
 def batch_priority(spark, sf_dir):
-    return _events(spark, sf_dir).select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("event_id") % 10, "event_id")).cast("long").alias("place"))
+    """The place of each event in its user's queue, by priority (the last digit of its number), then number. A user with very many events is split."""
+    queued = _events(spark, sf_dir).select("user_id", "event_id", (F.col("event_id") % 10).alias("priority"), F.lit(1).alias("one"))
+    return scans.running(queued, "user_id", ["priority", "event_id"], "one", "before").select("user_id", "event_id", (F.col("before") + 1).alias("place"))
 
 
 @register("SELECT user_id, CASE WHEN count(*) > 0 THEN floor(count(*) FILTER (event_type = 'purchase') / count(*) * 100) ELSE 0 END::BIGINT AS percent FROM events GROUP BY user_id")
@@ -145,8 +147,8 @@ def task_progress(spark, sf_dir):
 
 @register("SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) % 3 AS shard FROM conversations")
 def pool_shard(spark, sf_dir):
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    return load(spark, sf_dir, "conversations").select("conv_id", "turn", ((place - 1) % 3).cast("long").alias("shard"))
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.lit(1).alias("one"))
+    return scans.running(turns, "conv_id", ["turn"], "one", "before").select("conv_id", "turn", (F.col("before") % 3).alias("shard"))
 
 
 _RESULTS = "conv_id % 30 AS task, (CASE conv_id % 2 WHEN 0 THEN 'researcher' ELSE 'fetcher' END) || '_pool_' || (turn % 3) AS node, conv_id * 100 + turn AS at, CASE WHEN turn % 3 = 1 THEN {empty} ELSE {rows} END AS rows, turn AS query_count, {engines} AS engines"
@@ -200,20 +202,24 @@ def message_metrics(spark, sf_dir):
 
 
 _CHANGE = "CASE WHEN event_type IN ('click', 'view', 'error') THEN 1 ELSE -1 END"
-_DEPTHS = f"SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS depth FROM (SELECT *, {_CHANGE} AS c FROM events)"
+#: A publish at five is refused, a delivery from an empty queue finds nothing.
+_DEPTHS = f"""WITH RECURSIVE e AS (SELECT event_id, user_id, ts, {_CHANGE} AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ d AS (SELECT *, greatest(0, c)::BIGINT AS depth, false AS busy FROM e WHERE n = 1
+ UNION ALL SELECT e.*, least(5, greatest(0, d.depth + e.c))::BIGINT, e.c > 0 AND d.depth >= 5 FROM d JOIN e ON e.user_id = d.user_id AND e.n = d.n + 1)"""
 
 
 def _depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.queue_depth(_events(spark, sf_dir).withColumn("change", F.expr(_CHANGE)), "user_id", "change", ["ts", "event_id"], 5)
+    log = _events(spark, sf_dir).select("event_id", "user_id", "ts", F.expr(_CHANGE).alias("change"))
+    return monitor.queue_depth(log, "user_id", "change", ["ts", "event_id"], 5)
 
 
-@register(f"SELECT event_id, depth::BIGINT AS depth, c > 0 AND depth - c >= 5 AS busy FROM ({_DEPTHS})")
+@register(f"{_DEPTHS} SELECT event_id, depth, busy FROM d")
 def backpressure_depth(spark, sf_dir):
-    """The depth of each user's queue after each event, and publishes that find it at five."""
+    """The depth of each user's queue after each event, and publishes that are refused as they find it at five."""
     return _depths(spark, sf_dir).select("event_id", "depth", "busy")
 
 
-@register(f"SELECT user_id AS queue, max(depth)::BIGINT AS peak_depth, count(*) FILTER (c > 0 AND depth - c >= 5) AS watermark_hits, arg_max(depth, {{'a': ts, 'b': event_id}})::BIGINT AS undelivered FROM ({_DEPTHS}) GROUP BY user_id")
+@register(f"{_DEPTHS} SELECT user_id AS queue, max(depth) AS peak_depth, count(*) FILTER (busy) AS watermark_hits, arg_max(depth, {{'a': ts, 'b': event_id}}) AS undelivered FROM d GROUP BY user_id")
 def bus_health(spark, sf_dir):
     return monitor.depth_summary(_depths(spark, sf_dir).withColumn("at", F.struct("ts", "event_id")), "user_id")
 
@@ -269,7 +275,7 @@ def hook_match(spark, sf_dir):
     return named.join(F.broadcast(hooks), monitor.hook_matches(F.col("name"), F.col("pattern"))).select("event_id", "pattern")
 
 
-@register("SELECT count(*) AS messages, count(*) FILTER (event_type = 'error') AS dlq, count(DISTINCT user_id) AS processed_keys, 'ok' AS status FROM events")
+@register("SELECT count(*) AS messages, count(*) FILTER (event_type = 'error') AS dlq, count(DISTINCT user_id) AS processed_keys, CASE WHEN count(*) FILTER (event_type = 'error') > 0.1 * count(*) THEN 'degraded' ELSE 'ok' END AS status FROM events")
 def store_health(spark, sf_dir):
     events = _events(spark, sf_dir)
     return monitor.health(events, events.filter("event_type = 'error'"), events.select("user_id").distinct())
@@ -298,9 +304,11 @@ def sse_buffer_drop(spark, sf_dir):
     return monitor.newest(_events(spark, sf_dir).select("user_id", "event_id"), ["user_id"], [F.desc("event_id")], monitor.QUEUE)
 
 
-@register("SELECT event_id, 'id: ' || event_id || chr(10) || 'event: ' || event_type || chr(10) || 'data: ' || props || chr(10) || chr(10) AS frame FROM events")
+@register("""SELECT event_id, 'id: ' || event_id || chr(10) || 'data: {"type":"' || event_type || '","data":' || coalesce(to_json(props)::VARCHAR, 'null') || ',"ts":' || epoch_us(ts) // 1000000 || ',"section":-1,"total":0}' || chr(10) || chr(10) AS frame FROM events""")
 def sse_frames(spark, sf_dir):
-    return _events(spark, sf_dir).select("event_id", monitor.sse_frame(F.col("event_id"), F.col("event_type"), F.col("props")).alias("frame"))
+    """Events as frames, with whole seconds as their time."""
+    at = F.floor(F.col("ts").cast("timestamp").cast("double")).cast("long")
+    return _events(spark, sf_dir).select("event_id", monitor.sse_frame(F.col("event_id"), F.col("event_type"), F.col("props"), at).alias("frame"))
 
 
 @register("SELECT event_type AS kind, count(*) FILTER (value < 10) AS hits, count(*) FILTER (value >= 10) AS misses, round(count(*) FILTER (value < 10) / count(*), 6) AS hit_rate FROM events GROUP BY 1")
@@ -322,6 +330,24 @@ def token_bucket(spark, sf_dir):
     return control.token_bucket(events, "user_id", "ts", ["ts", "event_id"], 1 / 3600, 2.0).select("event_id", "user_id", "allowed")
 
 
+@register(f"""WITH RECURSIVE {_ORDERED.replace("epoch_us(ts) / 1e6", "epoch_us(ts)")}, r AS (SELECT event_id, user_id, n, t + 3600000000 AS full_at, true AS granted, 0::BIGINT AS waited_us FROM e WHERE n = 1
+ UNION ALL SELECT event_id, user_id, n, CASE WHEN wait <= 1800000000 THEN greatest(full_at, t) + 3600000000 ELSE full_at END, wait <= 1800000000, CASE WHEN wait <= 1800000000 THEN wait END
+ FROM (SELECT e.event_id, e.user_id, e.n, e.t, r.full_at, greatest(0, r.full_at - 3600000000 - e.t) AS wait FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)) SELECT event_id, granted, waited_us FROM r""")
+def waiting_tokens(spark, sf_dir):
+    """A bucket for each user, one token an hour, two at most; an event waits half an hour at most."""
+    events = _events(spark, sf_dir).select("event_id", "ts", "user_id")
+    return control.waiting_tokens(events, "user_id", "ts", ["ts", "event_id"], 1 / 3600, 2, 1800.0).select("event_id", "granted", "waited_us")
+
+
+@register("""WITH RECURSIVE e AS (SELECT event_id, user_id, event_type AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ r AS (SELECT event_id, user_id, n, false AS repeated, [k] AS kept FROM e WHERE n = 1
+ UNION ALL SELECT e.event_id, e.user_id, e.n, list_contains(kept, k), CASE WHEN list_contains(kept, k) THEN kept WHEN len(kept) >= 3 THEN list_append(kept[2:], k) ELSE list_append(kept, k) END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) SELECT event_id, repeated FROM r""")
+def bounded_keys(spark, sf_dir):
+    """A table of the newest three event types for each user."""
+    events = _events(spark, sf_dir).select("event_id", "ts", "user_id", "event_type")
+    return control.repeated_keys(events, "user_id", "event_type", "ts", ["ts", "event_id"], 3).select("event_id", "repeated")
+
+
 _AT = "CASE WHEN r.state = 'open' AND e.t - r.opened >= 3600 THEN 'half_open' ELSE r.state END"
 _GOOD = "(e.event_type <> 'error')"
 
@@ -400,7 +426,7 @@ def agent_health(spark, sf_dir):
 _CHECK = "CASE WHEN user_id % 7 = 0 THEN 'error' WHEN user_id % 11 = 0 THEN 'warning' ELSE 'ok' END"
 
 
-@register(f"SELECT count(*) FILTER (s = 'ok') AS ok, count(*) FILTER (s = 'warning') AS warnings, count(*) FILTER (s = 'error') AS errors, CASE WHEN bool_and(s = 'ok') THEN 'healthy' ELSE 'degraded' END AS overall, string_agg(c, ',' ORDER BY c) FILTER (s <> 'ok') AS failing FROM (SELECT DISTINCT user_id::VARCHAR AS c, {_CHECK} AS s FROM events)")
+@register(f"SELECT count(*) FILTER (s = 'ok') AS ok, count(*) FILTER (s = 'warning') AS warnings, count(*) FILTER (s = 'error') AS errors, CASE WHEN bool_and(s = 'ok') THEN 'healthy' ELSE 'degraded' END AS overall, (SELECT string_agg(c, ',' ORDER BY c) FROM (SELECT DISTINCT user_id::VARCHAR AS c FROM events WHERE {_CHECK} <> 'ok' ORDER BY c LIMIT 100)) AS failing FROM (SELECT DISTINCT user_id::VARCHAR AS c, {_CHECK} AS s FROM events)")
 def startup_report(spark, sf_dir):
     """A component for each user, its state by number."""
     checks = _events(spark, sf_dir).selectExpr("cast(user_id AS string) AS component", f"{_CHECK} AS status").distinct()

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators import scans
+from scriptorium.tables import fresh
+
 # Fixed values of the monitoring rules.
 CJK = r"[\x{4e00}-\x{9fff}]"
 BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
@@ -22,7 +25,8 @@ def count_if(condition: Column | str) -> Column:
 
 def newest(rows: DataFrame, key: list[str], order: list[Column], most: int) -> DataFrame:
     """The ``most`` first rows of each key in ``order``; the limit runs before the shuffle."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("_n") <= most).drop("_n")
+    (place,) = fresh(rows, "place")
+    return rows.withColumn(place, F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col(place) <= most).drop(place)
 
 
 def chosen(rows: DataFrame, time: str | None = None, since: Column | None = None, **equal: object) -> DataFrame:
@@ -56,8 +60,9 @@ def cost_by(calls: DataFrame, by: list[str], since: Column | None = None, time:
 
 
 def cost_of_task(calls: DataFrame, task: str) -> DataFrame:
-    """(task, provider, cost): each provider's and, with provider null, the task's total."""
-    return calls.rollup(task, "provider").agg(F.round(F.sum("cost"), 6).alias("cost")).filter(F.col(task).isNotNull())
+    """(task, provider, total, cost): each provider's and, with ``total`` true and provider null, the task's; calls without a provider or a task are groups of their own."""
+    sets = calls.groupingSets([[F.col(task), F.col("provider")], [F.col(task)]], task, "provider")
+    return sets.agg((F.grouping("provider") == 1).alias("total"), F.round(F.sum("cost"), 6).alias("cost"))
 
 
 def budget(calls: DataFrame, limit: float) -> DataFrame:
@@ -162,10 +167,14 @@ def message_metrics(log: DataFrame, topic: str, kind: str) -> DataFrame:
 
 
 def queue_depth(log: DataFrame, queue: str, change: str, order: list[str], limit: int = WATERMARK) -> DataFrame:
-    """``log`` with depth (messages published less delivered so far) and busy: a publish that finds the queue at ``limit``."""
-    so_far = Window.partitionBy(queue).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    own = log.withColumn("depth", F.sum(change).over(so_far).cast("long"))
-    return own.withColumn("busy", (F.col(change) > 0) & (F.col("depth") - F.col(change) >= limit))
+    """``log`` with depth (messages not yet delivered after the row) and busy: a publish that finds the queue at ``limit`` is refused and leaves the depth as it is.
+
+    ``change`` is 1 for a publish and -1 for a delivery; one from an empty queue delivers nothing. A queue with very many rows is split.
+    """
+    (before,) = fresh(log, "before")
+    own = scans.running(log, queue, order, change, before, 0, limit)
+    depth = F.least(F.lit(limit), F.greatest(F.lit(0), F.col(before) + F.coalesce(F.col(change), F.lit(0)))).cast("long")
+    return own.withColumn("depth", depth).withColumn("busy", (F.col(change) > 0) & (F.col(before) >= limit)).drop(before)
 
 
 def depth_summary(depths: DataFrame, queue: str) -> DataFrame:
@@ -185,9 +194,10 @@ def replayed(letters: DataFrame, most: int = 3) -> DataFrame:
 
 
 def drained(messages: DataFrame, queue: str, order: list[str], most: int = BATCH) -> DataFrame:
-    """``messages`` with batch: the number, from 0, of the micro-batch of ``most`` that delivers each."""
-    place = F.row_number().over(Window.partitionBy(queue).orderBy(*order))
-    return messages.withColumn("batch", F.floor((place - 1) / most).cast("long"))
+    """``messages`` with batch: the number, from 0, of the micro-batch of ``most`` that delivers each. A queue with very many rows is split."""
+    one, place = fresh(messages, "one", "place")
+    own = scans.running(messages.withColumn(one, F.lit(1)), queue, order, one, place)
+    return own.withColumn("batch", F.floor(F.col(place) / most).cast("long")).drop(one, place)
 
 
 def answered(messages: DataFrame, correlation: str, kind: str, time: str) -> DataFrame:
@@ -198,18 +208,19 @@ def answered(messages: DataFrame, correlation: str, kind: str, time: str) -> Dat
 
 
 def subscribers_of(messages: DataFrame, subscribers: DataFrame) -> DataFrame:
-    """Each message with its topic's subscribers (a small, broadcast table: topic, subscriber, priority) and their place by priority, then name."""
-    own = messages.join(F.broadcast(subscribers), "topic")
-    # Places come from the subscribers alone, so messages aren't shuffled.
+    """Each message with its topic's subscribers (topic, subscriber, priority) and their place by priority, then name.
+
+    Places come from the subscribers alone; Spark broadcasts them if their size allows, and splits hot topics if not.
+    """
     places = subscribers.withColumn("place", F.row_number().over(Window.partitionBy("topic").orderBy("priority", "subscriber")).cast("long"))
-    return own.drop("priority").join(F.broadcast(places.drop("priority")), ["topic", "subscriber"])
+    return messages.join(places.select("topic", "subscriber", "place"), "topic")
 
 
-def health(messages: DataFrame, letters: DataFrame, keys: DataFrame) -> DataFrame:
-    """(messages, dlq, processed_keys, status)."""
+def health(messages: DataFrame, letters: DataFrame, keys: DataFrame, most_letters: float = 0.1) -> DataFrame:
+    """(messages, dlq, processed_keys, status): ``degraded`` if more than the share ``most_letters`` of all messages are dead letters, else ``ok``."""
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     rows = one(messages, "messages").crossJoin(one(letters, "dlq")).crossJoin(one(keys, "processed_keys"))  # single rows
-    return rows.withColumn("status", F.lit("ok"))
+    return rows.withColumn("status", F.when(F.col("dlq") > most_letters * F.col("messages"), "degraded").otherwise("ok"))
 
 
 # -- streams -----------------------------------------------------------------------------------
@@ -228,9 +239,10 @@ def resumed(events: DataFrame, clients: DataFrame, stream: str, event: str, hist
     return clients.join(kept, stream).filter(F.col("last_id").isNull() | (F.col(event) > F.col("last_id"))).select("client", stream, event)
 
 
-def sse_frame(event: Column, kind: Column, data: Column) -> Column:
-    """An event of the text/event-stream format."""
-    return F.concat(F.lit("id: "), event.cast("string"), F.lit("\nevent: "), kind, F.lit("\ndata: "), data, F.lit("\n\n"))
+def sse_frame(event: Column, kind: Column, data: Column, time: Column, section: Column | None = None, total: Column | None = None) -> Column:
+    """An event of the text/event-stream format: its id, and one line of JSON with type, data, ts, section and total. Nulls are written as null; line breaks are escaped."""
+    fields = F.struct(kind.alias("type"), data.alias("data"), time.alias("ts"), (F.lit(-1) if section is None else section).alias("section"), (F.lit(0) if total is None else total).alias("total"))
+    return F.concat(F.lit("id: "), event.cast("string"), F.lit("\ndata: "), F.to_json(fields, {"ignoreNullFields": "false"}), F.lit("\n\n"))
 
 
 def hit_rate(requests: DataFrame, hit: str, by: list[str]) -> DataFrame:
@@ -270,10 +282,12 @@ def agent_health(calls: DataFrame, agent: str, success: str, least: int = 10) ->
     return calls.groupBy(F.col(agent).alias("agent")).agg(F.count(F.lit(1)).alias("n"), errors.alias("errors"), (~((F.count(F.lit(1)) > least) & (errors * 2 >= F.count(F.lit(1))))).alias("healthy"))
 
 
-def component_report(checks: DataFrame, component: str, status: str) -> DataFrame:
-    """(ok, warnings, errors, overall, failing): degraded if any component isn't ok; the names of those that aren't."""
-    bad = F.array_join(F.array_sort(F.collect_set(F.when(F.col(status) != "ok", F.col(component)))), ",")
-    return checks.agg(count_if(F.col(status) == "ok").alias("ok"), count_if(F.col(status) == "warning").alias("warnings"), count_if(F.col(status) == "error").alias("errors"), F.when(F.coalesce(F.bool_and(F.col(status) == "ok"), F.lit(True)), "healthy").otherwise("degraded").alias("overall"), bad.alias("failing"))
+def component_report(checks: DataFrame, component: str, status: str, most: int = 100) -> DataFrame:
+    """(ok, warnings, errors, overall, failing): degraded if any component isn't ok; of those that aren't the first ``most`` names (a report) in order."""
+    bad = checks.filter(F.col(status) != "ok").select(F.col(component).alias("name")).distinct().orderBy("name").limit(most)
+    names = bad.agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("failing"))
+    sums = checks.agg(count_if(F.col(status) == "ok").alias("ok"), count_if(F.col(status) == "warning").alias("warnings"), count_if(F.col(status) == "error").alias("errors"), F.when(F.coalesce(F.bool_and(F.col(status) == "ok"), F.lit(True)), "healthy").otherwise("degraded").alias("overall"))
+    return sums.crossJoin(names)  # single rows
 
 
 def hook_matches(event: Column, pattern: Column) -> Column:

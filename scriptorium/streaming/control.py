@@ -1,59 +1,21 @@
 """Sequential control operators over keyed, ordered events, in batch and as streams.
 
-An operator is a start state and a step ``(state, now, value) -> (state, outputs)``. In batch, events are dealt
-by key and sorted inside each partition; the steps run over Arrow batches, so memory holds one batch and one state however
-long a key's history is. As a stream, the state of a key lives in the state store.
+An operator is a start state and a step ``(state, now, value) -> (state, outputs)``. In batch, events are dealt by ranges of
+(key, order), so that a key with very many events is split; the steps run over Arrow batches (operators/scans.py). As a stream, the state of a key lives in the state store.
 """
 
 from __future__ import annotations
 
-import datetime as dt
 import pickle
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-from typing import Any
+from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-Step = Callable[[Any, float, Any], tuple[Any, tuple]]
-
-
-@dataclass(frozen=True)
-class Machine:
-    """A start state, a step, and the names and SQL types of its outputs. Steps return new states, never changed ones."""
-
-    start: Any
-    step: Step
-    outputs: tuple[tuple[str, str], ...]
-
-
-def _seconds(times: list) -> list[float]:
-    """Seconds of numbers and times; a time without a zone is UTC."""
-    return [(t if t.tzinfo else t.replace(tzinfo=dt.UTC)).timestamp() if hasattr(t, "timestamp") else float(t) for t in times]
-
-
-def _run(events: DataFrame, key: str, time: str, order: list[str], value: str, machine: Machine) -> DataFrame:
-    names, kinds = [n for n, _ in machine.outputs], [k for _, k in machine.outputs]
-    types = [{"boolean": pa.bool_(), "string": pa.string()}[k] for k in kinds]
-    schema = events.select("*", *(F.lit(None).cast(k).alias(n) for n, k in machine.outputs)).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state, seen = None, machine.start, False
-        for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for k, now, v in zip(batch.column(key).to_pylist(), _seconds(batch.column(time).to_pylist()), batch.column(value).to_pylist(), strict=True):
-                if not seen or k != last:
-                    last, state, seen = k, machine.start, True
-                state, made = machine.step(state, now, v)
-                for column, x in zip(out, made, strict=True):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, t) for x, t in zip(out, types, strict=True))], names=[*batch.schema.names, *names])
-
-    return events.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
-
+from scriptorium.operators import scans
+from scriptorium.operators.scans import Machine
+from scriptorium.tables import fresh
 
 def _stream(stream: DataFrame, key: str, time: str, order: list[str], value: str, machine: Machine) -> DataFrame:
     schema = stream.select("*", *(F.lit(None).cast(k).alias(n) for n, k in machine.outputs)).schema
@@ -62,7 +24,7 @@ def _stream(stream: DataFrame, key: str, time: str, order: list[str], value: str
         state = pickle.loads(store.get[0]) if store.exists else machine.start
         rows = pd.concat(list(frames), ignore_index=True).sort_values(order, ignore_index=True)
         made = []
-        for now, v in zip(_seconds(rows[time].tolist()), rows[value].tolist(), strict=True):
+        for now, v in zip(scans.seconds(rows[time].tolist()), rows[value].tolist(), strict=True):
             state, outputs = machine.step(state, now, v)
             made.append(outputs)
         store.update((pickle.dumps(state),))
@@ -86,23 +48,63 @@ def bucket(rate: float = 10.0, burst: float = 20.0) -> Machine:
     return Machine((burst, None), step, (("allowed", "boolean"),))
 
 
-def breaker(threshold: int = 5, recovery: float = 60.0) -> Machine:
-    """``threshold`` failures in a row open; after ``recovery`` seconds one trial closes or opens again. The value is success."""
+def waiting_bucket(rate: float = 10.0, burst: int = 20, timeout: float = 30.0) -> Machine:
+    """As ``bucket``, but an event waits for its token, behind those that wait already, unless that takes more than ``timeout`` seconds.
+
+    The state is the time, in whole microseconds, at which the bucket will be full. Outputs: whether the event
+    gets its token, and after how many microseconds (null: never).
+    """
+    gap, patience = round(1e6 / rate), round(timeout * 1e6)
+
+    def step(full, now, _):
+        now = round(now * 1e6)
+        wait = max(0, full - (burst - 1) * gap - now)
+        if wait > patience:
+            return full, (False, None)
+        return max(full, now) + gap, (True, wait)
+
+    return Machine(-(1 << 62), step, (("granted", "boolean"), ("waited_us", "long")))
+
+
+def known_keys(most: int = 50_000) -> Machine:
+    """Which keys are among the newest ``most`` that were entered; a known key isn't entered again, the oldest one goes first. Empty keys are never known.
+
+    The state is the entered keys in their order, changed in place: each run has its own.
+    """
+
+    def step(kept, _, value):
+        kept = {} if kept is None else kept
+        if value is None or value == "":
+            return kept, (False,)
+        if value in kept:
+            return kept, (True,)
+        kept[value] = None
+        if len(kept) > most:
+            del kept[next(iter(kept))]
+        return kept, (False,)
+
+    return Machine(None, step, (("repeated", "boolean"),))
+
+
+def breaker(threshold: int = 5, recovery: float = 60.0, trials: int = 1) -> Machine:
+    """``threshold`` failures in a row open; after ``recovery`` seconds ``trials`` successes in a row close, and one failure opens again. The value is success."""
 
     def step(state, now, success):
-        name, failures, opened = state
+        name, failures, opened, passed = state
         if name == "open" and now - opened >= recovery:
-            name = "half_open"
+            name, passed = "half_open", 0
         admitted = name != "open"
         if admitted and success:
-            name, failures = "closed", 0
+            passed += name == "half_open"
+            if name == "closed" or passed >= trials:
+                name, failures = "closed", 0
         elif admitted:
             failures += 1
             if name == "half_open" or failures >= threshold:
                 name, opened = "open", now
-        return (name, failures, opened), (name, admitted)
+        return (name, failures, opened, passed), (name, admitted)
 
-    return Machine(("closed", 0, 0.0), step, (("state", "string"), ("admitted", "boolean")))
+    return Machine(("closed", 0, 0.0, 0), step, (("state", "string"), ("admitted", "boolean")))
 
 
 def provider(failures: int = 3, cooldown: float = 60.0) -> Machine:
@@ -136,22 +138,32 @@ def lru(capacity: int, ttl: float) -> Machine:
 
 def token_bucket(events: DataFrame, key: str, time: str, order: list[str], rate: float = 10.0, burst: float = 20.0) -> DataFrame:
     """``events`` with allowed. A null key is a key."""
-    return _run(events, key, time, order, key, bucket(rate, burst))
+    return scans.replay(events, key, time, order, key, bucket(rate, burst))
+
+
+def waiting_tokens(events: DataFrame, key: str, time: str, order: list[str], rate: float = 10.0, burst: int = 20, timeout: float = 30.0) -> DataFrame:
+    """``events`` with granted and waited_us: a token each, first come first served, within ``timeout`` seconds."""
+    return scans.replay(events, key, time, order, key, waiting_bucket(rate, burst, timeout))
+
+
+def repeated_keys(events: DataFrame, partition: str, key: str, time: str, order: list[str], most: int = 50_000) -> DataFrame:
+    """``events`` with repeated: whether ``key`` was known to the table of ``partition``, which keeps the newest ``most`` keys."""
+    return scans.replay(events, partition, time, order, key, known_keys(most))
 
 
-def circuit_breaker(events: DataFrame, key: str, time: str, order: list[str], success: str, threshold: int = 5, recovery: float = 60.0) -> DataFrame:
+def circuit_breaker(events: DataFrame, key: str, time: str, order: list[str], success: str, threshold: int = 5, recovery: float = 60.0, trials: int = 1) -> DataFrame:
     """``events`` with state (after the event) and admitted."""
-    return _run(events, key, time, order, success, breaker(threshold, recovery))
+    return scans.replay(events, key, time, order, success, breaker(threshold, recovery, trials))
 
 
 def provider_calls(calls: DataFrame, key: str, time: str, order: list[str], success: str, failures: int = 3, cooldown: float = 60.0) -> DataFrame:
     """``calls`` with admitted and healthy (after the call)."""
-    return _run(calls, key, time, order, success, provider(failures, cooldown))
+    return scans.replay(calls, key, time, order, success, provider(failures, cooldown))
 
 
 def lru_hits(requests: DataFrame, partition: str, key: str, time: str, order: list[str], capacity: int, ttl: float) -> DataFrame:
     """``requests`` with hit: a cache for each ``partition`` that keeps ``capacity`` of the values of ``key``."""
-    return _run(requests, partition, time, order, key, lru(capacity, ttl))
+    return scans.replay(requests, partition, time, order, key, lru(capacity, ttl))
 
 
 def stream_control(stream: DataFrame, key: str, time: str, order: list[str], value: str, machine: Machine) -> DataFrame:
@@ -174,10 +186,11 @@ def provider_health(calls: DataFrame, key: str, order: list[str], success: str,
 
 
 def first_of_key(events: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Idempotent dedup in batch: the first event of each key; events with an empty key all stay. The limit runs before the shuffle."""
+    """Idempotent dedup in batch: the first event of each key; events with an empty key all stay, each a group of its own. One pass; the limit runs before the shuffle."""
+    place, own = fresh(events, "place", "own")
     empty = F.coalesce(F.col(key).cast("string"), F.lit("")) == ""
-    first = events.filter(~empty).withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_n = 1").drop("_n")
-    return first.unionByName(events.filter(empty))
+    dealt = events.withColumn(own, F.when(empty, F.monotonically_increasing_id()))
+    return dealt.withColumn(place, F.row_number().over(Window.partitionBy(key, own).orderBy(*order))).filter(F.col(place) == 1).drop(place, own)
 
 
 def stream_first_of_key(stream: DataFrame, key: str, time: str, lateness: str) -> DataFrame:
