@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scriptorium.operators import rank, writer
 from scriptorium.operators.enhance import escaped
 from scriptorium.operators.search import BLANK, stripped
+from scriptorium.tables import newest
 
 # Fixed values of the build rules.
 SECTION_ORDER = ("概念原理", "技术教程", "实践应用", "对比分析", "最佳实践", "其他")
@@ -38,7 +39,7 @@ def ordered_articles(rows: DataFrame, order: str) -> DataFrame:
     """``rows`` (task, url, relevance) with place: by relevance, then ``order``; of rows with one URL the first stays, rows without URL all do."""
     best = [F.coalesce("relevance", F.lit(0)).desc(), F.col(order)]
     key = F.when(F.coalesce("url", F.lit("")) == "", F.concat(F.lit("\0"), F.col(order).cast("string"))).otherwise(F.col("url"))
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("task", key).orderBy(*best))).filter("_n = 1").drop("_n")
+    first = newest(rows, ["task", key], best, 1)
     return first.withColumn("place", F.row_number().over(Window.partitionBy("task").orderBy(*best)))
 
 
@@ -115,7 +116,7 @@ def fill(sections: DataFrame, paragraphs: DataFrame, most: int = BEST, least: fl
     # No section takes more than ``most`` of them; the limit runs before the shuffle.
     first = paras.select("task", "id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(most, fallback))
     chosen = chosen.unionByName(bare.join(first, "task").filter("rank <= some").select("task", "section", "id", "rank"))
-    own = chosen.withColumn("_n", F.row_number().over(Window.partitionBy("task", "id").orderBy("section"))).filter("_n = 1").drop("_n")
+    own = newest(chosen, ["task", "id"], ["section"], 1)
     return own.join(paras.select("task", "id", "title", "url", "text"), ["task", "id"]).select("task", "section", "rank", "title", "url", "text")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.operators import scans
-from scriptorium.tables import fresh
+from scriptorium.tables import fresh, newest
 
 # Fixed values of the monitoring rules.
 CJK = r"[\x{4e00}-\x{9fff}]"
@@ -23,12 +23,6 @@ def count_if(condition: Column | str) -> Column:
     return F.count_if(F.expr(condition) if isinstance(condition, str) else condition).cast("long")
 
 
-def newest(rows: DataFrame, key: list[str], order: list[Column], most: int) -> DataFrame:
-    """The ``most`` first rows of each key in ``order``; the limit runs before the shuffle."""
-    (place,) = fresh(rows, "place")
-    return rows.withColumn(place, F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col(place) <= most).drop(place)
-
-
 def chosen(rows: DataFrame, time: str | None = None, since: Column | None = None, **equal: object) -> DataFrame:
     """``rows`` whose columns equal the values given (a list: any of them; None: not asked), not before ``since``."""
     conditions = [F.col(c).isin(*v) if isinstance(v, (list, tuple)) else F.col(c) == v for c, v in equal.items() if v is not None]
@@ -73,8 +67,9 @@ def budget(calls: DataFrame, limit: float) -> DataFrame:
 
 def kept_since(rows: DataFrame, time: str, days: int) -> DataFrame:
     """Rows of the last ``days`` before the latest one (a single value is broadcast)."""
-    latest = rows.agg(F.max(time).alias("_latest"))
-    return rows.join(F.broadcast(latest), F.col(time) >= F.col("_latest") - F.make_dt_interval(F.lit(days)), "left_semi")
+    (end,) = fresh(rows, "end")
+    latest = rows.agg(F.max(time).alias(end))
+    return rows.join(F.broadcast(latest), F.col(time) >= F.col(end) - F.make_dt_interval(F.lit(days)), "left_semi")
 
 
 # -- quality feedback --------------------------------------------------------------------------

@@ -22,7 +22,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -34,10 +34,11 @@ Step = Callable[[Any, Any, Any], tuple[Any, tuple]]
 FAR = 1 << 61
 
 
-def ranges(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """``rows`` in partitions of neighbours by (key, order), sorted; as many as a shuffle has."""
+def ranges(rows: DataFrame, key: str, order: list[str | Column]) -> DataFrame:
+    """``rows`` in partitions of neighbours by (key, order), sorted; as many as a shuffle has. Rows of equal order are split too."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
+    (tie,) = fresh(rows, "tie")
+    return rows.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(n, key, *order, tie).sortWithinPartitions(key, *order, tie).drop(tie)
 
 
 def _chained(ends: list[tuple]) -> list[tuple[int, int]]:
@@ -48,10 +49,10 @@ def _chained(ends: list[tuple]) -> list[tuple[int, int]]:
 # -- clamped sums ------------------------------------------------------------------------------
 
 
-def running(rows: DataFrame, key: str, order: list[str], change: str, name: str, low: int | None = None, high: int | None = None) -> DataFrame:
+def running(rows: DataFrame, key: str, order: list[str | Column], change: str, name: str, low: int | None = None, high: int | None = None) -> DataFrame:
     """``rows`` with ``name``: the sum, from 0, of ``change`` over the rows before within ``key`` by ``order``, clamped to ``low`` and ``high`` after each row.
 
-    A null change is 0; a null key is a key; rows of equal order are taken in any order, so ``order`` should tell rows apart.
+    A null change is 0; a null key is a key; rows of equal order are taken one after the other in any order.
     """
     least, most = -FAR if low is None else low, FAR if high is None else high
     names = segment, place, first, add, floor, ceiling = fresh(rows, "segment", "place", "first", "add", "floor", "ceiling")
@@ -114,7 +115,7 @@ def seconds(times: list) -> list[float]:
     return [(t if t.tzinfo else t.replace(tzinfo=dt.UTC)).timestamp() if hasattr(t, "timestamp") else float(t) for t in times]
 
 
-def replay(rows: DataFrame, key: str, time: str, order: list[str], value: str, machine: Machine) -> DataFrame:
+def replay(rows: DataFrame, key: str, time: str, order: list[str | Column], value: str, machine: Machine) -> DataFrame:
     """``rows`` with the machine's outputs: each key's rows by ``order``, from the start state."""
     made = [n for n, _ in machine.outputs]
     segment, place, head, end, mark, carry, turn = fresh(rows, "segment", "place", "head", "end", "mark", "carry", "turn")

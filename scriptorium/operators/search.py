@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.tables import fresh, newest
+
 # Fixed values of the search rules.
 QUERY_NOISE = (r"^这是一个测试", r"^用于验证", r"验证流水线", r"是否正常工作", r"^test\b", r"^测试\b", r"请生成", r"帮我写", r"^\s*$")
 SPAM_HOSTS = (
@@ -86,9 +88,10 @@ def host(url: Column) -> Column:
 def without_spam(rows: DataFrame) -> DataFrame:
     """Rows whose host is no spam host and no subdomain of one: an anti join with a fixed list."""
     spam = rows.sparkSession.createDataFrame([(h,) for h in SPAM_HOSTS], "spam_host string")
-    own = rows.withColumn("_host", host(F.col("url")))
-    hit = (F.col("_host") == F.col("spam_host")) | F.col("_host").endswith(F.concat(F.lit("."), F.col("spam_host")))
-    return own.join(F.broadcast(spam), hit, "left_anti").drop("_host")
+    (of,) = fresh(rows, "host_of_url")
+    own = rows.withColumn(of, host(F.col("url")))
+    hit = (F.col(of) == F.col("spam_host")) | F.col(of).endswith(F.concat(F.lit("."), F.col("spam_host")))
+    return own.join(F.broadcast(spam), hit, "left_anti").drop(of)
 
 
 def tracking(url: Column) -> Column:
@@ -160,10 +163,10 @@ def first_of_each(rows: DataFrame, order: list[Column] | None = None) -> DataFra
     order = order or [F.col("pos")]
     url = F.substring_index(normalize_url(F.coalesce("url", F.lit(""))), "?", 1)
     title = F.left(F.lower(stripped(F.coalesce("title", F.lit("")))), F.lit(30))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(url).orderBy(*order))).filter("_n = 1")
+    rows = newest(rows, [url], order, 1)
     # Rows without a title form no group: each is keyed by its own position.
     key = F.when(title == "", F.concat(F.lit("\0"), F.col("pos").cast("string"))).otherwise(title)
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_n = 1").drop("_n")
+    return newest(rows, [key], order, 1)
 
 
 def with_fallback(rows: DataFrame, builtin: DataFrame, query: str, least: int = 5) -> DataFrame:
@@ -182,19 +185,21 @@ SITES = (
 def site_queries(queries: DataFrame, query: str) -> DataFrame:
     """Each row once for each site: (..., site, site_query)."""
     sites = F.array(*(F.struct(F.lit(d).alias("domain"), F.lit(n).alias("site")) for d, n in SITES))
-    out = queries.withColumn("_site", F.explode(sites))
-    return out.withColumn("site", F.col("_site.site")).withColumn("site_query", F.concat(F.lit("site:"), "_site.domain", F.lit(" "), query)).drop("_site")
+    (own,) = fresh(queries, "own_site")
+    out = queries.withColumn(own, F.explode(sites))
+    return out.withColumn("site", F.col(own)["site"]).withColumn("site_query", F.concat(F.lit("site:"), F.col(own)["domain"], F.lit(" "), query)).drop(own)
 
 
 def merged(rows: DataFrame, query: str, order: list[str], most: int) -> DataFrame:
     """Engines' rows in ``order`` (rank of the engine first): the first of each URL, at most ``most`` for a query; rows without a URL go."""
-    own = rows.filter("url <> ''").withColumn("_n", F.row_number().over(Window.partitionBy(query, "url").orderBy(*order))).filter("_n = 1")
-    return own.withColumn("_n", F.row_number().over(Window.partitionBy(query).orderBy(*order))).filter(F.col("_n") <= most).drop("_n")
+    own = newest(rows.filter("url <> ''"), [query, "url"], order, 1)
+    return newest(own, [query], order, most)
 
 
 def with_sites(rows: DataFrame, from_sites: DataFrame, query: str, order: list[str], most: int, each: int = 3) -> DataFrame:
     """``rows``, then the first ``each`` rows of each site (column site) with their source tagged; merged as above."""
-    top = from_sites.withColumn("_n", F.row_number().over(Window.partitionBy(query, "site").orderBy(*order))).filter(F.col("_n") <= each)
-    top = top.withColumn("source", F.concat("source", F.lit("["), "site", F.lit("]"))).drop("site", "_n")
-    both = rows.withColumn("_late", F.lit(False)).unionByName(top.withColumn("_late", F.lit(True)))
-    return merged(both, query, ["_late", *order], most).drop("_late")
+    top = newest(from_sites, [query, "site"], order, each)
+    top = top.withColumn("source", F.concat("source", F.lit("["), "site", F.lit("]"))).drop("site")
+    (late,) = fresh(rows, "late")
+    both = rows.withColumn(late, F.lit(False)).unionByName(top.withColumn(late, F.lit(True)))
+    return merged(both, query, [late, *order], most).drop(late)

@@ -6,9 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.tables import newest
+
 # Where each engine's page or answer holds its rows.
 ANCHOR = r'(?s)<a[^>]+href="(https?://[^"]+)"[^>]*>(.*?)</a>'
 BLOCKS = {
@@ -37,7 +39,7 @@ def anchors(pages: DataFrame, key: str, html: str) -> DataFrame:
     for host in OWN_HOSTS:
         own |= F.col("url").contains(host)
     found = found.filter((F.length("title") >= 5) & ~own)
-    return found.withColumn("_n", F.row_number().over(Window.partitionBy(key, "url").orderBy("pos"))).filter("_n = 1").drop("_n")
+    return newest(found, [key, "url"], ["pos"], 1)
 
 
 def block_rows(html: Column, engine: str, most: int = 10) -> Column:

@@ -2,34 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators import scans
+from scriptorium.tables import fresh, newest
+
 # What a write may do to a file's size and lines, and how long backups and versions stay.
 AGENT_RATIOS = (0.5, 5.0)
 SCRIPT_RATIOS, SCRIPT_LINES = (0.5, 10.0), 0.7
 TTL_DAYS, NEWEST, ALL_DAYS, LATEST_DAYS, KEPT_VERSIONS = 7, 20, 30, 90, 50
-_MOST_RANGES = 1024
 
 
 def numbered(rows: DataFrame, key: str, order: str, name: str = "number") -> DataFrame:
-    """``rows`` with their places (from 1) within ``key`` by the numeric column ``order``.
+    """``rows`` with their places (from 1) within ``key`` by ``order``.
 
-    Rows are dealt by key and by ranges of ``order`` between quantiles, numbered there, and moved on by the counts of the
-    ranges before, so that a key with very many rows is split. Only the cuts, at most 1,024 numbers, reach the driver; of
-    counts there is a row for each key and range. Rows without ``order`` come last. Equal ``order`` within a key is numbered in any order, in one range.
+    Every row has a place: rows without ``order`` come last within their key, rows of equal ``order`` one after the other in
+    any order; a null key is a key. A key with very many rows is split, whatever its orders are.
     """
-    ranges = min(_MOST_RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted(set(rows.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
-    splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
-    own = Bucketizer(splits=splits, inputCol="_o", outputCol="_r", handleInvalid="keep").transform(rows.withColumn("_o", F.col(order).cast("double")))
-    counts = own.groupBy(key, "_r").agg(F.count(F.lit(1)).alias("_c"))
-    before = F.sum("_c").over(Window.partitionBy(key).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(F.col(key).alias("_k"), F.col("_r").alias("_s"), F.coalesce(before, F.lit(0)).alias("_b"))
-    own = own.withColumn("_n", F.row_number().over(Window.partitionBy(key, "_r").orderBy(order)))
-    own = own.join(counts, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_r") == F.col("_s")))
-    return own.withColumn(name, (F.col("_n") + F.col("_b")).cast("long")).select(*rows.columns, name)
+    (one,) = fresh(rows, "one")
+    own = scans.running(rows.withColumn(one, F.lit(1)), key, [F.col(order).asc_nulls_last()], one, name)
+    return own.withColumn(name, F.col(name) + 1).drop(one)
 
 
 def with_digests(texts: DataFrame, text: str) -> DataFrame:
@@ -45,8 +38,7 @@ def committed(texts: DataFrame, file: str, order: str, text: str) -> DataFrame:
 
 def pruned(versions: DataFrame, file: str, version: str = "version", most: int = KEPT_VERSIONS) -> DataFrame:
     """The newest ``most`` versions of each file; the limit runs before the shuffle."""
-    newest = Window.partitionBy(file).orderBy(F.col(version).desc())
-    return versions.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= most).drop("_n")
+    return newest(versions, [file], [F.col(version).desc()], most)
 
 
 def stored(versions: DataFrame, file: str) -> DataFrame:
@@ -56,24 +48,22 @@ def stored(versions: DataFrame, file: str) -> DataFrame:
 
 def fresh_backups(backups: DataFrame, file: str, age: str, order: list[Column], days: int = TTL_DAYS, most: int = NEWEST) -> DataFrame:
     """Backups not older than ``days`` and among the newest ``most`` of their file."""
-    newest = Window.partitionBy(file).orderBy(*order)
-    return backups.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= most).drop("_n").filter(F.col(age) <= days)
+    return newest(backups, [file], order, most).filter(F.col(age) <= days)
 
 
 def tiered_backups(backups: DataFrame, file: str, age: str, order: list[Column], all_days: int = ALL_DAYS, latest_days: int = LATEST_DAYS) -> DataFrame:
     """All backups of ``all_days``; of older ones up to ``latest_days`` the latest of each file; none beyond."""
     recent = backups.filter(F.col(age) <= all_days)
     old = backups.filter((F.col(age) > all_days) & (F.col(age) <= latest_days))
-    # A filter on row_number runs as a group limit before the shuffle.
-    latest = old.withColumn("_n", F.row_number().over(Window.partitionBy(file).orderBy(*order))).filter("_n = 1").drop("_n")
-    return recent.unionByName(latest)
+    return recent.unionByName(newest(old, [file], order, 1))
 
 
 def with_previous(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """``rows`` with previous: ``value`` of the row before within ``key`` by ``order``; null for the first."""
-    own = numbered(rows, key, order, "_v")
-    last = own.select(F.col(key).alias("_k"), (F.col("_v") + 1).alias("_w"), F.col(value).alias("previous"))
-    return own.join(last, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_v") == F.col("_w")), "left").select(*rows.columns, "previous")
+    """``rows`` with previous: ``value`` of the row before within ``key`` by ``order``, as ``numbered`` places them; null for the first."""
+    place, of, behind = fresh(rows, "place", "of", "behind")
+    own = numbered(rows, key, order, place)
+    last = own.select(F.col(key).alias(of), (F.col(place) + 1).alias(behind), F.col(value).alias("previous"))
+    return own.join(last, F.col(key).eqNullSafe(F.col(of)) & (F.col(place) == F.col(behind)), "left").select(*rows.columns, "previous")
 
 
 def write_level(size: Column, previous: Column, ratios: tuple[float, float] = AGENT_RATIOS) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -48,3 +49,9 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
             name = "_" + name
         found.append(name)
     return found
+
+
+def newest(rows: DataFrame, key: list[str | Column], order: list[str | Column], most: int) -> DataFrame:
+    """The ``most`` first rows of each key in ``order``; the limit runs before the shuffle."""
+    (place,) = fresh(rows, "place")
+    return rows.withColumn(place, F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col(place) <= most).drop(place)

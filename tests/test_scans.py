@@ -100,3 +100,35 @@ def test_waiting_requests_queue_up(spark):
     rows = spark.createDataFrame([(i, "k", t) for i, t in enumerate([0.0, 0.0, 0.0, 0.0, 0.5, 9.0])], "id long, k string, t double")
     out = control.waiting_tokens(rows, "k", "t", ["t", "id"], 1.0, 2, 1.5).orderBy("id").collect()
     assert [(r.granted, r.waited_us) for r in out] == [(True, 0), (True, 0), (True, 1_000_000), (False, None), (True, 1_500_000), (True, 0)]
+
+
+def test_every_row_has_a_version(spark):
+    from scriptorium.operators import versions
+
+    rows = [("f", 1, 1), ("f", 1, 2), ("f", None, 3), (None, 2, 4), ("f", None, 5), ("f", 0, 6), ("g", None, 7)]
+    df = spark.createDataFrame(rows, "file string, at int, place int")
+    got = versions.numbered(df, "file", "at").collect()
+    assert sorted((str(r.file), r.number) for r in got) == sorted([("f", i) for i in range(1, 6)] + [("None", 1), ("g", 1)])
+    assert [r.place for r in sorted(got, key=lambda r: (str(r.file), r.number)) if r.file == "f" and r.at is not None][0] == 6
+    assert {r.number for r in got if r.file == "f" and r.at is None} == {4, 5}
+    before = versions.with_previous(df, "file", "at", "place").collect()
+    assert len(before) == len(rows) and before[0].asDict().keys() == {"file", "at", "place", "previous"}
+    assert sum(r.previous is None for r in before) == 3
+    assert versions.numbered(df.limit(0), "file", "at").collect() == []
+
+
+def test_a_column_named_like_a_helper_stays(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, 6)], "k string, v int, place int")
+    assert [tuple(r) for r in monitor.newest(df, ["k"], [F.desc("v")], 1).collect()] == [("a", 2, 6)]
+
+
+def test_totals_and_calls_without_a_provider(spark):
+    calls = spark.createDataFrame([(1, None, 0.5), (1, "x", 0.25), (None, "x", 1.0)], "task int, provider string, cost double")
+    got = {(r.task, r.provider, r.total): r.cost for r in monitor.cost_of_task(calls, "task").collect()}
+    assert got == {(1, None, False): 0.5, (1, "x", False): 0.25, (1, None, True): 0.75, (None, "x", False): 1.0, (None, None, True): 1.0}
+
+
+def test_frames_escape_line_breaks(spark):
+    df = spark.createDataFrame([(7, "chunk", 'a\n"b"', 12)], "id long, kind string, data string, ts long")
+    frame = df.select(monitor.sse_frame(F.col("id"), F.col("kind"), F.col("data"), F.col("ts"))).first()[0]
+    assert frame == 'id: 7\ndata: {"type":"chunk","data":"a\\n\\"b\\"","ts":12,"section":-1,"total":0}\n\n'
