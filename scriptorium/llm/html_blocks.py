@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.common import small_batches
+
 
 @dataclass(frozen=True)
 class BlockConfig:
@@ -50,7 +52,7 @@ _LINK = re.compile(r"<a[\s>]")
 _RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)|all rights reserved", re.I)
 
 #: Elements whose content is no text of the page; of those that are never closed only SWALLOWS take the rest of it.
-RAW = frozenset(("script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "select", "object", "math", "canvas"))
+RAW = frozenset(("script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "select", "object", "canvas"))
 SWALLOWS = frozenset(("script", "style", "title"))
 NEVER = frozenset(("nav", "footer", "aside", "form", "head", "menu", "dialog", "button", "fieldset"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,7 +67,9 @@ TEXT = frozenset(("p", "li", "blockquote", "pre", "dd", "dt", "td", "figcaption"
 OPEN = frozenset("article aside blockquote body center details dialog div dl fieldset figure footer form head header main menu nav ol section table ul button".split())
 HOLDERS = frozenset(("article", "aside", "center", "div", "footer", "form", "header", "main", "nav"))
 #: Parts of class, id and role names of elements around an article.
-HINTS = frozenset("ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus dialog gdpr footer masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related reply replies respond search share sharing sidebar sidebars social sponsor sponsored subscribe toolbar topbar widget".split())
+HINTS = frozenset("ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus dialog gdpr footer masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related reply replies respond responses search share sharing sidebar sidebars social sponsor sponsored subscribe toolbar topbar widget".split())
+#: Those of them that hold prose which isn't the article's, however dense it is.
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond responses".split())
 #: Parts of names that say what a page or wrapper is laid out like.
 LAYOUTS = frozenset("no not without with has page layout".split())
 
@@ -73,23 +77,26 @@ _DAMPED = 8
 _OWNED = 2
 
 
-def _hinted(names: str) -> bool:
+def _hinted(names: str, hints: frozenset[str] = HINTS) -> bool:
     """Whether some whole name tells of something around an article; names of layouts (no-sidebar, search-result-page) don't."""
     parts = [set(_NAME_PART.findall(name)) for name in names.lower().split()]
-    return any(HINTS & p and not LAYOUTS & p for p in parts) and not any("layout" in p for p in parts)
+    return any(hints & p and not LAYOUTS & p for p in parts) and not any("layout" in p for p in parts)
 
 
 def _hidden(attributes: str) -> bool:
     return bool(_HIDING.search(attributes)) or "display:none" in attributes.replace(" ", "").lower()
 
 
-def _around(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is named like something around an article, or hidden."""
+def _around(name: str, attributes: str, inside: bool) -> int:
+    """Whether an element is named like something around an article, or hidden: 0 no, 1 by a name that prose of the article may have too, 2 for certain."""
     if name in NEVER or name == "header" and not inside:
-        return True
+        return 2
     if not attributes or name in BODY or name in ("body", "html"):
-        return False
-    return _hidden(attributes) or any(_hinted(m[1] or m[2] or m[3] or "") for m in _HINT.finditer(attributes))
+        return 0
+    names = [m[1] or m[2] or m[3] or "" for m in _HINT.finditer(attributes)]
+    if _hidden(attributes) or any(_hinted(x, COMMENTS) for x in names):
+        return 2
+    return int(any(map(_hinted, names)))
 
 
 @dataclass(slots=True)
@@ -105,9 +112,15 @@ class Line:
 
 @dataclass(slots=True)
 class Around:
-    """Lines ``start`` to ``stop`` in an element named like something around an article; ``direct``: end of the text before its first block."""
+    """Lines ``start`` to ``stop`` in an element named like something around an article; ``direct``: end of the text before its first block.
+
+    certain: it is, whatever it holds; owner, holder: the article element and the container that it stands in.
+    """
 
     start: int
+    certain: bool = True
+    owner: int = 0
+    holder: int = 0
     stop: int = -1
     direct: int = -1
     closed: bool = False
@@ -207,7 +220,8 @@ class _Page:
                     if name in BODY and not any(self._open[x] for x in BODY):
                         self._owner = 0
             elif not empty:
-                around = Around(len(self.lines)) if config.names and _around(name, attributes, self._owner > 0) else None
+                kind = _around(name, attributes, self._owner > 0) if config.names else 0
+                around = Around(len(self.lines), kind == 2, self._owner, next((n for _, _, n in reversed(self._stack) if n), 0)) if kind else None
                 if around:
                     if not block:
                         self._end_line()
@@ -243,9 +257,18 @@ def _without_around(page: _Page, window: int) -> list[Line]:
     top = int(block_sums(weights, window).argmax())
     core = max(range(max(0, top - window + 1), top + 1), key=lambda i: weights[i])
     gone = np.zeros(len(lines), bool)
+    own = lines[core]
+    near = _density([x for x in lines if x.holder == own.holder and x.owner == own.owner]) / 2
+
+    def prose(x: Around, part: list[Line]) -> bool:
+        """Whether an element in the article's own container holds paragraphs nearly as dense as the article's."""
+        beside = x.owner == own.owner and (x.owner > 0 or x.holder == own.holder)
+        total = sum(line.weight for line in part)
+        return beside and not x.certain and total > 0 and 2 * sum(line.weight for line in part if line.tag in TEXT) > total and _density(part) >= near
+
     for x in page.arounds:
         stop = x.stop if x.closed else x.direct
-        if not x.start <= core < stop:
+        if not x.start <= core < stop and not prose(x, lines[x.start : stop]):
             gone[x.start : stop] = [bool(line.text) for line in lines[x.start : stop]]
     return [line for line, g in zip(lines, gone.tolist(), strict=True) if not g]
 
@@ -324,4 +347,5 @@ def extract(pages: DataFrame, config: BlockConfig = BlockConfig()) -> DataFrame:
             texts = [main_text(x, config) for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    return small_batches(pages).mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -111,11 +111,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def train(rows: list[list[int]], labels: list[int], twins: list[tuple[list[int], list[int]]], columns: int, config: ToxicityConfig) -> np.ndarray:
-    """Weights of the words, and the bias last, by Adam on the regularised loss."""
+    """Weights of the words, and the bias last, by Adam on the regularised loss; without a row every text is scored 0."""
     x, y = Rows(rows, columns), np.asarray(labels, float)
     a, b = Rows([t[0] for t in twins], columns), Rows([t[1] for t in twins], columns)
     w, m, v = np.zeros(columns + 1), np.zeros(columns + 1), np.zeros(columns + 1)
     if not len(y):
+        w[-1] = -40
         return w
     rate = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     w[-1] = np.log(rate / (1 - rate))
@@ -139,19 +140,25 @@ class ToxicityModel:
     prefixes: tuple[int, ...] = ToxicityConfig.prefixes
     terms: frozenset[str] = _TERMS
 
+    def known(self, text: str | None) -> list[int]:
+        """The numbers of the text's features that the model has, in their order, so that equal texts sum alike on every machine."""
+        return sorted(self.number[x] for x in features(words_in(text), self.prefixes, self.terms) if x in self.number)
+
     def score(self, text: str | None) -> float:
         """0 to 1; a text without known words or prefixes, null and empty ones too, has the score of the bias."""
-        number, w = self.number, self.weights
-        # In the order of their numbers, so that equal texts sum alike on every machine.
-        known = sorted(number[x] for x in features(words_in(text), self.prefixes, self.terms) if x in number)
-        return float(sigmoid(np.array(w[known].sum() + w[-1])))
+        return float(sigmoid(np.array(self.weights[self.known(text)].sum() + self.weights[-1])))
+
+    def rejects(self, text: str | None, threshold: float) -> bool:
+        """Whether the score reaches ``threshold`` by something in the text: one that says nothing the model knows is never rejected for the share of toxic rows alone."""
+        known = self.known(text)
+        return bool(known) and float(sigmoid(np.array(self.weights[known].sum() + self.weights[-1]))) >= threshold
 
 
 def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
     """Learns from rows of ``labels`` (doc_id, toxic) whose document isn't held out. Exact copies count once.
 
     A document with contradicting labels, a null label or a null text is left out; without any
-    label left, every score is 1/2.
+    label left, every score is 0 (to 10^-17).
     """
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(~held_out("doc_id", config.modulus, config.remainder) & F.col("toxic").isin(0, 1))
     labels = labels.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").select("doc_id", "toxic")
@@ -225,9 +232,9 @@ def score(docs: DataFrame, model: ToxicityModel, config: ToxicityConfig = Toxici
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, config: ToxicityConfig = ToxicityConfig()) -> DataFrame:
-    """``docs`` with all its columns, without rows whose score reaches the threshold.
+    """``docs`` with all its columns, without rows whose score reaches the threshold by features that the model knows.
 
-    Null and empty texts have the score of the bias, so they stay; repeated rows go or stay together; ids play no part.
+    Null and empty texts, texts without a known feature and, without labels, all rows stay; repeated rows go or stay together; ids play no part.
     An empty table gives an empty table.
     """
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
@@ -235,6 +242,6 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, config: ToxicityConfig
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            yield batch.filter(pa.array([known.score(t) < config.threshold for t in batch.column("text").to_pylist()], pa.bool_())).select(names)
+            yield batch.filter(pa.array([not known.rejects(t, config.threshold) for t in batch.column("text").to_pylist()], pa.bool_())).select(names)
 
     return small_batches(docs).mapInArrow(run, docs.schema)

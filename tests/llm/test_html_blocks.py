@@ -153,3 +153,17 @@ def test_the_distribution_alone_finds_the_article(spark, sf):
         return sum(main_text(html, config) == text for html, text in zip(pages, want, strict=True)) / len(pages)
 
     assert share(BlockConfig(names=False, bounds=False)) >= 0.9 and share(BlockConfig(bounds=False)) == 1
+
+
+def test_named_elements_inside_the_article_keep_their_prose():
+    long = "<p>" + "a further paragraph of the article " * 8 + "</p>"
+    text = ("a further paragraph of the article " * 8).strip()
+    for element in ("<section class='social-science'>%s</section>", "<div class='banner-text'>%s</div>", "<div class='related-work'><h2>Related work</h2>%s</div>"):
+        title = "Related work " if "h2" in element else ""
+        for body in ("<article>%s</article>", "<main>%s</main>", "<div>%s</div>"):
+            assert main_text(PAGE % (body % (PARAGRAPHS + element % long))) == f"{PARAGRAPHS_TEXT} {title}{text}", (element, body)
+    links = "".join(f"<li><a href='/{i}'>Another page of this site, number {i}</a></li>" for i in range(9))
+    for box in (f"<div class='related'><h3>Related</h3><ul>{links}</ul></div>", "<div class='promo'>Buy now</div>", f"<div class='comments'>{long}</div>", f"<div id='user-responses'>{long}</div>"):
+        for body in ("<article>%s</article>", "<main>%s</main>"):
+            assert main_text(PAGE % (body % (PARAGRAPHS + box))) == PARAGRAPHS_TEXT, box
+    assert main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p></article>") == "Let x=1 be."

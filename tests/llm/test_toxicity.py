@@ -59,15 +59,19 @@ def test_held_out_labels_are_never_seen(spark):
 def test_odd_rows(spark):
     docs = frame(spark, [(1, None), (1, None), (2, ""), (None, "x"), (3, "vermin " * 40_000)])
     none = fit(docs, spark.createDataFrame([], LABELS))
-    assert [r.score for r in score(docs, none).collect()] == [0.5] * 5
+    assert all(r.score < 1e-9 and r.predicted == 0 for r in score(docs, none).collect())
+    assert without_toxic(docs, none).count() == 5
     odd = fit(docs, spark.createDataFrame([(1, 1, None, ""), (3, 1, 1, ""), (3, 1, 0, ""), (None, 1, 1, "")], LABELS))
     assert odd.number == {}
     rows, labels = sentences()
-    model = fit(frame(spark, rows), spark.createDataFrame(labels, LABELS))
+    model = fit(frame(spark, rows), spark.createDataFrame(labels, LABELS), ToxicityConfig(least_z=0.5))
+    assert "vermin" in model.number
     got = {r.doc_id: r for r in score(docs, model).collect()}
     assert got[3].predicted == 1 and got[1].score == got[2].score and got[None].held_out
     kept = without_toxic(docs, model)
     assert kept.columns == docs.columns and 3 not in {r.doc_id for r in kept.collect()}
+    # Half of the labels toxic: texts that say nothing known stay all the same.
+    assert {1, 2} <= {r.doc_id for r in kept.collect()} and kept.filter("text IS NULL OR text = ''").count() == 3
     assert score(frame(spark, []), model).collect() == []
 
 
