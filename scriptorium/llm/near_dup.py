@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import components, discard, fresh, materialise, mix, odd_constants, salted_join, shingle_hashes, small_batches, word_hashes, words_of
+from scriptorium.llm.common import components, discard, fresh, hot_join, materialise, mix, odd_constants, salted_join, shingle_hashes, small_batches, word_hashes, words_of
 
 
 @dataclass(frozen=True)
@@ -181,10 +181,15 @@ def _linked(docs: DataFrame, members: DataFrame, shared: DataFrame, config: Near
         return salted_join(left, right.join(shared, "bucket"), "bucket", "size", "doc_id", n_members, how)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        # A hub, on either side, with very many pairs is dealt over several tasks.
+        pairs = materialise(pairs, "pairs")
+        rows = pairs.count()
         right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
         left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
-        found = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
-        return materialise(small_batches(found).mapInArrow(_confirm(config), "a long, b long, linked boolean").filter("linked").select("a", "b").distinct(), "links")
+        found = hot_join(hot_join(pairs, right, "b", "a", pairs, rows), left, "a", "b", pairs, rows).select("a", "b", "set_a", "set_b")
+        links = materialise(small_batches(found).mapInArrow(_confirm(config), "a long, b long, linked boolean").filter("linked").select("a", "b").distinct(), "links")
+        discard(pairs)
+        return links
 
     alike = 100 * F.least("n_shingles", "n_hub") >= config.percent * F.greatest("n_shingles", "n_hub")
     hub = F.max(F.struct("central", (-F.col("doc_id")).alias("minus"), "n_shingles"))
@@ -193,13 +198,15 @@ def _linked(docs: DataFrame, members: DataFrame, shared: DataFrame, config: Near
     first = first.groupBy(F.col("doc_id").alias("b")).agg(F.max(F.struct("of", (-F.col("a")).alias("minus"))).alias("best")).select((-F.col("best.minus")).alias("a"), "b")
     links = confirmed(first)
     labels = materialise(components(links, "a", "b"), "labels")
-    rest = members
+    rest, read = members, []
     for turn in range(config.hub_rounds + 1):
         known = labels.select(F.col("node").alias("doc_id"), "label")
         # A table, as the mixed buckets and what is left both read it: their shuffles differ by the salt.
         labelled = materialise(rest.drop("label").join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "labelled")
+        discard(*read)
         mixed = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("bucket")
         rest = materialise(by_bucket(labelled, mixed, "left_semi"), "rest")
+        discard(labelled)
         if rest.isEmpty():
             return labels
         if turn == config.hub_rounds:
@@ -211,7 +218,10 @@ def _linked(docs: DataFrame, members: DataFrame, shared: DataFrame, config: Near
         pairs = by_bucket(rest, chosen).filter((F.col("label") != F.col("label_a")) & alike)
         links = confirmed(pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct())
         if not links.isEmpty():
-            labels = _merged(labels, links)
+            labels, old = _merged(labels, links), labels
+            discard(old)
+        discard(links)
+        read = [rest, chosen]
         # A hub has met its whole bucket; the key holds the document too, so no bucket meets in one task.
         rest = rest.join(chosen.select("bucket", F.col("a").alias("doc_id")), ["bucket", "doc_id"], "left_anti")
     links = confirmed(_by_prefix(sets, rest.select("doc_id", "label").distinct(), config))
@@ -234,13 +244,14 @@ def _by_prefix(sets: DataFrame, nodes: DataFrame, config: NearDupConfig) -> Data
     prefix = placed.select("doc_id", "n", (F.col("n") - F.col("at")).alias("left"), "x.shingle").join(nodes, "doc_id")
     prefix = materialise(prefix, "prefixes")
     mixed = prefix.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("shingle")
-    prefix = prefix.join(mixed, "shingle", "left_semi")
+    rows = prefix.count()
+    prefix = materialise(hot_join(prefix, mixed, "shingle", "doc_id", prefix, rows, "left_semi"), "prefix_mixed")
     # The smaller set of a pair must hold the shingle in about the first half of its prefix.
     small = prefix.filter((100 + percent) * F.col("left") >= 2 * percent * F.col("n"))
     small = small.select("shingle", F.col("doc_id").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"))
     ordered = (F.col("n_a") < F.col("n")) | ((F.col("n_a") == F.col("n")) & (F.col("a") < F.col("doc_id")))
     enough = (100 + percent) * F.least("left_a", "left") >= percent * (F.col("n_a") + F.col("n"))
-    pairs = prefix.join(small, "shingle").filter((F.col("label") != F.col("label_a")) & ordered & enough)
+    pairs = hot_join(prefix, small, "shingle", "doc_id", prefix, prefix.count()).filter((F.col("label") != F.col("label_a")) & ordered & enough)
     return pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
 
 
