@@ -218,7 +218,7 @@ for _name in ("completeness", "structure", "readability", "citation", "depth"):
 
 @_register(_MD + _SCORES + "SELECT doc_id, round((0.18::DOUBLE * completeness + 0.12::DOUBLE * structure + 0.10::DOUBLE * readability + 0.12::DOUBLE * citation + 0.10::DOUBLE * depth) / 0.62::DOUBLE, 1) >= 70 AS passed FROM s")
 def quality_gate(spark, sf_dir):
-    return _md(spark, sf_dir).select("doc_id", (quality.overall(F.col("text")) >= quality.THRESHOLD).alias("passed"))
+    return quality.with_overall(_md(spark, sf_dir).select("doc_id", "text"), "text").select("doc_id", (F.col("overall") >= quality.THRESHOLD).alias("passed"))
 
 
 _LINES = ", l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM md)"

@@ -20,8 +20,8 @@ FROM (SELECT *, round(greatest(0, (0.18::DOUBLE * completeness + 0.12::DOUBLE *
  FROM (SELECT *, least(({_STYLE}) + 5 * {_ISSUES}, 40)::DOUBLE AS penalty FROM md JOIN s USING (doc_id) JOIN sub USING (doc_id) JOIN tr USING (doc_id)))""")
 def gate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All dimensions, the penalty, the score against 70 and both flags."""
-    own = _md(spark, sf_dir).select("doc_id", *quality.Profile().verdict(F.col("text"), [TOPIC], F.col("doc_id") % 5))
-    return own.withColumn("substance", F.round("substance", 6))
+    own = quality.Profile().verdict(_md(spark, sf_dir).select("doc_id", "text"), "text", [TOPIC], F.col("doc_id") % 5)
+    return own.drop("text").withColumn("substance", F.round("substance", 6))
 
 
 #: The tutorial profile: other weights and limits, two of three rules, no citations.
@@ -37,7 +37,7 @@ TUTORIAL = {
 def gate_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gate by another profile."""
     profile = quality.Profile.of(TUTORIAL)
-    return _md(spark, sf_dir).select("doc_id", *profile.verdict(F.col("text"), [], F.lit(0))).select("doc_id", "penalty", "overall", "needs_regenerate")
+    return profile.verdict(_md(spark, sf_dir).select("doc_id", "text"), "text", [], F.lit(0)).select("doc_id", "penalty", "overall", "needs_regenerate")
 
 
 # -- lint --------------------------------------------------------------------------------------

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.tables import fresh
+
 # The default profile.
 WEIGHTS = {"completeness": 0.18, "structure": 0.12, "readability": 0.10, "citation": 0.12, "depth": 0.10, "substance": 0.18}
 THRESHOLD = 70.0
@@ -19,8 +21,8 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.split(text, "\n\n", -1), lambda p: F.length(F.trim(p)) > 30)
 
 
-def completeness(text: Column) -> Column:
-    few = F.greatest(F.lit(0), 3 - F.size(paragraphs(text)))
+def completeness(text: Column, parts: Parts | None = None) -> Column:
+    few = F.greatest(F.lit(0), 3 - F.size((parts or Parts.of(text)).paragraphs))
     lost = F.when(text.rlike(r"(?m)^#\s"), 0).otherwise(25) + F.when(text.contains("## 目录") | F.left(text, F.lit(500)).contains("目录"), 0).otherwise(15)
     return F.greatest(F.lit(0), 100 - lost - F.when(text.rlike("(?m)^## 参考"), 0).otherwise(20) - 20 * few)
 
@@ -29,8 +31,8 @@ def levels(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^(#+)\s"), 1), F.length)
 
 
-def structure(text: Column) -> Column:
-    at = levels(text)
+def structure(text: Column, parts: Parts | None = None) -> Column:
+    at = (parts or Parts.of(text)).levels
     n1, n2 = F.size(F.filter(at, lambda x: x == 1)), F.size(F.filter(at, lambda x: x == 2))
     steps = F.zip_with(F.slice(at, F.lit(2), F.size(at)), at, lambda after, before: F.when(after - before > 1, 1).otherwise(0))
     jumps = F.aggregate(steps, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
@@ -38,7 +40,7 @@ def structure(text: Column) -> Column:
     return F.when(F.size(at) == 0, 30).otherwise(F.greatest(F.lit(0), 100 - lost))
 
 
-def readability(text: Column) -> Column:
+def readability(text: Column, parts: Parts | None = None) -> Column:
     long_lines = F.size(F.filter(F.split(text, "\n", -1), lambda x: F.length(x) > 120))
     plain = F.when(text.contains("```") | text.contains("> "), 0).otherwise(10) + F.when(text.contains("- ") | text.contains("* "), 0).otherwise(5)
     return F.greatest(F.lit(0), 100 - 2 * long_lines - plain)
@@ -48,23 +50,55 @@ def links(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\[[^\]]*\]\(([^)]*)\)"), 1)
 
 
-def citation(text: Column) -> Column:
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"(?U)[\w\x{4e00}-\x{9fff}]{2,}"), 0)
+
+
+@dataclass(frozen=True)
+class Parts:
+    """What several dimensions read of a text."""
+
+    paragraphs: Column
+    levels: Column
+    links: Column
+    tokens: Column
+    lowered: Column
+    head: Column
+
+    @classmethod
+    def of(cls, text: Column) -> Parts:
+        """``head``: the first 30 lines, lower-cased."""
+        low = F.lower(text)
+        return cls(paragraphs(text), levels(text), links(text), tokens(text), low, F.array_join(F.slice(F.split(low, "\n", -1), 1, 30), "\n"))
+
+
+def citation(text: Column, parts: Parts | None = None) -> Column:
     cost = lambda u: F.when(F.trim(u) == "", 15).when(u.startswith("https://example.com"), 10).when(~(u.startswith("http") | u.startswith("#")), 5).otherwise(0)
-    found = links(text)
+    found = (parts or Parts.of(text)).links
     return F.when(F.size(found) == 0, 50).otherwise(F.greatest(F.lit(0), 100 - F.aggregate(found, F.lit(0), lambda a, u: a + cost(u))))
 
 
-def depth(text: Column) -> Column:
+def depth(text: Column, parts: Parts | None = None) -> Column:
     n = F.length(text)
     score = F.when(n < 200, 30).when(n < 500, 50).when(n < 1000, 70).when(n > 5000, 95).otherwise(100)
-    return F.when(F.size(paragraphs(text)) < 3, F.least(score, F.lit(40))).otherwise(score)
+    return F.when(F.size((parts or Parts.of(text)).paragraphs) < 3, F.least(score, F.lit(40))).otherwise(score)
+
+
+def with_parts(docs: DataFrame, text: str) -> tuple[DataFrame, Parts, list[str]]:
+    """``docs`` with a column for each of the parts, so that a text is cut once however many dimensions read it; the parts, and the columns' names."""
+    names = fresh(docs, *(f.name for f in fields(Parts)))
+    parts = Parts.of(F.col(text))
+    own = docs.withColumns({n: getattr(parts, f.name) for n, f in zip(names, fields(Parts), strict=True)})
+    return own, Parts(*map(F.col, names)), names
 
 
-def overall(text: Column) -> Column:
-    """The weighted mean of the dimensions that Column expressions reach here, to one place."""
-    parts = {"completeness": completeness, "structure": structure, "readability": readability, "citation": citation, "depth": depth}
-    total = sum(WEIGHTS[k] for k in parts)
-    return F.round(sum((f(text) * WEIGHTS[k] for k, f in parts.items()), F.lit(0.0)) / total, 1)
+def with_overall(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with overall: the weighted mean of the first five dimensions, to one place."""
+    dimensions = {"completeness": completeness, "structure": structure, "readability": readability, "citation": citation, "depth": depth}
+    own, parts, names = with_parts(docs, text)
+    total = sum(WEIGHTS[k] for k in dimensions)
+    mean = reduce(Column.__add__, (f(F.col(text), parts) * WEIGHTS[k] for k, f in dimensions.items()), F.lit(0.0)) / total
+    return own.withColumn("overall", F.round(mean, 1)).drop(*names)
 
 
 # Words without content of their own.
@@ -75,14 +109,10 @@ STYLE_RULES = (("deep_heading", r"^#{4,}\s", 5), ("empty_heading", r"^#+\s*$", 1
 MAX_PENALTY, CITATION_PENALTY = 40, 5
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(?U)[\w\x{4e00}-\x{9fff}]{2,}"), 0)
-
-
-def substance(text: Column) -> Column:
+def substance(text: Column, parts: Parts | None = None) -> Column:
     """Share of content words, likeness of neighbouring paragraphs, and whether a digit, code or list occurs."""
-    paras = paragraphs(text)
-    words = tokens(text)
+    parts = parts or Parts.of(text)
+    paras, words = parts.paragraphs, parts.tokens
     density = F.size(F.filter(words, lambda w: ~F.lower(w).isin(*HOLLOW_WORDS))) / F.greatest(F.size(words), F.lit(1))
     sets = F.transform(paras, lambda p: F.array_distinct(tokens(p)))
     alike = lambda a, b: F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
@@ -106,13 +136,13 @@ def topic_tokens(queries: list[str]) -> tuple[list[str], list[str]]:
     return keep(found + names), keep(names)
 
 
-def topic_relevance(text: Column, queries: list[str]) -> Column:
+def topic_relevance(text: Column, queries: list[str], parts: Parts | None = None) -> Column:
     """70 parts for tokens anywhere, 30 for those in the first 30 lines; 0 if a proper name is missing; 70 without tokens."""
     every, names = topic_tokens(queries)
     if not every:
         return F.lit(70.0)
-    low = F.lower(text)
-    head = F.array_join(F.slice(F.split(low, "\n", -1), 1, 30), "\n")
+    parts = parts or Parts.of(text)
+    low, head = parts.lowered, parts.head
     share = lambda where: sum((where.contains(t).cast("int") for t in every), F.lit(0)) / F.lit(float(len(every)))
     score = F.round(F.least(F.lit(100.0), share(low) * 70 + share(head) * 30), 1)
     for name in names:
@@ -167,9 +197,9 @@ class Profile:
             most_generations=int(own.get("max_regenerations", default.most_generations)),
         )
 
-    def dimensions(self, text: Column, queries: list[str]) -> dict[str, Column]:
-        parts = {"completeness": completeness, "structure": structure, "readability": readability, "citation": citation, "depth": depth, "substance": substance}
-        return {name: f(text).cast("double") for name, f in parts.items()} | {"topic_relevance": topic_relevance(text, queries).cast("double")}
+    def dimensions(self, text: Column, queries: list[str], parts: Parts | None = None) -> dict[str, Column]:
+        every = {"completeness": completeness, "structure": structure, "readability": readability, "citation": citation, "depth": depth, "substance": substance}
+        return {name: f(text, parts).cast("double") for name, f in every.items()} | {"topic_relevance": topic_relevance(text, queries, parts).cast("double")}
 
     def penalty(self, text: Column) -> Column:
         style = reduce(lambda a, rule: a + F.when(text.rlike(rule[1]), float(rule[2])).otherwise(0.0), self.rules, F.lit(0.0))
@@ -185,8 +215,14 @@ class Profile:
             mean = reduce(Column.__add__, scores.values(), F.lit(0.0)) / len(scores)
         return F.round(F.greatest(F.lit(0.0), mean - penalty), 1)
 
-    def verdict(self, text: Column, queries: list[str], generation: Column) -> list[Column]:
-        """All dimensions, penalty, overall, needs_regenerate (below the threshold) and can_regenerate (and generations are left)."""
-        scores, penalty = self.dimensions(text, queries), self.penalty(text)
-        overall = self.overall(scores, penalty)
-        return [*(c.alias(n) for n, c in scores.items()), penalty.alias("penalty"), overall.alias("overall"), (overall < self.threshold).alias("needs_regenerate"), ((overall < self.threshold) & (generation < self.most_generations)).alias("can_regenerate")]
+    def verdict(self, docs: DataFrame, text: str, queries: list[str], generation: Column) -> DataFrame:
+        """``docs`` with all dimensions, penalty, overall, needs_regenerate (below the threshold) and can_regenerate (and generations are left).
+
+        Parts, dimensions and overall are columns one after the other: each is computed once.
+        """
+        own, parts, names = with_parts(docs, text)
+        scores = self.dimensions(F.col(text), queries, parts)
+        own = own.withColumns(scores | {"penalty": self.penalty(F.col(text))})
+        own = own.withColumn("overall", self.overall({n: F.col(n) for n in scores}, F.col("penalty")))
+        below = F.col("overall") < self.threshold
+        return own.withColumns({"needs_regenerate": below, "can_regenerate": below & (generation < self.most_generations)}).drop(*names)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium import __main__ as cli
-from scriptorium.operators import versions
+from scriptorium.operators import scans, versions
 from scriptorium.plans import planner, runner
 from scriptorium.sources import engines, files, tables, writes
 from scriptorium.streaming import bus, control
@@ -123,7 +123,7 @@ def events(spark, seconds, ok):
 @pytest.mark.parametrize("machine", [control.bucket(0.5, 2), control.breaker(2, 60), control.provider(2, 60)])
 def test_streams_keep_their_state_over_restarts(spark, tmp_path, machine):
     whole = events(spark, [0, 1, 2, 3, 70, 71, 140, 141], [False, False, True, True, False, True, True, False])
-    want = control._run(whole, "key", "ts", ["ts", "id"], "ok", machine)
+    want = scans.replay(whole, "key", "ts", ["ts", "id"], "ok", machine)
     out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
     for part in ("id < 3", "id >= 3"):
         whole.filter(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))

@@ -159,7 +159,7 @@ GOOD = (
 
 def test_gate_rejects_watery_and_passes_good(spark):
     docs = spark.createDataFrame([(0, WATERY), (1, GOOD)], "n long, text string")
-    bad, good = docs.select("n", *quality.Profile().verdict(F.col("text"), ["Python"], F.lit(0))).orderBy("n").collect()
+    bad, good = quality.Profile().verdict(docs, "text", ["Python"], F.lit(0)).orderBy("n").collect()
     assert bad.overall < 70 and bad.needs_regenerate and bad.can_regenerate
     assert good.overall >= 70 and not good.needs_regenerate and not good.can_regenerate
     profile = quality.Profile.of({"weights": {}, "threshold": 10, "style_rules": []}, threshold=99)
