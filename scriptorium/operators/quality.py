@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, fields
 from functools import reduce
 from typing import Any
@@ -64,12 +64,34 @@ class Parts:
     tokens: Column
     lowered: Column
     head: Column
+    sets: Column
+    likeness: Column
 
     @classmethod
-    def of(cls, text: Column) -> Parts:
-        """``head``: the first 30 lines, lower-cased."""
-        low = F.lower(text)
-        return cls(paragraphs(text), levels(text), links(text), tokens(text), low, F.array_join(F.slice(F.split(low, "\n", -1), 1, 30), "\n"))
+    def of(cls, text: Column, bind: Callable[[str, Column], Column] = lambda _, column: column) -> Parts:
+        """``head``: the first 30 lines, lower-cased; ``sets``: each paragraph's tokens; ``likeness``: of the two neighbouring paragraphs most alike.
+
+        ``bind`` names a part before others build on it.
+        """
+        own: dict[str, Column] = {}
+        for name, make in (
+            ("paragraphs", lambda: paragraphs(text)),
+            ("levels", lambda: levels(text)),
+            ("links", lambda: links(text)),
+            ("tokens", lambda: tokens(text)),
+            ("lowered", lambda: F.lower(text)),
+            ("head", lambda: F.array_join(F.slice(F.split(own["lowered"], "\n", -1), 1, 30), "\n")),
+            ("sets", lambda: F.transform(own["paragraphs"], lambda p: F.array_distinct(tokens(p)))),
+            ("likeness", lambda: likeness(own["sets"])),
+        ):
+            own[name] = bind(name, make())
+        return cls(**own)
+
+
+def likeness(sets: Column) -> Column:
+    """The largest Jaccard similarity of neighbouring sets; 0 without two."""
+    alike = lambda a, b: F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
+    return F.coalesce(F.array_max(F.zip_with(sets, F.slice(sets, F.lit(2), F.size(sets)), lambda a, b: F.coalesce(alike(a, b), F.lit(0.0)))), F.lit(0.0))
 
 
 def citation(text: Column, parts: Parts | None = None) -> Column:
@@ -86,10 +108,15 @@ def depth(text: Column, parts: Parts | None = None) -> Column:
 
 def with_parts(docs: DataFrame, text: str) -> tuple[DataFrame, Parts, list[str]]:
     """``docs`` with a column for each of the parts, so that a text is cut once however many dimensions read it; the parts, and the columns' names."""
-    names = fresh(docs, *(f.name for f in fields(Parts)))
-    parts = Parts.of(F.col(text))
-    own = docs.withColumns({n: getattr(parts, f.name) for n, f in zip(names, fields(Parts), strict=True)})
-    return own, Parts(*map(F.col, names)), names
+    names = dict(zip((f.name for f in fields(Parts)), fresh(docs, *(f.name for f in fields(Parts))), strict=True))
+
+    def bind(name: str, column: Column) -> Column:
+        nonlocal docs
+        docs = docs.withColumn(names[name], column)
+        return F.col(names[name])
+
+    parts = Parts.of(F.col(text), bind)
+    return docs, parts, list(names.values())
 
 
 def with_overall(docs: DataFrame, text: str) -> DataFrame:
@@ -114,9 +141,7 @@ def substance(text: Column, parts: Parts | None = None) -> Column:
     parts = parts or Parts.of(text)
     paras, words = parts.paragraphs, parts.tokens
     density = F.size(F.filter(words, lambda w: ~F.lower(w).isin(*HOLLOW_WORDS))) / F.greatest(F.size(words), F.lit(1))
-    sets = F.transform(paras, lambda p: F.array_distinct(tokens(p)))
-    alike = lambda a, b: F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
-    most = F.coalesce(F.array_max(F.zip_with(sets, F.slice(sets, F.lit(2), F.size(sets)), lambda a, b: F.coalesce(alike(a, b), F.lit(0.0)))), F.lit(0.0))
+    most = parts.likeness
     lost = F.when((F.size(words) > 0) & (density < 0.4), 25 * (0.4 - density) / 0.4).otherwise(0.0) + F.when(most > 0.6, 30 * (most - 0.6) / 0.4).otherwise(0.0)
     bare = ~(text.rlike(r"\p{Nd}") | text.contains("```") | text.rlike(r"(?m)^\s*[-*]\s"))
     return F.when(F.size(paras) == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 100 - lost - F.when(bare, 20).otherwise(0)))
