@@ -533,4 +533,4 @@ def section_top3(spark, sf_dir):
 
 
 # Further modules register their queries when they are imported.
-from scriptorium import catalog_build, catalog_ops, catalog_search, catalog_text  # noqa: E402, F401
+from scriptorium import catalog_build, catalog_ops, catalog_search, catalog_text, catalog_time  # noqa: E402, F401

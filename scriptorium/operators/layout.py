@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -135,3 +135,40 @@ def check_counts(text: Column, min_headings: int = 3, max_bytes: int = 10 << 20)
 
 def check_status(fatal: Column, severe: Column) -> Column:
     return F.when(fatal > 0, "blocked").when(severe > 0, "fail").otherwise("pass")
+
+
+# How far a border looks back, how deep it may stand, how much deeper text ends the search, and by how much it must be narrower.
+LOOK_BACK, MOST_INDENT, DEEPER, NARROWER = 50, 10, 5, 2
+_WIDE = r"[\x{4e00}-\x{9fff}]"
+
+
+def border_targets(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, width, target, narrow) of the borders inside fences: ``target`` is the width of the nearest line with Chinese text before it.
+
+    None behind a fence, behind text that stands more than five columns deeper, or further than fifty lines. Windows over a text's lines only: the
+    fences so far tell whether a line is inside, and the last line of each kind within the frame which is nearest. Each row of ``docs`` counts for itself.
+    """
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    own = numbered.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    line = F.regexp_replace("line", "\r+$", "")
+    bare = F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
+    own = own.select("doc_id", "row", "at", bare.alias("bare"), (F.length(line) - F.length(F.ltrim(line))).alias("indent"))
+    border = (F.length("bare") >= 5) & F.col("bare").contains("+") & F.col("bare").contains("-") & ~F.col("bare").contains("|") & ~F.col("bare").rlike(_WIDE)
+    kind = F.when(F.col("bare").startswith("```"), "fence").when(F.col("bare") == "", "blank").when(border, "border").when(F.col("bare").rlike(_WIDE), "wide").otherwise("text")
+    width = F.length("bare") + F.regexp_count("bare", F.lit(_WIDE)) + F.regexp_count("bare", F.lit(r"[\x{10000}-\x{10ffff}]"))
+    own = own.withColumns({"kind": kind, "width": width})
+    lines_of = Window.partitionBy("row").orderBy("at")
+    so_far, before = lines_of.rowsBetween(Window.unboundedPreceding, 0), lines_of.rowsBetween(-LOOK_BACK, -1)
+    last = lambda c: F.max(F.when(c, F.col("at"))).over(before)
+    deeper = [last((F.col("kind") == "text") & (F.col("indent") > i + DEEPER)) for i in range(MOST_INDENT + 1)]
+    own = own.withColumns({
+        "inside": F.sum((F.col("kind") == "fence").cast("int")).over(so_far) % 2 == 1,
+        "fence": last(F.col("kind") == "fence"),
+        "deeper": F.array(*deeper),
+        "wide": F.last(F.when(F.col("kind") == "wide", F.struct("at", "width")), True).over(before),
+    })
+    own = own.filter((F.col("kind") == "border") & F.col("inside") & (F.col("indent") <= MOST_INDENT))
+    stop = F.greatest(F.coalesce("fence", F.lit(-1)), F.coalesce(F.element_at("deeper", F.col("indent") + 1), F.lit(-1)))
+    target = F.when(F.col("wide.at") > stop, F.col("wide.width")).cast("long")
+    own = own.select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), F.col("width").cast("long").alias("width"), target.alias("target"))
+    return own.withColumn("narrow", F.coalesce(F.col("width") < F.col("target") - NARROWER, F.lit(False)))

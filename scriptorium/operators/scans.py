@@ -1,11 +1,12 @@
 """Ordered scans over keyed rows, split by ranges so that a key that holds most rows isn't one task.
 
 Rows are dealt and sorted by (key, order), so that a large key covers several neighbouring partitions, its segments. There are
-two ways across the borders:
+three ways across the borders:
 
 * ``running``: clamped sums. A row is a function ``x -> min(high, max(low, x + change))``; such functions compose to one of
   their own form, so every row gets the function of its segment so far, and the segments' functions, one a partition,
   give each segment's start.
+* ``carried``: running aggregates, whose value for each key and range is carried on.
 * ``replay``: any state machine. All segments run at once from the start state; then those that a different state
   reaches run again from it, until none changes. Most machines forget their start (a bucket runs full, a breaker
   closes), so few segments run twice; in the worst case there are as many rounds as a key has segments.
@@ -22,7 +23,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -98,6 +99,35 @@ def running(rows: DataFrame, key: str, order: list[str | Column], change: str, n
     return found.withColumn(name, value.cast("long")).select(*[c for c in table.columns if c not in names], name)
 
 
+# -- running aggregates ------------------------------------------------------------------------
+
+#: How a running value is made, in a range and over the ranges before it, and how the two meet.
+FOLDS = {
+    "last": (lambda c: F.last(c, True), lambda before, own: F.coalesce(own, before)),
+    "max": (F.max, lambda before, own: F.greatest(before, own)),
+    "min": (F.min, lambda before, own: F.least(before, own)),
+}
+
+
+def carried(rows: DataFrame, key: str, order: list[str], value: str, name: str, fold: str = "last", inclusive: bool = True) -> DataFrame:
+    """``rows`` with ``name``: the last non-null, the largest or the least ``value`` so far within ``key`` by ``order`` (columns, ascending, nulls first).
+
+    Expressions only: windows run within ranges, and one row of each key and range carries on. Not ``inclusive``: of the rows
+    before. A null key is a key; rows of equal order are taken one after the other.
+    """
+    make, meet = FOLDS[fold]
+    segment, at, of, from_segment, before = fresh(rows, "segment", "at", "of", "from_segment", "before")
+    table = stored(ranges(rows, key, order).withColumn(segment, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id()), "carried")
+    within = Window.partitionBy(segment, key).orderBy(at).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    total = F.max_by(value, F.when(F.col(value).isNotNull(), F.col(at))) if fold == "last" else make(value)
+    totals = table.groupBy(F.col(key).alias(of), F.col(segment).alias(from_segment)).agg(total.alias("total"))
+    above = make("total").over(Window.partitionBy(of).orderBy(from_segment).rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select(of, from_segment, above.alias(before)).filter(F.col(before).isNotNull())
+    found = table.withColumn(name, make(value).over(within))
+    found = found.join(totals, F.col(key).eqNullSafe(F.col(of)) & (F.col(segment) == F.col(from_segment)), "left")
+    return found.withColumn(name, meet(F.col(before), F.col(name))).select(*rows.columns, name)
+
+
 # -- state machines ----------------------------------------------------------------------------
 
 

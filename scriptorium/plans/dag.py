@@ -1,9 +1,14 @@
-"""Pipeline graphs: expansion of pools, levels, cycles. Runs on the driver: a plan has a few nodes."""
+"""Pipeline graphs: expansion of pools, levels, cycles. One plan, with its few nodes, is handled on the driver; tables of plans by a recursive query."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from scriptorium.tables import stored
+
 
 @dataclass(frozen=True)
 class Node:
@@ -32,3 +37,26 @@ def levels(nodes: list[Node]) -> list[list[str]]:
         out.append(ready)
         done.update(ready)
     return out
+
+
+def level_table(nodes: DataFrame, edges: DataFrame, plan: str, most: int = 64) -> DataFrame:
+    """(plan, node, level) of many plans at once, out of tables: ``nodes`` (plan, node) and ``edges`` (plan, node, dependency).
+
+    A recursive query walks from the nodes without dependencies; a node's level is its longest way. ValueError for an unknown
+    dependency, a cycle, or a way of more than ``most`` steps. It walks every way, so it suits plans, whose nodes have few.
+    """
+    spark = nodes.sparkSession
+    nodes, edges = nodes.select(F.col(plan).alias("plan"), "node").distinct(), edges.select(F.col(plan).alias("plan"), "node", "dependency").distinct()
+    unknown = edges.join(nodes.withColumnRenamed("node", "dependency"), ["plan", "dependency"], "left_anti")
+    if row := unknown.first():
+        raise ValueError(f"unknown dependency {row['dependency']!r} in plan {row['plan']!r}")
+    sql = f"""WITH RECURSIVE walk(plan, node, level) MAX RECURSION LEVEL {most + 3} AS (
+      SELECT n.plan, n.node, 0 FROM {{nodes}} n LEFT ANTI JOIN {{edges}} e ON n.plan <=> e.plan AND n.node = e.node
+      UNION ALL SELECT e.plan, e.node, w.level + 1 FROM walk w JOIN {{edges}} e ON e.plan <=> w.plan AND e.dependency = w.node WHERE w.level <= {most}
+    ) SELECT plan, node, max(level) AS level FROM walk GROUP BY plan, node"""
+    found = stored(spark.sql(sql, nodes=nodes, edges=edges), "levels")
+    # Nodes that no way reaches, or one that never ends.
+    stuck = nodes.join(found.filter(F.col("level") <= most), ["plan", "node"], "left_anti")
+    if row := stuck.first():
+        raise ValueError(f"cycle, or a way of more than {most} steps, in plan {row['plan']!r} at {row['node']!r}")
+    return found.withColumnRenamed("plan", plan)
