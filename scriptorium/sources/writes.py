@@ -10,10 +10,11 @@ import shutil
 import time
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
+from itertools import islice
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from scriptorium.operators import monitor, versions
@@ -141,17 +142,18 @@ def write_log(stream: DataFrame, path: str, checkpoint: str, time_column: str =
 
 
 def call_hooks(stream: DataFrame, hooks: Mapping[str, Callable[[list[dict]], None]], event: str, checkpoint: str, most: int = 10_000):
-    """Each micro-batch's events to the senders whose patterns match, ``most`` a pattern and batch at once: a sender is called as often as it takes."""
+    """Each micro-batch's events to the senders whose patterns match, ``most`` at once. Senders run on the executors, once or more a task, so they must pickle."""
+
+    def sending(sender: Callable[[list[dict]], None]):
+        def send(rows: Iterable[Row]) -> None:
+            rows = iter(rows)
+            while part := [r.asDict() for r in islice(rows, most)]:
+                sender(part)
+
+        return send
 
     def send(batch: DataFrame, _: int) -> None:
         for pattern, sender in hooks.items():
-            part: list[dict] = []
-            for row in batch.filter(monitor.hook_matches(F.col(event), F.lit(pattern))).toLocalIterator():
-                part.append(row.asDict())
-                if len(part) == most:
-                    sender(part)
-                    part = []
-            if part:
-                sender(part)
+            batch.filter(monitor.hook_matches(F.col(event), F.lit(pattern))).foreachPartition(sending(sender))
 
     return stream.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

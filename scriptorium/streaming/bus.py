@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from scriptorium.tables import stored
+
 Handler = Callable[[DataFrame], DataFrame]
 LETTERS = "msg_id string, topic string, payload string, subscriber string, replay_count int"
+OUTCOMES = "msg_id string, subscriber string, replay_count int, failed boolean"
 
 
 class Bus:
@@ -47,23 +50,42 @@ class Bus:
     def delivered(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/delivered")
 
-    def letters(self) -> DataFrame:
-        """One row for each message and subscriber that failed."""
+    def _read(self, folder: str, schema: str) -> DataFrame:
         try:
-            found = self.spark.read.schema(LETTERS).parquet(f"{self.folder}/letters")
+            found = self.spark.read.schema(schema).parquet(f"{self.folder}/{folder}")
         except Exception as problem:
             if "PATH_NOT_FOUND" not in str(problem):
                 raise
-            return self.spark.createDataFrame([], LETTERS)
-        return found.select(*(x.split()[0] for x in LETTERS.split(", ")))
+            return self.spark.createDataFrame([], schema)
+        return found.select(*(x.split()[0] for x in schema.split(", ")))
 
-    def replay(self) -> DataFrame:
-        """Hand each dead letter to its subscriber again; those that fail once more, with their count raised."""
-        left = None
-        letters = self.letters()
-        for topic, _, name, handler in self.handlers:
+    def letters(self) -> DataFrame:
+        """One row for each message and subscriber that failed and hasn't been replayed with success since, with the number of its replays."""
+        outcomes = self._read("replays", OUTCOMES).groupBy("msg_id", "subscriber").agg(F.max("replay_count").alias("replays"), F.bool_and("failed").alias("open"))
+        own = self._read("letters", LETTERS).join(outcomes, ["msg_id", "subscriber"], "left").filter(F.coalesce("open", F.lit(True)))
+        return own.select("msg_id", "topic", "payload", "subscriber", F.coalesce("replays", "replay_count").alias("replay_count"))
+
+    def replay(self, most: int | None = None) -> DataFrame:
+        """Hand each dead letter, with fewer than ``most`` replays so far if given, to its subscriber again; those that are left.
+
+        The outcomes are a table of their own: a letter that succeeds is settled, one that fails comes with its count raised next time. A
+        replay that breaks off is as if it had not been, but for what its handlers have done.
+        """
+        done = self._read("replays", f"{OUTCOMES}, number int")
+        number = (done.agg(F.max("number")).first()[0] or 0) + 1
+        letters = self.letters() if most is None else self.letters().filter(F.col("replay_count") < most)
+        parts = []
+        for i, (topic, _, name, handler) in enumerate(self.handlers):
             own = letters.filter((F.col("topic") == topic) & (F.col("subscriber") == name))
-            failed = own.join(handler(own.select("msg_id", "topic", "payload")).select("msg_id").distinct(), "msg_id", "left_semi")
-            failed = failed.withColumn("replay_count", F.col("replay_count") + 1)
-            left = failed if left is None else left.unionByName(failed)
-        return letters.limit(0) if left is None else left
+            try:
+                failed = handler(own.select("msg_id", "topic", "payload")).select("msg_id").distinct().withColumn("failed", F.lit(True))
+                outcome = own.join(failed, "msg_id", "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
+                parts.append(self._outcome(outcome, f"{number}-{i}"))
+            except Exception:
+                parts.append(self._outcome(own.withColumn("failed", F.lit(True)), f"{number}-{i}"))
+        for i, part in enumerate(parts):
+            part.write.mode("overwrite").parquet(f"{self.folder}/replays/number={number}/part={i}")
+        return self.letters()
+
+    def _outcome(self, rows: DataFrame, label: str) -> DataFrame:
+        return stored(rows.select("msg_id", "subscriber", (F.col("replay_count") + 1).alias("replay_count"), "failed"), f"replay-{label}")
