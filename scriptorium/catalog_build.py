@@ -122,11 +122,11 @@ def transition_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", build.transition(pick(F.col("doc_id")), pick(F.floor(F.col("doc_id") / 6))).alias("sentence"))
 
 
-@register(rf"""WITH d AS (SELECT doc_id, source AS title, CASE doc_id % 3 WHEN 0 THEN '# ' || source || chr(10) || left(text, 99) || chr(10) || '## 参考资料' || chr(10) || ' ' WHEN 1 THEN 'x' || chr(10) || '## 参考资料' || chr(10) || chr(10) || '## Next' || chr(10) || left(text, 99) ELSE left(text, 99) END AS text FROM documents),
+@register(rf"""WITH d AS (SELECT doc_id, source AS title, CASE doc_id % 3 WHEN 0 THEN '# ' || source || chr(10) || text || chr(10) || '## 参考资料' || chr(10) || ' ' WHEN 1 THEN 'x' || chr(10) || '## 参考资料' || chr(10) || chr(10) || '## Next' || chr(10) || text ELSE text END AS text FROM documents),
 e AS (SELECT doc_id, title, {_STRIP(rf"regexp_replace(regexp_replace(text, '\n## 参考资料\n{_BLANK}*\z', ''), '\n## 参考资料{_BLANK}*\n(## )', {chr(39)}{chr(10)}\1{chr(39)}, 'g')")} AS text FROM d)
 SELECT doc_id, CASE WHEN starts_with(text, '# ' || title) THEN text ELSE '# ' || title || chr(10) || chr(10) || text END AS text FROM e""")
 def tidy_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ends = "CASE doc_id % 3 WHEN 0 THEN concat('# ', source, '\n', left(text, 99), '\n## 参考资料\n ') WHEN 1 THEN concat('x\n## 参考资料\n\n## Next\n', left(text, 99)) ELSE left(text, 99) END AS text"
+    ends = "CASE doc_id % 3 WHEN 0 THEN concat('# ', source, '\n', text, '\n## 参考资料\n ') WHEN 1 THEN concat('x\n## 参考资料\n\n## Next\n', text) ELSE text END AS text"
     docs = load(spark, sf_dir, "documents").selectExpr("doc_id", "source AS title", ends)
     return docs.select("doc_id", build.tidy_references(F.col("text"), F.col("title")).alias("text"))
 

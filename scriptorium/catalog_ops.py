@@ -58,10 +58,15 @@ def cost_cleanup(spark, sf_dir):
     return monitor.kept_since(_events(spark, sf_dir).select("event_id", "ts"), "ts", 7).select("event_id")
 
 
-@register(r"SELECT doc_id, CASE WHEN length(t) = 0 THEN 0 ELSE cjk // 2 + (length(t) - cjk) // 4 + 1 END::BIGINT AS tokens FROM (SELECT doc_id, t, length(t) - length(regexp_replace(t, '[\x{4e00}-\x{9fff}]', '', 'g')) AS cjk FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN '你好世界' || left(text, doc_id % 7) ELSE '' END AS t FROM documents))")
+#: Each text as it is, and with its vowels as Chinese characters.
+_ESTIMATE = r"CASE WHEN length({t}) = 0 THEN 0 ELSE ({c}) // 2 + (length({t}) - ({c})) // 4 + 1 END::BIGINT"
+_CJK_OF = r"length({t}) - length(regexp_replace({t}, '[\x{{4e00}}-\x{{9fff}}]', '', 'g'))"
+
+
+@register("SELECT doc_id, " + ", ".join(f"{_ESTIMATE.format(t=t, c=_CJK_OF.format(t=t))} AS {n}" for n, t in (("tokens", "t"), ("mixed", "m"))) + " FROM (SELECT doc_id, text AS t, translate(text, 'aeiou', '你好世界们') AS m FROM documents)")
 def token_estimate(spark, sf_dir):
-    text = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("你好世界"), F.left("text", (F.col("doc_id") % 7).cast("int")))).otherwise("")
-    return load(spark, sf_dir, "documents").select("doc_id", monitor.token_estimate(text).alias("tokens"))
+    docs = load(spark, sf_dir, "documents")
+    return docs.select("doc_id", monitor.token_estimate(F.col("text")).alias("tokens"), monitor.token_estimate(F.translate("text", "aeiou", "你好世界们")).alias("mixed"))
 
 
 # -- quality feedback --------------------------------------------------------------------------
@@ -175,12 +180,12 @@ def _split(columns: str) -> list[str]:
     return out
 
 
-@register("""WITH e AS (SELECT * FROM (VALUES ('fetch', 'research', 0), ('write', 'fetch', 0), ('write', 'research', 1), ('gate', 'write', 0)) t(node, dependency, n)), r AS (SELECT CASE conv_id % 3 WHEN 0 THEN 'research_pool_' || turn WHEN 1 THEN 'fetch' ELSE 'write' END AS node, conv_id::VARCHAR || '.' || turn AS value FROM conversations WHERE conv_id < 9)
-SELECT e.node, string_agg(value, ',' ORDER BY n, r.node, value) AS inputs FROM e JOIN r ON split_part(r.node, '_pool_', 1) = dependency GROUP BY e.node""")
+@register("""WITH e AS (SELECT * FROM (VALUES ('fetch', 'research', 0), ('write', 'fetch', 0), ('write', 'research', 1), ('gate', 'write', 0)) t(node, dependency, n)), r AS (SELECT CASE conv_id % 3 WHEN 0 THEN 'research_pool_' || turn WHEN 1 THEN 'fetch' ELSE 'write' END AS node, conv_id::VARCHAR || '.' || turn AS value FROM conversations)
+SELECT e.node, n AS "at", r.node AS "of", value FROM e JOIN r ON split_part(r.node, '_pool_', 1) = dependency""")
 def dep_collect(spark, sf_dir):
-    """Results of the first nine conversations as inputs of four nodes."""
+    """Turns of all conversations as results, and as inputs of four nodes."""
     edges = spark.createDataFrame([("fetch", "research", 0), ("write", "fetch", 0), ("write", "research", 1), ("gate", "write", 0)], "node string, dependency string, at int")
-    results = load(spark, sf_dir, "conversations").filter("conv_id < 9").selectExpr("CASE conv_id % 3 WHEN 0 THEN 'research_pool_' || turn WHEN 1 THEN 'fetch' ELSE 'write' END AS node", "conv_id || '.' || turn AS value")
+    results = load(spark, sf_dir, "conversations").selectExpr("CASE conv_id % 3 WHEN 0 THEN 'research_pool_' || turn WHEN 1 THEN 'fetch' ELSE 'write' END AS node", "conv_id || '.' || turn AS value")
     return monitor.dependency_inputs(edges, results)
 
 

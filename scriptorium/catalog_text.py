@@ -134,9 +134,9 @@ def enhanced_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MIXED = "CASE doc_id % 3 WHEN 0 THEN replace(text, chr(10), chr(13) || chr(10)) WHEN 1 THEN replace(text, chr(10), chr(13)) ELSE text END"
 
 
-@register(f"SELECT doc_id, sha256(text) AS lf, sha256(replace(text, chr(10), chr(13) || chr(10))) AS crlf, sha256({_MIXED}) AS auto FROM documents WHERE NOT contains(text, chr(13))")
+@register(f"SELECT doc_id, sha256(t) AS lf, sha256(replace(t, chr(10), chr(13) || chr(10))) AS crlf, sha256({_MIXED}) AS auto FROM (SELECT doc_id, text, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents)")
 def newline_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").filter(~F.col("text").contains("\r")).withColumn("mixed", F.expr(_MIXED.replace("chr(", "char(")))
+    docs = load(spark, sf_dir, "documents").withColumn("mixed", F.expr(_MIXED.replace("chr(", "char(")))
     return docs.select("doc_id", *(F.sha2(values.newlines(F.col("mixed"), m), 256).alias(m) for m in ("lf", "crlf", "auto")))
 
 
@@ -145,11 +145,12 @@ def byte_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", values.byte_width(F.concat("text", F.lit("漢字（全）😀"))).cast("long").alias("width"))
 
 
-@register("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'T' || doc_id WHEN 1 THEN NULL ELSE NULL END AS title FROM documents""")
+@register("SELECT event_id, CASE WHEN value >= 10 THEN json_extract_string(props, '$.k') END AS k FROM events")
 def json_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The title of an object inside a model's answer: sound, broken, absent by turns."""
-    answer = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Here:\n{\"title\": \"T"), F.col("doc_id").cast("string"), F.lit("\", \"x\": {\"y\": 1}}\nDone"))).when(F.col("doc_id") % 3 == 1, F.lit("so {\"title\": \"x\" and")).otherwise("none")
-    return load(spark, sf_dir, "documents").select("doc_id", F.get_json_object(values.rescued_json(answer), "$.title").alias("title"))
+    """The key in the object inside each event's line; objects of events below ten are cut off before their brace."""
+    held = F.when(F.col("value") >= 10, F.col("props")).otherwise(F.expr("left(props, length(props) - 1)"))
+    answer = F.concat(F.lit("Here:\n"), "event_type", F.lit(" "), held, F.lit("\nDone"))
+    return load(spark, sf_dir, "events").select("event_id", F.get_json_object(values.rescued_json(answer), "$.k").alias("k"))
 
 
 @register("""SELECT doc_id, left(sha256('{"a":"' || lang || '","b":"' || source || '","c":"' || doc_id || '"}'), 12) AS digest FROM documents""")
@@ -167,10 +168,15 @@ def weight_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", values.weighted_mean(scores, weights).alias("mean"))
 
 
-@register("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'bool' WHEN 1 THEN 'int' WHEN 2 THEN 'float' WHEN 3 THEN 'bool' ELSE 'str' END AS kind, CASE doc_id % 5 WHEN 0 THEN 'true' WHEN 1 THEN doc_id::VARCHAR WHEN 2 THEN doc_id || '.5' WHEN 3 THEN 'false' ELSE 'v' || doc_id END AS value FROM documents")
+_FIELDS = {"user": "CAST(user_id AS {text})", "value": "CAST(CAST(value AS DECIMAL(12,2)) AS {text})", "type": "event_type", "large": "CASE WHEN value >= 50 THEN 'On' ELSE ' no ' END", "props": "props"}
+
+
+@register("SELECT event_id, name, kind, CASE WHEN kind = 'bool' THEN (l = 'on')::VARCHAR WHEN kind = 'int' THEN l ELSE t END AS value FROM (SELECT *, CASE WHEN l IN ('on', 'no') THEN 'bool' WHEN regexp_full_match(l, '[0-9]+') THEN 'int' WHEN regexp_full_match(l, '[0-9]+[.][0-9]+') THEN 'float' ELSE 'str' END AS kind FROM (SELECT *, lower(trim(t)) AS l FROM (" + " UNION ALL ".join(f"SELECT event_id, '{n}' AS name, {e.format(text='VARCHAR')} AS t FROM events" for n, e in _FIELDS.items()) + ")))")
 def env_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.expr("CASE doc_id % 5 WHEN 0 THEN 'Yes' WHEN 1 THEN ' ' || doc_id || ' ' WHEN 2 THEN doc_id || '.5' WHEN 3 THEN 'OFF' ELSE 'v' || doc_id END")
-    return load(spark, sf_dir, "documents").select("doc_id", values.coerced(text).alias("c")).select("doc_id", "c.*")
+    """Every field of every event as a setting's text, and what it is read as."""
+    fields = F.array(*(F.struct(F.lit(n).alias("name"), F.expr(e.format(text="STRING")).alias("t")) for n, e in _FIELDS.items()))
+    own = load(spark, sf_dir, "events").select("event_id", F.inline(fields))
+    return own.select("event_id", "name", values.coerced(F.col("t")).alias("c")).select("event_id", "name", "c.*")
 
 
 @register("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'A_API_KEY' WHEN 1 THEN 'A_API_KEY,B_TOKEN' ELSE '' END AS names FROM documents")

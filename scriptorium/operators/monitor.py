@@ -147,10 +147,10 @@ def pool_merge(results: DataFrame, node: str, extend: list[str]) -> DataFrame:
 
 
 def dependency_inputs(edges: DataFrame, results: DataFrame) -> DataFrame:
-    """(node, inputs): for each node of ``edges`` (node, dependency, at), its dependencies' results (node, value) in order; pool suffixes don't count."""
+    """(node, at, of, value): for each node of ``edges`` (node, dependency, at) a row for each result (node, value) of a dependency; pool suffixes don't count. A node's inputs in order are those by (at, of, value)."""
     plain = lambda c: F.regexp_replace(c, "_pool_.*$", "")
-    own = edges.select("node", "at", plain(F.col("dependency")).alias("base")).join(results.select(plain(F.col("node")).alias("base"), F.col("node").alias("of"), "value"), "base")
-    return own.groupBy("node").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "of", "value"))), lambda x: x["value"]), ",").alias("inputs"))
+    own = edges.select("node", "at", plain(F.col("dependency")).alias("base"))
+    return own.join(results.select(plain(F.col("node")).alias("base"), F.col("node").alias("of"), "value"), "base").select("node", "at", "of", "value")
 
 
 # -- messages ----------------------------------------------------------------------------------
