@@ -262,42 +262,11 @@ costs AS (SELECT conv_id, provider, prompt, completion, (prompt * pp + completio
 
 _SHARED = {
     "cost_by_provider": _CALLS + "SELECT provider, count(*) AS calls, CAST(sum(prompt) AS BIGINT) AS prompt_tokens, CAST(sum(completion) AS BIGINT) AS completion_tokens, CAST(sum(prompt + completion) AS BIGINT) AS total_tokens, round(sum(cost), 6) AS cost FROM costs GROUP BY provider",
-    "cost_by_task": _CALLS + "SELECT conv_id AS task_id, provider, round(cost, 6) AS cost FROM costs",
     "cost_summary": _CALLS + "SELECT count(*) AS calls, round(sum(cost), 4) AS total, round(10 - sum(cost), 4) AS remaining, sum(cost) > 10 AS exceeded FROM costs",
-    "queue_stats": "SELECT event_type AS status, count(*) AS n FROM {events} GROUP BY event_type",
-    "batch_summary": "SELECT count(*) AS total, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS done, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS failed, round(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 4) AS success_rate FROM {events}",
-    "weak_patterns": "SELECT lang AS dimension, count(*) AS n, round(avg(CAST(n_chars % 101 AS DOUBLE)), 1) AS avg_score, sum(CASE WHEN n_chars % 101 < 70 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) > 0.4 AS problematic FROM {documents} GROUP BY lang HAVING count(*) >= 3",
     "quality_totals": "SELECT count(*) AS n, count(DISTINCT source) AS tasks, round(avg(CAST(n_chars % 101 AS DOUBLE)), 4) AS avg_score FROM {documents}",
-    "version_history": "SELECT source AS file, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS version, doc_id, n_chars AS size FROM {documents}",
-    "version_prune": "SELECT file, version, doc_id FROM (SELECT source AS file, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS version, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS age FROM {documents}) AS v WHERE age <= 50",
-    "version_stats": "SELECT count(DISTINCT source) AS files, count(*) AS versions, CAST(sum(n_chars) AS BIGINT) AS total_chars FROM {documents}",
     "log_filter": "SELECT event_id, user_id, event_type FROM {events} WHERE event_type IN ('error', 'signup') AND ts >= TIMESTAMP '2024-01-10 00:00:00'",
-    "alert_recent": "SELECT event_id, user_id FROM (SELECT event_id, user_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS n FROM {events} WHERE event_type = 'error') AS r WHERE n <= 200",
-    "idempotent_dedup": "SELECT event_id, user_id, props FROM (SELECT event_id, user_id, props, row_number() OVER (PARTITION BY user_id, props ORDER BY ts, event_id) AS n FROM {events}) AS r WHERE n = 1",
-    "dlq_split": "SELECT event_id, event_type, event_type = 'error' AS dead FROM {events}",
-    "dlq_replay": "SELECT event_type, user_id, count(*) AS replayed, max(event_id) AS last_id FROM {events} WHERE event_type = 'error' GROUP BY event_type, user_id",
-    "sse_resume": "SELECT user_id, event_id FROM (SELECT e.user_id, e.event_id, c.last_id, row_number() OVER (PARTITION BY e.user_id ORDER BY e.event_id DESC) AS n FROM {events} AS e JOIN (SELECT user_id, min(event_id) AS last_id FROM {events} GROUP BY user_id) AS c ON e.user_id = c.user_id) AS r WHERE n <= 500 AND event_id > last_id",
-    "stream_metrics": "SELECT event_type, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM {events} GROUP BY event_type",
-    "rolling_latency": "SELECT event_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER w AS BIGINT) AS cents, count(*) OVER w AS n FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)",
-    "agent_health": "SELECT user_id AS agent, count(*) AS n, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors, count(*) > 10 AND sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) * 2 >= count(*) AS unhealthy FROM {events} GROUP BY user_id",
-    "backpressure_depth": "SELECT event_id, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) >= 400 AS busy FROM {events}",
-    "request_response": "SELECT q.conv_id, q.turn AS asked, min(a.turn) AS answered FROM {conversations} AS q JOIN {conversations} AS a ON q.conv_id = a.conv_id AND a.turn > q.turn WHERE q.role = 'user' AND a.role = 'assistant' GROUP BY q.conv_id, q.turn",
-    "pool_shard": "SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) % 3 AS shard FROM {conversations}",
-    "hook_match": "SELECT e.event_id, h.pattern FROM {events} AS e JOIN (SELECT * FROM (VALUES ('*'), ('error'), ('sign*')) AS t(pattern)) AS h ON h.pattern = '*' OR h.pattern = e.event_type OR (h.pattern LIKE '%*' AND e.event_type LIKE concat(substring(h.pattern, 1, length(h.pattern) - 1), '%'))",
-    "metrics_histogram": "SELECT CAST(le AS DOUBLE) AS le, count(*) AS n FROM {events} CROSS JOIN (SELECT * FROM (VALUES (0.5), (1.0), (2.5), (5.0), (10.0), (100.0)) AS t(le)) AS b WHERE value <= le GROUP BY le",
     "backup_tiered": "SELECT file, doc_id FROM (SELECT source AS file, doc_id, doc_id % 120 AS age, row_number() OVER (PARTITION BY source, CASE WHEN doc_id % 120 <= 30 THEN doc_id ELSE -1 END ORDER BY doc_id % 120, doc_id DESC) AS n FROM {documents} WHERE doc_id % 120 <= 90) AS r WHERE age <= 30 OR n = 1",
-    "write_validate": "SELECT doc_id, n_chars < 0.5 * before OR n_chars > 5 * before AS refused FROM (SELECT doc_id, n_chars, lag(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM {documents}) AS r WHERE before > 0",
-    "token_estimate": "SELECT doc_id, CASE WHEN n_chars = 0 THEN 0 ELSE CAST(floor(n_chars / CAST(4 AS DOUBLE)) AS BIGINT) + 1 END AS tokens FROM {documents}",
-    "retry_backoff": "SELECT event_id, least(120.0, CAST(power(2, event_id % 10) AS DOUBLE)) AS delay FROM {events} WHERE event_type = 'error'",
     "query_dedup": "SELECT conv_id, turn, query FROM (SELECT conv_id, turn, trim(text) AS query, row_number() OVER (PARTITION BY trim(text) ORDER BY conv_id, turn) AS n FROM {conversations} WHERE role = 'user' AND trim(text) <> '') AS r WHERE n = 1",
-    "queue_fifo": "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM {events} WHERE event_type NOT IN ('error', 'purchase')) AS r WHERE n = 1",
-    "queue_recover": "SELECT user_id, CASE status WHEN 'running' THEN 'pending' ELSE status END AS status FROM (SELECT user_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'done' ELSE 'running' END AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM {events}) AS r WHERE n = 1",
-    "batch_priority": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 10, event_id) AS place FROM {events}",
-    "cost_cleanup": "SELECT e.event_id FROM {events} AS e CROSS JOIN (SELECT max(ts) AS latest FROM {events}) AS m WHERE e.ts >= m.latest - INTERVAL '7' DAY",
-    "sse_buffer_drop": "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM {events}) AS r WHERE n <= 100",
-    "backup_ttl": "SELECT file, doc_id FROM (SELECT source AS file, doc_id, doc_id % 120 AS age, row_number() OVER (PARTITION BY source ORDER BY doc_id % 120, doc_id DESC) AS n FROM {documents}) AS r WHERE age <= 7 AND n <= 20",
-    "prometheus_text": "SELECT concat('events_total', chr(123), 'type=\"', event_type, '\"', chr(125), ' ', CAST(count(*) AS VARCHAR(20))) AS line FROM {events} GROUP BY event_type",
-    "message_metrics": "SELECT event_type AS topic, count(*) AS sent, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS failed, count(DISTINCT user_id) AS senders FROM {events} GROUP BY event_type",
     "chunk_dedup": "SELECT page_id, title FROM (SELECT page_id, title, row_number() OVER (PARTITION BY substring(lower(trim(title)), 1, 50) ORDER BY page_id) AS n FROM (SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM {pages}) AS t WHERE trim(title) <> '') AS r WHERE n = 1",
     "polish_gate": _MD.replace("FROM documents", "FROM {documents}") + "SELECT doc_id, length(text) >= 500 AND text LIKE '%](http%' AND length(concat(chr(10), text)) - length(replace(concat(chr(10), text), concat(chr(10), '## '), '')) >= 12 AS skip FROM md",
     "lint_p0": _MD.replace("FROM documents", "FROM {documents}") + "SELECT doc_id, CASE WHEN trim(text) = '' THEN 'content' ELSE 'size' END AS issue FROM md WHERE trim(text) = '' OR bit_length(text) > 8 * 10 * 1024 * 1024",
