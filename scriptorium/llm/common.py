@@ -83,14 +83,14 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, size: str, by: str,
 
 def hot_join(left: DataFrame, right: DataFrame, key: str, by: str, counted: DataFrame, rows: int, how: str = "inner") -> DataFrame:
     """As ``salted_join``, with the hot keys counted in the table ``counted``, whose ``rows`` ``left`` has; ``right`` isn't shuffled to learn them and may have several rows a key."""
-    hot = counted.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(256, rows // 1024))
-    # At most 1024 keys.
-    hot = F.broadcast(hot.select(F.col(key).alias("__hot")))
-    match = F.col(key) == F.col("__hot")
-    salt = F.when(F.col("__hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    copies = F.when(F.col("__hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    left = left.join(hot, match, "left").withColumn("__salt", salt).drop("__hot")
-    right = right.join(hot, match, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
+    found = counted.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(256, rows // 1024))
+    # At most 1024 keys: a list of values, so neither side is joined to mark them.
+    keys = [r[0] for r in found.select(key).collect()]
+    if not keys:
+        return left.join(right, key, how)
+    hot = F.col(key).isin(keys)
+    left = left.withColumn("__salt", F.when(hot, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0))
+    right = right.withColumn("__salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     return left.join(right, [key, "__salt"], how).drop("__salt")
 
 

@@ -4,7 +4,7 @@ import numpy as np
 
 from scriptorium.llm.fingerprint import digits, fingerprints, least_values, likeness, similarity_classes
 from scriptorium.llm.common import shingle_set
-from scriptorium.llm.queries import op5_fingerprints
+from scriptorium.llm.queries import op5_fingerprints, op5_similar_documents
 from tests.llm.helpers import brute_components, frame, shingles, table
 
 
@@ -55,3 +55,9 @@ def test_classes_find_links_between_two_others_of_a_band(spark):
     rows += [(201, " ".join([*base[:295], "x"])), (202, " ".join([*base[:293], "y"])), (203, " ".join([*base[:295], "x"])), (204, ""), (205, None)]
     got = {r.doc_id: r.class_id for r in similarity_classes(frame(spark, [*rows, (None, "no id")])).collect()}
     assert got.pop(None) is None and got == brute_components(rows, 80) and got[202] == got[203] == 201
+
+
+def test_similar_documents_of_the_table(spark, sf):
+    """All links of all pairs are found: recall 1 on this table."""
+    rows = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
+    assert {r.doc_id: r.class_id for r in op5_similar_documents(spark, sf).collect()} == brute_components(rows, 80)
