@@ -404,12 +404,21 @@ def alert_recent(spark, sf_dir):
 _LE = ", ".join(f"('{b}', {b}::DOUBLE)" for b in monitor.BUCKETS)
 
 
-@register(f"""WITH l AS (SELECT * FROM (SELECT event_type AS name, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 1000), b AS (SELECT * FROM (VALUES {_LE}) t(le, bound))
-SELECT name, le, count(*) FILTER (value <= bound)::DOUBLE AS n FROM l, b GROUP BY name, le UNION ALL SELECT name, '+Inf', count(*) FROM l GROUP BY name UNION ALL SELECT name, 'count', count(*) FROM l GROUP BY name UNION ALL SELECT name, 'sum', round(sum(value), 6) FROM l GROUP BY name""")
+_HISTOGRAM = f"""WITH l AS (SELECT * FROM (SELECT event_type AS name, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 1000), b AS (SELECT * FROM (VALUES {_LE}) t(le, bound))
+SELECT name, le, count(*) FILTER (value <= bound)::DOUBLE AS n FROM l, b GROUP BY name, le UNION ALL SELECT name, '+Inf', count(*) FROM l GROUP BY name UNION ALL SELECT name, 'count', count(*) FROM l GROUP BY name UNION ALL SELECT name, 'sum', round(sum(value), 6) FROM l GROUP BY name"""
+
+
+@register(_HISTOGRAM)
 def metrics_histogram(spark, sf_dir):
     return monitor.histogram(_events(spark, sf_dir), "event_type", "value", [F.desc("ts"), F.desc("event_id")])
 
 
+@register(f"""SELECT '# TYPE value histogram' AS line UNION ALL SELECT CASE le WHEN 'sum' THEN 'value_sum{{type="' || name || '"}} ' || CAST(n AS DECIMAL(18,2)) WHEN 'count' THEN 'value_count{{type="' || name || '"}} ' || n::BIGINT ELSE 'value_bucket{{type="' || name || '",le="' || le || '"}} ' || n::BIGINT END FROM ({_HISTOGRAM})""")
+def prometheus_histogram(spark, sf_dir):
+    rows = monitor.histogram(_events(spark, sf_dir), "event_type", "value", [F.desc("ts"), F.desc("event_id")])
+    return monitor.prometheus_histogram(rows, "value", "type")
+
+
 @register("""SELECT 'events_total{type="' || event_type || '"} ' || count(*) AS line FROM events GROUP BY event_type UNION ALL SELECT 'last_event{type="' || event_type || '"} ' || max(event_id) FROM events GROUP BY event_type UNION ALL SELECT '# TYPE events_total counter' UNION ALL SELECT '# TYPE last_event gauge'""")
 def prometheus_text(spark, sf_dir):
     own = _events(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
@@ -438,10 +447,10 @@ def startup_report(spark, sf_dir):
     return monitor.component_report(checks, "component", "status")
 
 
-@register("SELECT event_id, greatest(0.1, least(120.0::DOUBLE, power(2.0::DOUBLE, event_id % 10)))::DOUBLE AS exponential, greatest(0.1, least(120.0::DOUBLE, 15.0::DOUBLE * (event_id % 10 + 1)))::DOUBLE AS linear, (greatest(0.1, 0.01))::DOUBLE AS fixed FROM events WHERE event_type = 'error'")
+@register("SELECT event_id, greatest(0.1, least(120.0::DOUBLE, power(2.0::DOUBLE, event_id % 10)))::DOUBLE AS exponential, greatest(0.1, least(120.0::DOUBLE, 15.0::DOUBLE * (event_id % 10 + 1)))::DOUBLE AS linear, (greatest(0.1, 0.01))::DOUBLE AS fixed, round(greatest(0.1::DOUBLE, least(120.0::DOUBLE, power(2.0::DOUBLE, event_id % 10)) * (1.0::DOUBLE + ((event_id * 7919 + 42) % 2001 - 1000) / 1000 * 0.1::DOUBLE)), 6) AS jittered FROM events WHERE event_type = 'error'")
 def retry_backoff(spark, sf_dir):
     attempt = F.col("event_id") % 10 + 1
-    return _events(spark, sf_dir).filter("event_type = 'error'").select("event_id", monitor.backoff("exponential", attempt).alias("exponential"), monitor.backoff("linear", attempt, 15.0).alias("linear"), monitor.backoff("fixed", attempt, 0.01).alias("fixed"))
+    return _events(spark, sf_dir).filter("event_type = 'error'").select("event_id", monitor.backoff("exponential", attempt).alias("exponential"), monitor.backoff("linear", attempt, 15.0).alias("linear"), monitor.backoff("fixed", attempt, 0.01).alias("fixed"), F.round(monitor.backoff("exponential", attempt, jitter=monitor.seeded_jitter(F.col("event_id"), 42)), 6).alias("jittered"))
 
 
 # -- versions ----------------------------------------------------------------------------------

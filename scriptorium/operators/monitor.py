@@ -265,6 +265,16 @@ def prometheus(metrics: DataFrame, name: str, kind: str, label: str, value: str)
     return types.unionByName(metrics.select(sample.alias("line")))
 
 
+def prometheus_histogram(rows: DataFrame, metric: str, label: str) -> DataFrame:
+    """(line): text lines of ``histogram``'s rows, cumulative buckets with their bounds, sum and count, behind a type line."""
+    of = F.concat(F.lit(f'{{{label}="'), "name", F.lit('"'))
+    whole, cents = F.col("n").cast("long").cast("string"), F.col("n").cast("decimal(18,2)").cast("string")
+    line = F.when(F.col("le") == "sum", F.concat(F.lit(f"{metric}_sum"), of, F.lit("} "), cents)).when(F.col("le") == "count", F.concat(F.lit(f"{metric}_count"), of, F.lit("} "), whole))
+    line = line.otherwise(F.concat(F.lit(f"{metric}_bucket"), of, F.lit(',le="'), "le", F.lit('"} '), whole))
+    types = rows.select(F.lit(f"# TYPE {metric} histogram").alias("line")).limit(1)
+    return types.unionByName(rows.select(line.alias("line")))
+
+
 def rolling(events: DataFrame, key: str, order: list[str], value: str, most: int = 100) -> DataFrame:
     """``events`` with n and mean of the last ``most`` values so far."""
     last = Window.partitionBy(key).orderBy(*order).rowsBetween(1 - most, 0)
@@ -295,3 +305,8 @@ def backoff(kind: str, attempt: Column, base: float = 1.0, jitter: Column | floa
     """Seconds before an attempt (from 1): ``exponential``, ``linear`` or ``fixed``, at most 120, moved by the share ``jitter``, at least 0.1."""
     delay = {"exponential": base * F.pow(F.lit(2.0), attempt - 1), "linear": base * attempt, "fixed": F.lit(base)}[kind]
     return F.greatest(F.lit(LEAST_DELAY), F.least(F.lit(MAX_DELAY), delay.cast("double")) * (F.lit(1.0) + jitter))
+
+
+def seeded_jitter(number: Column, seed: int, share: float = 0.1) -> Column:
+    """A share from ``-share`` to ``share`` for ``backoff``, the same for a number and seed on every run."""
+    return (F.pmod(number * 7919 + seed, F.lit(2001)) - 1000) / 1000 * share
