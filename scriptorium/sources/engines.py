@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import time
+import zlib
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,14 +71,14 @@ def search(spark: SparkSession, queries: list[str], engines: list[str], most: in
 
 
 def fetched(urls: DataFrame, fetch: Callable[[str, dict], tuple[int, str]], agents: tuple[str, ...], retry: int = 2, pause: float = 0.0) -> DataFrame:
-    """(url, status, attempts, html) by a user's ``fetch(url, headers)``: refused and failed pages again, other statuses not, the agent changing by row and attempt."""
+    """(url, status, attempts, html) by a user's ``fetch(url, headers)``: refused and failed pages again, other statuses not, the agent changing by URL and attempt."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = 0
         for batch in batches:
             rows = []
             for url in batch.column("url").to_pylist():
+                at = zlib.crc32((url or "").encode())
                 status, html, attempt = 0, None, 0
                 for attempt in range(retry + 1):
                     try:
@@ -88,7 +89,6 @@ def fetched(urls: DataFrame, fetch: Callable[[str, dict], tuple[int, str]], agen
                         break
                     time.sleep(pause)
                 rows.append((url, status, attempt + 1, html if status == 200 else None))
-                at += 1
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.string()))], names=["url", "status", "attempts", "html"])
 
     return urls.select(F.col("url").cast("string").alias("url")).mapInArrow(run, "url string, status int, attempts int, html string")
