@@ -145,7 +145,7 @@ _NOISE_SQL = " AND ".join(f"NOT regexp_matches(trim(text), '(?i){p}')" for p in
 
 @_register(f"SELECT conv_id, turn, trim(text) AS query FROM conversations WHERE role = 'user' AND length(trim(text)) >= 4 AND regexp_matches(trim(text), '[\\x{{4e00}}-\\x{{9fff}}]{{2,}}|[a-zA-Z]{{2,}}') AND {_NOISE_SQL}")
 def query_clean(spark, sf_dir):
-    return load(spark, sf_dir, "conversations").filter((F.col("role") == "user") & search.usable_query(F.col("text"))).select("conv_id", "turn", F.trim("text").alias("query"))
+    return load(spark, sf_dir, "conversations").filter((F.col("role") == "user") & search.usable_query(F.col("text"))).select("conv_id", "turn", search.trimmed(F.col("text")).alias("query"))
 
 
 # -- ranking -----------------------------------------------------------------------------------
