@@ -46,23 +46,44 @@ def with_cost(calls: DataFrame, prices: dict[str, tuple[float, float]], default:
     return calls.withColumn("cost", (F.col("prompt") * prompt + F.col("completion") * completion) / 1000)
 
 
+def exact_sum(value: Column) -> Column:
+    """The sum of doubles, rounded once: the order of rows doesn't matter, and one or two values add up as ``+`` does.
+
+    Each value is a whole number of 2^-30 and a rest in whole 2^-83 (none of a cost is smaller), which are summed as decimals.
+    Where a value isn't finite, or 2^32 or more, the plain sum stands.
+    """
+    fits = F.abs(value) < 2.0**32
+    scaled = F.when(fits, value * 2.0**30)
+    whole = F.floor(scaled)
+    rest = F.sum(F.floor((scaled - whole) * 2.0**53).cast("decimal(16,0)"))
+    carry = F.floor(rest / F.lit(2**53).cast("decimal(16,0)")).cast("decimal(28,0)")
+    high, low = F.sum(whole.cast("decimal(19,0)")) + carry, rest - carry * F.lit(2**53).cast("decimal(16,0)")
+    exact = high.cast("double") / 2.0**30 + low.cast("double") / 2.0**83
+    return F.when(F.max(F.abs(value)) < 2.0**32, exact).otherwise(F.sum(value))
+
+
+def rounded(value: Column, digits: int) -> Column:
+    """To ``digits`` decimals, ties away from zero, decided on the scaled double and not on its shortest decimal form."""
+    return F.round(value * 10.0**digits) / 10.0**digits
+
+
 def cost_by(calls: DataFrame, by: list[str], since: Column | None = None, time: str = "ts") -> DataFrame:
     """Calls, tokens and cost of each group of ``by``, not before ``since``."""
     own = calls if since is None else calls.filter(F.col(time) >= since)
     sums = [F.sum(c).cast("long").alias(f"{c}_tokens") for c in ("prompt", "completion")]
-    return own.groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), *sums, F.sum(F.col("prompt") + F.col("completion")).cast("long").alias("total_tokens"), F.round(F.sum("cost"), 6).alias("cost"))
+    return own.groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), *sums, F.sum(F.col("prompt") + F.col("completion")).cast("long").alias("total_tokens"), rounded(exact_sum(F.col("cost")), 6).alias("cost"))
 
 
 def cost_of_task(calls: DataFrame, task: str) -> DataFrame:
     """(task, provider, total, cost): each provider's and, with ``total`` true and provider null, the task's; calls without a provider or a task are groups of their own."""
     sets = calls.groupingSets([[F.col(task), F.col("provider")], [F.col(task)]], task, "provider")
-    return sets.agg((F.grouping("provider") == 1).alias("total"), F.round(F.sum("cost"), 6).alias("cost"))
+    return sets.agg((F.grouping("provider") == 1).alias("total"), rounded(exact_sum(F.col("cost")), 6).alias("cost"))
 
 
 def budget(calls: DataFrame, limit: float) -> DataFrame:
     """(calls, total, remaining, exceeded); an empty table spends nothing."""
-    total = F.coalesce(F.sum("cost"), F.lit(0.0))
-    return calls.agg(F.count(F.lit(1)).alias("calls"), F.round(total, 4).alias("total"), F.round(limit - total, 4).alias("remaining"), (total > limit).alias("exceeded"))
+    total = F.coalesce(exact_sum(F.col("cost")), F.lit(0.0))
+    return calls.agg(F.count(F.lit(1)).alias("calls"), rounded(total, 4).alias("total"), rounded(limit - total, 4).alias("remaining"), (total > limit).alias("exceeded"))
 
 
 def kept_since(rows: DataFrame, time: str, days: int) -> DataFrame:

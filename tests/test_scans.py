@@ -1,3 +1,4 @@
+import math
 import random
 from statistics import median
 
@@ -132,3 +133,20 @@ def test_frames_escape_line_breaks(spark):
     df = spark.createDataFrame([(7, "chunk", 'a\n"b"', 12)], "id long, kind string, data string, ts long")
     frame = df.select(monitor.sse_frame(F.col("id"), F.col("kind"), F.col("data"), F.col("ts"))).first()[0]
     assert frame == 'id: 7\ndata: {"type":"chunk","data":"a\\n\\"b\\"","ts":12,"section":-1,"total":0}\n\n'
+
+
+def test_costs_add_up_in_any_order_and_round_as_the_sql_does(spark):
+    rng = random.Random(5)
+    rows = [(t, "x", rng.random() * 10 ** rng.randint(-6, 2)) for t in range(60) for _ in range(t + 1)]
+    ties = [math.nextafter((2 * k + 1) / 2e6, 0) for k in range(60, 4000, 7)]
+    rows += [(100 + i, "x", v) for i, v in enumerate(ties)]
+    away = lambda x: (math.floor(x * 1e6) + (x * 1e6 % 1 >= 0.5)) / 1e6
+    want = {t: away(math.fsum(v for u, _, v in rows if u == t)) for t in {t for t, _, _ in rows}}
+    for seed in (1, 2):
+        rng.shuffle(rows)
+        calls = spark.createDataFrame(rows, "task int, provider string, cost double").repartition(seed)
+        got = {(r.task, r.total): r.cost for r in monitor.cost_of_task(calls, "task").collect()}
+        assert got == {(t, total): v for t, v in want.items() for total in (True, False)}
+    odd = spark.createDataFrame([(1, float("inf")), (2, None), (3, 1e300), (3, -1e300), (4, None), (4, -0.5)], "g int, v double")
+    got = dict(odd.groupBy("g").agg(monitor.exact_sum(F.col("v"))).collect())
+    assert got == {1: float("inf"), 2: None, 3: 0.0, 4: -0.5}
