@@ -34,12 +34,14 @@ EMAIL, IP, CARD, PHONE = range(4)
 class PiiConfig:
     """support: distinct known instances that a pattern needs; precision: confidence that a pattern and an instance need, in thousandths; rounds: at most.
 
-    max_log2_bits: of the filter of unit pairs (8 MB); a fuller one lets more pairs through to the exact count.
+    max_listed: unit pairs of patterns that each task holds as a list (8 MB), beyond which a filter stands for them.
+    max_log2_bits: of that filter (8 MB); a fuller one lets more pairs through to the exact count.
     """
 
     support: int = 3
     precision: int = 600
     rounds: int = 4
+    max_listed: int = 1 << 20
     max_log2_bits: int = 26
 
 
@@ -196,9 +198,30 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bases, pa.list_(_SPAN)), pa.array(uses, pa.list_(_USE))], names=["doc_id", "base", "uses"])
 
 
+def listed_counts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pair, total): occurrences in all texts of the pairs in ``pairs`` (pair), of which each task counts all of its texts and holds the list."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(pairs.toArrow().column("pair").to_numpy()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = shared.value
+        totals = np.zeros(len(listed), np.int64)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                own = pairs_of(text or "").view(np.int64)
+                at = np.minimum(np.searchsorted(listed, own), len(listed) - 1)
+                np.add.at(totals, at[listed[at] == own], 1)
+        (met,) = np.nonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(listed[met]), pa.array(totals[met])], names=["pair", "n"])
+
+    return small_batches(docs.select("text")).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("total"))
+
+
 def pair_counts(docs: DataFrame, pairs: DataFrame, config: PiiConfig) -> DataFrame:
-    """(pair, total): occurrences in all texts of the pairs in ``pairs`` (pair), and of some others that the filter lets through."""
-    bits = int(np.clip(np.ceil(np.log2(16 * max(1, pairs.count()))), 12, config.max_log2_bits))
+    """(pair, total): occurrences in all texts of the pairs in ``pairs`` (pair; one at least), and, beyond ``max_listed`` of them, of some others that the filter lets through."""
+    n = pairs.count()
+    if n <= config.max_listed:
+        return listed_counts(docs, pairs)
+    bits = int(np.clip(np.ceil(np.log2(16 * max(1, n))), 12, config.max_log2_bits))
     # Two bits of each pair; words of 64 bits are put together by Spark, at most 2^20 of them reach the driver.
     spots = [F.shiftrightunsigned("pair", 64 - bits), F.shiftrightunsigned(F.shiftleft("pair", 32), 64 - bits)]
     words = pairs.select(F.explode(F.array(*spots)).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("bits"))

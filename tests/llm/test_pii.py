@@ -137,3 +137,18 @@ def test_query_equals_brute_force(spark, sf):
 
 def test_empty_table(spark):
     assert pii.report(frame(spark, [(1, "x")]).limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_counts_of_pairs_are_of_listed_pairs(spark, sf, most):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    want = defaultdict(int)
+    for row in docs.collect():
+        for pair in pii.pairs_of(row.text or "").view("int64").tolist():
+            want[pair] += 1
+    some = sorted(want)[::50]
+    pairs = spark.createDataFrame([(p,) for p in [*some, 17]], "pair long")
+    got = dict(pii.pair_counts(docs, pairs, pii.PiiConfig(max_listed=most)).collect())
+    assert {p: got.get(p) for p in some} == {p: want[p] for p in some}
+    # The list lets nothing else through, so that rows grow with the pairs and not with the texts.
+    assert most == 0 or set(got) == set(some)
