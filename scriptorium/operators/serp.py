@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.tables import newest
+from scriptorium.tables import newest, small_batches
 
 # Where each engine's page or answer holds its rows.
 ANCHOR = r'(?s)<a[^>]+href="(https?://[^"]+)"[^>]*>(.*?)</a>'
@@ -117,4 +117,4 @@ def context_rows(pages: DataFrame, key: str, html: str, skip: tuple[str, ...] =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, hit)], names=[key, "hits"])
 
     schema = pages.select(key).withColumn("hits", F.lit(None).cast("array<struct<pos: long, url: string, title: string, snippet: string>>")).schema
-    return pages.select(key, html).mapInArrow(run, schema).select(key, F.inline("hits"))
+    return small_batches(pages.select(key, html)).mapInArrow(run, schema).select(key, F.inline("hits"))

@@ -2,12 +2,13 @@ import html
 import re
 from itertools import groupby
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium import catalog
+from scriptorium import catalog, tables
 from scriptorium.functions import values
-from scriptorium.operators import ascii_art, build, convert, dom, extract, lint, monitor, quality, search, sections
+from scriptorium.operators import ascii_art, build, convert, dom, extract, layout, lint, monitor, quality, search, sections, serp
 
 
 def one(spark, column, **cells):
@@ -292,3 +293,23 @@ def test_dom_text(spark, sf):
         long = [x for x in paragraphs if len(x) >= 30]
         if sum(map(len, long)) >= 200:
             assert [" ".join(x.split()) for x in r.text.split("\n") if len(x) >= 30] == long
+
+
+# -- bounded batches ---------------------------------------------------------------------------
+
+
+def sizes_of_batches(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+
+def largest_batch(spark, operator):
+    """Bytes of the largest Arrow batch of forty texts of 400,000 characters each, in the session as ``operator`` leaves it."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    texts = spark.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abcd "), 80_000).alias("text"))
+    operator(texts)
+    return max(r.n for r in texts.mapInArrow(sizes_of_batches, "n long").collect())
+
+
+def test_result_pages_come_in_small_batches(spark):
+    assert largest_batch(spark, lambda t: serp.context_rows(t, "doc_id", "text")) < 2 * tables.BATCH_BYTES
