@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.tables import small_batches
+
 
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line): line_no from 1."""
@@ -36,7 +38,8 @@ def _per_text(docs: DataFrame, schema: str, rows_of: Callable[[list[str]], Itera
                     rows.append(row)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, {schema}")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return small_batches(own).mapInArrow(run, f"doc_id long, {schema}")
 
 
 HEADING, SECTION = re.compile(r"(#{1,6})\s+\S"), re.compile(r"#{1,3}\s+\S")

@@ -313,3 +313,9 @@ def largest_batch(spark, operator):
 
 def test_result_pages_come_in_small_batches(spark):
     assert largest_batch(spark, lambda t: serp.context_rows(t, "doc_id", "text")) < 2 * tables.BATCH_BYTES
+
+
+def test_documents_come_in_small_batches(spark):
+    assert largest_batch(spark, layout.sections) < 2 * tables.BATCH_BYTES
+    assert largest_batch(spark, lint.check) < 2 * tables.BATCH_BYTES
+    assert largest_batch(spark, lambda t: ascii_art.detect(t, "doc_id", "text")) < 2 * tables.BATCH_BYTES
