@@ -25,15 +25,28 @@ def idf(paragraphs: DataFrame) -> DataFrame:
     return df.select("term", (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
+def with_terms(paragraphs: DataFrame) -> DataFrame:
+    """A row for each different term of each of ``paragraphs`` (text, or its tokens as ``words``): the other columns, term and tf, its number over the largest of the paragraph's."""
+    kept = [c for c in paragraphs.columns if c not in ("text", "words")]
+    own = paragraphs if "words" in paragraphs.columns else paragraphs.withColumn("words", tokens(F.col("text")))
+    # Each array is a generated column, so that the optimizer doesn't put its expression into the lambdas that read it.
+    once = lambda df, name, value: df.select(*(c for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
+    own = once(own.select(*kept, "words"), "words", F.sort_array("words"))
+    # Equal terms are neighbours; a term's number is the place of its last one less that of the term before.
+    own = once(own, "last", F.filter(F.transform("words", lambda _, i: i + 1), lambda i: (i == F.size("words")) | (F.get("words", i) != F.get("words", i - 1))))
+    own = once(own, "terms", F.transform("last", lambda i, k: F.struct(F.get("words", i - 1).alias("term"), (i - F.coalesce(F.get("last", k - 1), F.lit(0))).alias("n"))))
+    own = own.select(*kept, F.array_max(F.transform("terms", lambda x: x["n"])).alias("most"), F.inline("terms"))
+    return own.select(*kept, "term", (F.col("n") / F.col("most")).alias("tf"))
+
+
 def scores(paragraphs: DataFrame, keywords: list[str], weights: DataFrame) -> DataFrame:
     """(para_id, score) of paragraphs that hold a keyword: the cosine of n / max n times idf with the set of keywords.
 
-    Paragraphs are dealt by para_id once; counts, maxima and sums of a paragraph need no further shuffle.
+    A paragraph's terms are counted within its row, so that no task holds the terms of many paragraphs.
     """
     keys = sorted({k.lower() for k in keywords if len(k) > 1})
-    own = paragraphs.select("para_id", "text").filter(F.lower("text").rlike("|".join(map(re.escape, keys)) or "(?!)")).repartition("para_id")
-    counts = own.select("para_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("para_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    weighted = counts.withColumn("tf", F.col("n") / F.max("n").over(Window.partitionBy("para_id"))).join(weights, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    own = paragraphs.select("para_id", "text").filter(F.lower("text").rlike("|".join(map(re.escape, keys)) or "(?!)"))
+    weighted = with_terms(own).join(weights, "term").withColumn("w", F.col("tf") * F.col("idf"))
     hit = F.when(F.col("term").isin(*keys), F.col("w")).otherwise(0.0)
     return weighted.groupBy("para_id").agg((F.sum(hit) / (F.sqrt(F.sum(F.col("w") ** 2)) * F.sqrt(F.lit(float(len(keys)))))).alias("score"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scriptorium import catalog, tables
 from scriptorium.functions import values
-from scriptorium.operators import ascii_art, build, convert, dom, extract, layout, lint, monitor, quality, search, sections, serp
+from scriptorium.operators import ascii_art, build, convert, dom, extract, layout, lint, monitor, quality, rank, search, sections, serp
 
 
 def one(spark, column, **cells):
@@ -319,3 +319,20 @@ def test_documents_come_in_small_batches(spark):
     assert largest_batch(spark, layout.sections) < 2 * tables.BATCH_BYTES
     assert largest_batch(spark, lint.check) < 2 * tables.BATCH_BYTES
     assert largest_batch(spark, lambda t: ascii_art.detect(t, "doc_id", "text")) < 2 * tables.BATCH_BYTES
+
+
+# -- terms -------------------------------------------------------------------------------------
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_counted_within_rows(spark):
+    texts = spark.createDataFrame([(1, "bb aa bb cc bb a"), (2, ""), (3, None), (4, "一二 一二"), (5, "zz")], "para_id long, text string")
+    got = rank.with_terms(texts)
+    assert {(r.para_id, r.term): r.tf for r in got.collect()} == {(1, "aa"): 1 / 3, (1, "bb"): 1.0, (1, "cc"): 1 / 3, (4, "一二"): 1.0, (5, "zz"): 1.0}
+    # No table of terms by paragraph: neither in the counts nor before the sums of a paragraph.
+    assert "Exchange" not in plan_of(got) and "Aggregate" not in plan_of(got)
+    weights = spark.createDataFrame([("aa", 2.0), ("bb", 1.0)], "term string, idf double")
+    assert "hashpartitioning(para_id" not in plan_of(rank.scores(texts, ["aa"], F.broadcast(weights))).split("HashAggregate")[-1]
