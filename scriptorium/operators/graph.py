@@ -23,7 +23,7 @@ def ranks(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most
     """(node, rank): shares of a walk over ``edges`` (source, target; distinct) that follows a link with probability ``damping`` and else starts anywhere.
 
     Nodes without links pass their rank to all. A round joins ranks with rows of at most about 1,024 links, so that a hub's links are dealt over
-    tasks, and sums by target with map-side combining. It ends when all ranks together change by less than ``tolerance``, or after ``most`` rounds. Ranks sum to 1; an empty table has none.
+    tasks, and sums by target with map-side combining. Its joins are merges: a broadcast would send a table to the driver each round. It ends when all ranks together change by less than ``tolerance``, or after ``most`` rounds. Ranks sum to 1; an empty table has none.
     """
     nodes = stored(edges.select(F.col("source").alias("node")).unionByName(edges.select(F.col("target").alias("node"))).distinct(), "nodes")
     n = nodes.count()
@@ -33,12 +33,12 @@ def ranks(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most
     held = stored(held.withColumnRenamed("source", "node"), "pieces")
     current = nodes.withColumn("rank", F.lit(1.0 / max(1, n)))
     for _ in range(most):
-        sent = current.join(held, "node").select(F.explode("targets").alias("node"), (F.col("rank") / F.col("degree")).alias("part"))
+        sent = current.join(held.hint("shuffle_merge"), "node").select(F.explode("targets").alias("node"), (F.col("rank") / F.col("degree")).alias("part"))
         got = stored(sent.groupBy("node").agg(F.sum("part").alias("got")), "messages")
         # What no link passes on.
         loose = 1.0 - (got.agg(F.sum("got")).first()[0] or 0.0)
         rank = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + loose / n) if n else F.lit(0.0)
-        after = stored(current.join(got, "node", "left").select("node", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("change")), "ranks")
+        after = stored(current.join(got.hint("shuffle_merge"), "node", "left").select("node", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("change")), "ranks")
         change = after.agg(F.sum("change")).first()[0] or 0.0
         current = after.select("node", "rank")
         if change < tolerance:
